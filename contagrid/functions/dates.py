@@ -75,12 +75,14 @@ def age_years(birth: Column, as_of: date) -> Column:
 
 
 def age_band(age: Column, bands=AGE_BANDS) -> Column:
-    out = F.lit(None).cast("string")
-    for label, low, high in reversed(bands):
-        inside = F.lit(True)
-        if low is not None:
-            inside = inside & (age >= low)
-        if high is not None:
-            inside = inside & (age <= high)
-        out = F.when(inside, F.lit(label)).otherwise(out)
-    return F.when(age.isNotNull(), out)
+    """Band label of an age: one lookup in a constant array with an entry per year.
+
+    A chain of comparisons would repeat the age expression a dozen times in
+    every filter and projection it is pushed into.
+    """
+    oldest = max(low for _, low, _ in bands if low is not None)
+    labels = [
+        next((b for b, low, high in bands if (low is None or y >= low) and (high is None or y <= high)), None)
+        for y in range(oldest + 1)
+    ]
+    return F.get(F.array(*[F.lit(x) for x in labels]), F.when(age > oldest, F.lit(oldest)).otherwise(age))

@@ -1,8 +1,8 @@
 """Follow-up of contacts 7, 10 and 14 days after verification.
 
-A contact row has two follow-up slots. Both are turned into marks inside the
-row (no self-join, no row id), and one aggregation of the marks gives a small
-cube that holds all four kinds of result: status counts, reasons for not
+A contact row has two follow-up slots. They become two rows inside the same
+task (no self-join, no row id), and one aggregation gives a small cube from
+which all four kinds of result are sums: status counts, reasons for not
 isolating, symptomatic and asymptomatic counts.
 """
 
@@ -11,34 +11,64 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from contagrid.fixed_values import DOMAIN, FOLLOWUP_WEEKS, Vocabulary
 from contagrid.functions.dates import DAY_MONTH_YEAR, in_previous_week, parse_date, parse_datetime_as_date, snapshot_monday
-from contagrid.operators.aggregates import count_rows, with_totals
+from contagrid.operators.aggregates import count_by, with_totals
 from contagrid.operators.filters import require_columns
 from contagrid.operators.reshape import union_all
 
 SLOT_FIELDS = ("status", "date", "isolated", "reason", "symptoms")
-KINDS = ("status", "reason", "symptomatic", "asymptomatic")
 
 
-def _slot(number: int, as_of: date, vocab: Vocabulary) -> Column:
-    """Struct of one slot: what it marks, and its day, or null outside the week."""
-    c = {name: F.col(f"{name}_{number}") for name in SLOT_FIELDS}
-    on = parse_date(c["date"], DAY_MONTH_YEAR)
-    day = F.date_diff(on, F.col("__verified"))
-    live = c["status"].isin(*vocab.live_status) & in_previous_week(on, as_of)
-    return F.when(
-        live,
-        F.struct(
-            day.alias("day"),
-            c["status"].alias("status"),
-            (c["isolated"] == vocab.no).alias("not_isolated"),
-            c["reason"].alias("reason"),
-            c["symptoms"].alias("symptoms"),
-        ),
+def followup_slots(
+    contacts: DataFrame, as_of: date, slots: Sequence[int] = (1, 2), vocab: Vocabulary = DOMAIN
+) -> DataFrame:
+    """Long form: one row per slot done or pending in the week before ``as_of``.
+
+    ``repeats`` marks a second slot with the same status and day as the first,
+    so that a contact can be counted once without grouping by contact.
+    """
+    require_columns(contacts, "sve", "verified_at", *[f"{f}_{s}" for s in slots for f in SLOT_FIELDS])
+    if not set(slots) <= {1, 2}:
+        raise ValueError(f"no such follow-up slot: {slots}")
+    live = {s: F.col(f"status_{s}").isin(*vocab.live_status) for s in slots}
+    week = [c for c in ("snapshot_week",) if c in contacts.columns]
+    # the status test needs no parsing and reaches the scan
+    rows = contacts.where(live[1] | live[2] if len(slots) == 2 else live[slots[0]])
+    rows = rows.withColumns(
+        {
+            "__verified": parse_datetime_as_date(F.col("verified_at")),
+            **{f"__on_{s}": parse_date(F.col(f"date_{s}"), DAY_MONTH_YEAR) for s in slots},
+        }
+    ).withColumns(
+        {
+            f"__live_{s}": F.coalesce(live[s] & in_previous_week(F.col(f"__on_{s}"), as_of), F.lit(False))
+            for s in slots
+        }
     )
+    same = (
+        F.col("__live_1")
+        & F.col("__live_2")
+        & (F.col("status_1") == F.col("status_2"))
+        & (F.col("__on_1") == F.col("__on_2"))
+        if len(slots) == 2
+        else F.lit(False)
+    )
+    structs = [
+        F.struct(
+            F.col(f"__live_{s}").alias("live"),
+            F.date_diff(F.col(f"__on_{s}"), F.col("__verified")).alias("day"),
+            F.col(f"status_{s}").alias("status"),
+            (F.col(f"isolated_{s}") == vocab.no).alias("not_isolated"),
+            F.col(f"reason_{s}").alias("reason"),
+            F.col(f"symptoms_{s}").alias("symptoms"),
+            (same if s == 2 else F.lit(False)).alias("repeats"),
+        )
+        for s in slots
+    ]
+    return rows.select(*week, "sve", F.inline(F.array(*structs))).where("live").drop("live")
 
 
 def followup_cube(
@@ -49,59 +79,42 @@ def followup_cube(
     weeks: Mapping[int, Sequence[int]] | None = None,
     vocab: Vocabulary = DOMAIN,
 ) -> DataFrame:
-    """(kind, sve, label, day, n) for follow-ups made in the week before ``as_of``.
+    """(sve, day, status, not_isolated, reason, symptoms, n, n_first) of a study week.
 
+    ``n`` counts slots and ``n_first`` counts a contact once per status and day.
     With ``weeks`` (day -> snapshot week offsets) only rows of those snapshots
     count, and the filter reaches the scan as a partition filter.
-
-    A contact counts once per status and day even when both slots hit that day;
-    reasons and symptoms count once per slot.
     """
-    require_columns(contacts, "sve", "verified_at", *[f"{f}_{s}" for s in slots for f in SLOT_FIELDS])
-    for s in slots:
-        if s not in (1, 2):
-            raise ValueError(f"no follow-up slot {s}")
-    rows = contacts
-    allowed = F.lit(True)
+    allowed = F.col("day").isin(*days)
     if weeks is not None:
         require_columns(contacts, "snapshot_week")
         wanted = {d: [snapshot_monday(as_of, w) for w in weeks[d]] for d in days}
-        rows = rows.where(F.col("snapshot_week").isin(sorted({w for ws in wanted.values() for w in ws})))
+        contacts = contacts.where(F.col("snapshot_week").isin(sorted({w for ws in wanted.values() for w in ws})))
         allowed = F.lit(False)
         for d, ws in wanted.items():
             allowed = allowed | ((F.col("day") == d) & F.col("snapshot_week").isin(ws))
-    week = ["snapshot_week"] if weeks is not None else []
-    rows = rows.withColumn("__verified", parse_datetime_as_date(F.col("verified_at")))
-    hits = F.filter(
-        F.array(*[_slot(s, as_of, vocab) for s in slots]),
-        lambda s: s.isNotNull() & s["day"].isin(*days),
-    )
-    mark = lambda kind, label, day: F.struct(
-        F.lit(kind).alias("kind"), label.cast("string").alias("label"), day.alias("day")
+    rows = followup_slots(contacts, as_of, slots, vocab).where(allowed)
+    # a reason only counts for contacts that do not isolate
+    rows = rows.withColumn("not_isolated", F.coalesce("not_isolated", F.lit(False))).withColumn(
+        "reason", F.when(F.col("not_isolated"), F.col("reason"))
     )
-    none = F.lit(None).cast("string")
-    marks = F.concat(
-        F.array_distinct(F.transform("__hits", lambda s: mark("status", s["status"], s["day"]))),
-        F.transform(
-            F.filter("__hits", lambda s: s["not_isolated"]), lambda s: mark("reason", s["reason"], s["day"])
-        ),
-        F.transform(
-            F.filter("__hits", lambda s: s["symptoms"] == vocab.yes), lambda s: mark("symptomatic", none, s["day"])
-        ),
-        F.transform(
-            F.filter("__hits", lambda s: s["symptoms"] == vocab.no), lambda s: mark("asymptomatic", none, s["day"])
-        ),
-    )
-    return (
-        rows.select(*week, "sve", hits.alias("__hits"))
-        .where(F.size("__hits") > 0)
-        .select(*week, "sve", F.inline(marks))
-        .where(allowed)
-        .groupBy("kind", "sve", "label", "day")
-        .agg(F.count("*").alias("n"))
+    return rows.groupBy("sve", "day", "status", "not_isolated", "reason", "symptoms").agg(
+        F.count("*").alias("n"), F.count_if(~F.col("repeats")).alias("n_first")
     )
 
 
+def status_counts(cube: DataFrame) -> DataFrame:
+    return cube.groupBy("sve", "day", "status").agg(F.sum("n_first").alias("n"))
+
+
+def reason_counts(cube: DataFrame) -> DataFrame:
+    return cube.where("not_isolated").groupBy("sve", "day", "reason").agg(F.sum("n").alias("n"))
+
+
+def symptom_counts(cube: DataFrame, value: str) -> DataFrame:
+    return cube.where(F.col("symptoms") == value).groupBy("sve", "day").agg(F.sum("n").alias("n"))
+
+
 def followup(
     contacts: DataFrame,
     day: int,
@@ -118,35 +131,38 @@ def followup(
     if week is not None and week not in FOLLOWUP_WEEKS.get(day, (week,)):
         raise ValueError(f"day {day} cannot be followed up from snapshot week {week}")
     cube = followup_cube(contacts, as_of, days=(day,), slots=slots, vocab=vocab)
-    names = {"status": ["sve", "status"], "reason": ["sve", "reason"], "symptomatic": ["sve"], "asymptomatic": ["sve"]}
-    out = {}
-    for kind in KINDS:
-        keys = ["sve", F.col("label").alias(kind)] if len(names[kind]) == 2 else ["sve"]
-        out[kind] = cube.where(F.col("kind") == kind).select(*keys, F.col("n").alias(f"followup_day{day}"))
-    return out
-
-
-def _by_day(cube: DataFrame, kind: str, keys: Sequence[str], days: Sequence[int]) -> DataFrame:
-    part = cube.where(F.col("kind") == kind)
-    return part.groupBy(*keys).agg(*[count_rows(part, F.col("day") == d).alias(f"day{d}") for d in days])
+    tables = {
+        "status": status_counts(cube),
+        "reason": reason_counts(cube),
+        "symptomatic": symptom_counts(cube, vocab.yes),
+        "asymptomatic": symptom_counts(cube, vocab.no),
+    }
+    return {kind: df.drop("day").withColumnRenamed("n", f"followup_day{day}") for kind, df in tables.items()}
+
+
+def _by_day(counts: DataFrame, keys: Sequence[str], days: Sequence[int]) -> DataFrame:
+    """Days side by side, zero-filled."""
+    return counts.groupBy(*keys).agg(
+        *[F.sum(F.when(F.col("day") == d, F.col("n")).otherwise(F.lit(0))).alias(f"day{d}") for d in days]
+    )
 
 
 def followup_table(cube: DataFrame, days: Sequence[int] = tuple(FOLLOWUP_WEEKS), vocab: Vocabulary = DOMAIN) -> DataFrame:
     """Follow-ups by territory and status, with one totals row."""
     columns = [f"day{d}" for d in days]
-    body = _by_day(cube, "status", ["sve", "label"], days)
+    body = _by_day(status_counts(cube), ["sve", "status"], days)
     totals = body.groupBy().agg(F.count("*").alias("__rows"), *[F.sum(c).alias(c) for c in columns])
     totals = totals.where("__rows > 0").select(
         F.lit(vocab.total).alias("sve"), F.lit(True).alias("is_total"), F.lit("---").alias("status"), *columns
     )
     return union_all(
-        [body.select("sve", F.lit(False).alias("is_total"), F.col("label").alias("status"), *columns), totals]
+        [body.select("sve", F.lit(False).alias("is_total"), "status", *columns), totals]
     )
 
 
 def isolation_reasons(cube: DataFrame, days: Sequence[int] = tuple(FOLLOWUP_WEEKS)) -> DataFrame:
     """Reasons for not isolating by territory, without a totals row."""
-    return _by_day(cube, "reason", ["sve", "label"], days).withColumnRenamed("label", "reason")
+    return _by_day(reason_counts(cube), ["sve", "reason"], days)
 
 
 def symptom_evolution(
@@ -161,11 +177,10 @@ def symptom_evolution(
     ``contacts`` are those of the study week, as rows or as a count cube.
     """
     value = vocab.yes if value is None else value
-    kind = {vocab.yes: "symptomatic", vocab.no: "asymptomatic"}[value]
     answered = contacts.where(F.col("symptoms_day0") == value)
-    day0 = answered.groupBy("sve").agg(count_rows(answered).alias("day0"))
+    day0 = count_by(answered, "sve", name="day0")
     columns = ["day0"] + [f"day{d}" for d in days]
-    later = _by_day(cube, kind, ["sve"], days)
+    later = _by_day(symptom_counts(cube, value), ["sve"], days)
     none = lambda names: [F.lit(None).cast("bigint").alias(c) for c in names]
     both = union_all([day0.select("sve", "day0", *none(columns[1:])), later.select("sve", *none(["day0"]), *columns[1:])])
     measures = {c: F.coalesce(F.sum(c), F.lit(0)) for c in columns}
