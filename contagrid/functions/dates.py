@@ -8,21 +8,37 @@ from pyspark.sql import Column, functions as F
 
 from contagrid.fixed_values import AGE_BANDS
 
-DAY_MONTH_YEAR = "d/M/yyyy"
-MONTH_DAY_YEAR = "M/d/yyyy"
-YEAR_MONTH_DAY = "yyyy/M/d"
-DAY_MONTH_YEAR_TIME = "d/M/yyyy H:mm:ss"
+# places of day, month and year in a written date
+DAY_MONTH_YEAR = "dmy"
+MONTH_DAY_YEAR = "mdy"
+YEAR_MONTH_DAY = "ymd"
 
+_YEAR_LAST = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"
+_YEAR_FIRST = r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"
+_TIME = r" (?:[01]?[0-9]|2[0-3]):[0-5]?[0-9]:[0-5]?[0-9]$"
 
-def parse_date(c: Column, *formats: str) -> Column:
-    """First format that fits; '-' and '.' count as '/'."""
-    text = F.translate(F.trim(c), "-.", "//")
-    return F.coalesce(*[F.try_to_date(text, f) for f in formats])
 
+def parse_date(c: Column, *orders: str) -> Column:
+    """The first of ``orders`` that gives a real date; '-' and '.' count as '/'.
 
-def parse_datetime_as_date(c: Column, fmt: str = DAY_MONTH_YEAR_TIME) -> Column:
+    The parts are put in ISO order and cast. Pattern-based parsing raises and
+    catches an exception for each text that does not fit, which is what most
+    texts do for all but one of the patterns.
+    """
     text = F.translate(F.trim(c), "-.", "//")
-    return F.try_to_timestamp(text, F.lit(fmt)).cast("date")
+    parts = F.split(text, "/")
+    tries = []
+    for order in orders:
+        y, m, d = (F.get(parts, F.lit(order.index(x))) for x in "ymd")
+        shape = text.rlike(_YEAR_FIRST if order.startswith("y") else _YEAR_LAST)
+        tries.append(F.when(shape & (m.try_cast("int") <= 12), F.concat_ws("-", y, m, d).try_cast("date")))
+    return F.coalesce(*tries)
+
+
+def parse_datetime_as_date(c: Column, order: str = DAY_MONTH_YEAR) -> Column:
+    """Date of a text with date and time; the time must be a valid one."""
+    text = F.trim(c)
+    return F.when(text.rlike(_TIME), parse_date(F.substring_index(text, " ", 1), order))
 
 
 def monday(day: date) -> date:
@@ -81,8 +97,5 @@ def age_band(age: Column, bands=AGE_BANDS) -> Column:
     every filter and projection it is pushed into.
     """
     oldest = max(low for _, low, _ in bands if low is not None)
-    labels = [
-        next((b for b, low, high in bands if (low is None or y >= low) and (high is None or y <= high)), None)
-        for y in range(oldest + 1)
-    ]
-    return F.get(F.array(*[F.lit(x) for x in labels]), F.when(age > oldest, F.lit(oldest)).otherwise(age))
+    years = [F.array_repeat(F.lit(b), (high if high is not None else oldest) - (low or 0) + 1) for b, low, high in bands]
+    return F.get(F.concat(*years), F.when(age > oldest, F.lit(oldest)).otherwise(age))

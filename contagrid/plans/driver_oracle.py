@@ -52,7 +52,7 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
     "nations": ((), "SELECT n_nationkey, n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey"),
     "cases": (
         (),
-        """SELECT CAST(c_custkey AS VARCHAR) AS cip, c_custkey, n_name AS sve, c_mktsegment AS origin,
+        """SELECT c_custkey AS cip, n_name AS sve, c_mktsegment AS origin,
              CAST(coalesce(u.k, 0) AS DOUBLE) AS n_contacts
            FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
            LEFT JOIN (SELECT o_custkey, count(*) AS k FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) u
@@ -60,7 +60,7 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "contacts": (
         (),
-        f"""SELECT o_orderkey AS contact_id, CAST(o_custkey AS VARCHAR) AS case_cip, n_name AS sve,
+        f"""SELECT o_orderkey AS contact_id, o_custkey AS case_cip, n_name AS sve,
              ({items(ALL_SETTINGS)})[(CAST(substr(o_orderpriority, 1, 1) AS INT) - 1) * 2 + o_custkey % 2 + 1] AS setting,
              ({items(OUTCOMES)})[(CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END) * 4 + o_orderkey % 4 + 1] AS outcome,
              (['Sí', 'No'])[o_orderkey % 3 + 1] AS symptoms_day0,
@@ -356,13 +356,13 @@ ORACLE: dict[str, str] = {
             SELECT *, cip IN (SELECT case_cip FROM contacts WHERE setting = 'escolar') AS s FROM cases)
           UNION ALL SELECT sve, 0, 0, CAST(setting IS NOT DISTINCT FROM 'escolar' AS INT), CAST(setting IS DISTINCT FROM 'escolar' AS INT)
           FROM contacts) t GROUP BY ROLLUP (t.sve)"""),
-    "heavy_reporters": cte("contacts", select=f"""SELECT CAST(c_custkey AS VARCHAR) AS cip, (['dona', 'home'])[c_custkey % 3 + 1] AS gender,
+    "heavy_reporters": cte("contacts", select=f"""SELECT c_custkey AS cip, (['dona', 'home'])[c_custkey % 3 + 1] AS gender,
         CAST(date_sub('year', CAST(DATE '2001-02-28' - to_months(CAST(c_custkey % 1100 AS INT)) AS DATE), DATE '2003-06-15') AS INT) AS age,
         'PLACE ' || (c_custkey % 40) AS place_name, n_name AS sve, CAST(k AS DOUBLE) AS n_contacts_reported, p.* EXCLUDE (case_cip)
         FROM (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1 HAVING count(*) >= 20) JOIN customer ON c_custkey = o_custkey
         JOIN nation ON c_nationkey = n_nationkey
         LEFT JOIN (SELECT case_cip, {counts('setting', ALL_SETTINGS, SETTING_COLUMNS + ['escolar', 'desconegut'])},
-          count(*) AS n_contacts_listed FROM contacts GROUP BY 1) p ON p.case_cip = CAST(c_custkey AS VARCHAR)"""),
+          count(*) AS n_contacts_listed FROM contacts GROUP BY 1) p ON p.case_cip = c_custkey"""),
     "became_cases": cte("became", select="SELECT * FROM became"),
     "sum_all_measures": """SELECT n_name AS sve, round(sum(s_acctbal), 2) AS s_acctbal, CAST(sum(s_suppkey) AS BIGINT) AS s_suppkey
         FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""",

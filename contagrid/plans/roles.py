@@ -71,7 +71,7 @@ def cases(spark: SparkSession, sf_dir: str, urgent_only: bool = True) -> DataFra
     customer = with_nation(table(spark, sf_dir, "customer"), spark, sf_dir, "c_nationkey")
     joined = lookup(customer, counts, {"c_custkey": "o_custkey"}, {"__n": "__n"}, unique=True)
     return joined.select(
-        F.col("c_custkey").cast("string").alias("cip"),
+        F.col("c_custkey").alias("cip"),
         "sve",
         F.col("c_mktsegment").alias("origin"),
         F.coalesce("__n", F.lit(0)).cast("double").alias("n_contacts"),
@@ -103,7 +103,7 @@ def contact_columns() -> dict[str, Column]:
     status = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
     return {
         "contact_id": key,
-        "case_cip": customer.cast("string"),
+        "case_cip": customer,
         "municipality": place_of_order(),
         "setting": pick(ALL_SETTINGS, priority * 2 + customer % 2),
         "outcome": pick(OUTCOMES, status * 4 + key % 4),
@@ -115,7 +115,7 @@ def contact_columns() -> dict[str, Column]:
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as contacts, in the territory of their customer."""
     orders = table(spark, sf_dir, "orders").select(*[c.alias(n) for n, c in contact_columns().items()])
-    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("cip"), "c_nationkey")
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cip"), "c_nationkey")
     placed = lookup(orders, customer, {"case_cip": "cip"}, {"c_nationkey": "__nation"}, unique=True)
     return with_nation(placed, spark, sf_dir, "__nation").drop("__nation")
 
