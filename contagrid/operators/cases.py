@@ -201,10 +201,3 @@ def became_cases(contacts: DataFrame, indicators: DataFrame, vocab: Vocabulary =
 def single_measure(table: DataFrame, measure: str, name: str) -> DataFrame:
     """One measure per territory with its totals row."""
     return table.select("sve", "is_total", F.col(measure).alias(name))
-
-
-def symptomatic_or_confirmed(symptoms: DataFrame, became: DataFrame) -> DataFrame:
-    """Symptomatic contacts and contacts that became cases, one row per territory."""
-    return align_measures({"symptomatic": (symptoms, "total"), "confirmed": (became, "yes_n")}, ["sve", "is_total"])
-
-

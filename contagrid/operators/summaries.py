@@ -125,8 +125,8 @@ WEEKLY_LINES = (
     (6, "2. Contactes", None, None),
     (7, MEASURE_LABELS["total_contacts"], "total_contacts", "number"),
     (8, MEASURE_LABELS["mean_contacts"], "mean_contacts", "number"),
-    (9, "2.2.a Mediana (q25-q75)", "median_contacts", "quartiles"),
-    (10, "2.2.b (mínim-màxim)", "max_contacts", "range"),
+    (9, "2.2.a Mediana (q25-q75)", "median_contacts", "text"),
+    (10, "2.2.b (mínim-màxim)", "max_contacts", "text"),
     (11, "", None, None),
     (12, "3. Seguiment", None, None),
     (13, "3.1. Total de contactes verificats", "all_outcomes", "number"),
@@ -152,6 +152,15 @@ def _totals_as_rows(table: DataFrame, measures: Sequence[str]) -> DataFrame:
     return row.unpivot([], list(measures), "measure", "value")
 
 
+def _spread_texts(indicators: DataFrame) -> DataFrame:
+    """(measure, text) of the median with its quartiles and of the range."""
+    number = {c: format_number(F.col(c)) for c in ("median_contacts", "q25_contacts", "q75_contacts", "min_contacts", "max_contacts")}
+    return indicators.where("is_total").select(
+        F.format_string("%s (%s-%s)", number["median_contacts"], number["q25_contacts"], number["q75_contacts"]).alias("median_contacts"),
+        F.format_string("(%s-%s)", number["min_contacts"], number["max_contacts"]).alias("max_contacts"),
+    ).unpivot([], ["median_contacts", "max_contacts"], "measure", "text")
+
+
 def weekly_summary(
     infographic_table: DataFrame,
     indicators: DataFrame,
@@ -159,49 +168,45 @@ def weekly_summary(
     no_answer: DataFrame,
     as_of: date,
 ) -> DataFrame:
-    """The 26-line weekly report: label, numeric value and the value as written."""
-    spread = ["median_contacts", "q25_contacts", "q75_contacts", "min_contacts", "max_contacts"]
-    blocks = breakdown.where("kind <> 'item' AND coalesce(block, '') <> 'other'").select(
+    """The 26-line weekly report: label, numeric value and the value as written.
+
+    The totals rows of the four tables become (measure, value) rows and are
+    looked up by the report's lines.
+    """
+    blocks = breakdown.where("kind = 'total' OR (kind = 'block' AND block <> 'other')").select(
         F.when(F.col("kind") == "total", F.lit("all_outcomes")).otherwise(F.concat(F.lit("block_"), "block")).alias("measure"),
         F.col("n").cast("double").alias("value"),
     )
+    silent = _totals_as_rows(no_answer, ["n"]).withColumn("measure", F.lit("school_no_answer"))
     values = union_all(
         [
             _totals_as_rows(infographic_table, INFOGRAPHIC_MEASURES),
-            _totals_as_rows(indicators, spread),
+            _totals_as_rows(indicators, ["median_contacts", "max_contacts"]),
             blocks,
-            _totals_as_rows(no_answer, ["n"]).withColumn("measure", F.lit("school_no_answer")),
+            silent,
         ]
     )
-    names = [*INFOGRAPHIC_MEASURES, *spread, "all_outcomes", "block_a", "block_b", "school_no_answer"]
-    line = values.groupBy().agg(*[F.max(F.when(F.col("measure") == m, F.col("value"))).alias(m) for m in names])
-    line = line.withColumn(
-        "accepted_pct_no_school",
-        percent(F.col("accepted"), F.col("verified") - F.coalesce("school_no_answer", F.lit(0))),
-    )
-
-    def written(measure, style):
-        if measure is None:
-            return F.lit("")
-        if style == "quartiles":
-            parts = ["median_contacts", " (", "q25_contacts", "-", "q75_contacts", ")"]
-        elif style == "range":
-            parts = ["(", "min_contacts", "-", "max_contacts", ")"]
-        else:
-            return percent_label(F.col(measure)) if style == "percent" else format_number(F.col(measure))
-        return F.concat(*[format_number(F.col(p)) if p in spread else F.lit(p) for p in parts])
-
-    lines = F.array(
-        *[
-            F.struct(
-                F.lit(ord_).alias("ord"),
-                F.lit(label).alias("label"),
-                F.lit(measure).cast("string").alias("measure"),
-                (F.col(measure).cast("double") if measure else F.lit(None).cast("double")).alias("value"),
-                written(measure, style).alias("value_text"),
-            )
-            for ord_, label, measure, style in WEEKLY_LINES
-        ]
+    the = lambda m: F.max(F.when(F.col("measure") == m, F.col("value")))
+    without_school = values.groupBy().agg(
+        percent(the("accepted"), the("verified") - F.coalesce(the("school_no_answer"), F.lit(0))).alias("value")
     )
+    values = values.unionByName(without_school.select(F.lit("accepted_pct_no_school").alias("measure"), "value"))
+    lines = values.sparkSession.createDataFrame(WEEKLY_LINES, "ord int, label string, measure string, style string")
     year, week = study_week(as_of)
-    return line.select(F.lit(year).alias("iso_year"), F.lit(week).alias("iso_week"), F.inline(lines))
+    return (
+        lines.join(values, "measure", "left")
+        .join(_spread_texts(indicators), "measure", "left")
+        .select(
+            F.lit(year).alias("iso_year"),
+            F.lit(week).alias("iso_week"),
+            "ord",
+            "label",
+            "measure",
+            "value",
+            F.when(F.col("style") == "percent", percent_label(F.col("value")))
+            .when(F.col("style") == "number", format_number(F.col("value")))
+            .when(F.col("style") == "text", F.col("text"))
+            .otherwise(F.lit(""))
+            .alias("value_text"),
+        )
+    )

@@ -28,7 +28,7 @@ from contagrid.operators import (
 from contagrid.operators.cubes import case_cube, contact_birth_date, contact_cube
 from contagrid.plans import roles
 from contagrid.plans.roles import AS_OF_EVENTS, AS_OF_ORDERS, DRIVER, table
-from contagrid.session import shared_folder
+from contagrid.session import Stage, shared_folder
 from contagrid.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,23 +64,24 @@ def _symptoms(spark, sf_dir, value=None):
     return follow.symptom_evolution(_study_contacts(spark, sf_dir), _followups(spark, sf_dir), value, vocab=DRIVER)
 
 
-def _became(spark, sf_dir):
-    return case_ops.became_cases(_contact_cube(spark, sf_dir), _indicators(spark, sf_dir), DRIVER)
-
+class _Summary:
+    """Tables the summaries share, over cubes written once as in the report job."""
 
-def _measures(spark, sf_dir):
-    return summaries.territory_measures(_indicators(spark, sf_dir), _symptoms(spark, sf_dir), _became(spark, sf_dir))
+    def __init__(self, spark, sf_dir):
+        stage = Stage(spark)
+        self.indicators = stage(_indicators(spark, sf_dir), "indicators")
+        self.contacts = stage(_contact_cube(spark, sf_dir), "contact_cube")
+        self.followups = stage(_followups(spark, sf_dir), "followup_cube")
+        self.became = case_ops.became_cases(self.contacts, self.indicators, DRIVER)
+        self.symptoms = follow.symptom_evolution(_study_contacts(spark, sf_dir), self.followups, vocab=DRIVER)
+        self.stage = stage
 
+    def measures(self):
+        return summaries.territory_measures(self.indicators, self.symptoms, self.became)
 
-def _infographic(spark, sf_dir):
-    return summaries.infographic(
-        _indicators(spark, sf_dir),
-        _contact_cube(spark, sf_dir),
-        follow.followup_table(_followups(spark, sf_dir), vocab=DRIVER),
-        _symptoms(spark, sf_dir),
-        _became(spark, sf_dir),
-        DRIVER,
-    )
+    def infographic(self):
+        status = follow.followup_table(self.followups, vocab=DRIVER)
+        return summaries.infographic(self.indicators, self.contacts, status, self.symptoms, self.became, DRIVER)
 
 
 def _event_history(spark, sf_dir):
@@ -286,7 +287,7 @@ def heavy_reporters(spark, sf_dir):
 
 @query
 def became_cases(spark, sf_dir):
-    return _became(spark, sf_dir)
+    return case_ops.became_cases(_contact_cube(spark, sf_dir), _indicators(spark, sf_dir), DRIVER)
 
 
 @query
@@ -407,41 +408,44 @@ def history_upsert(spark, sf_dir):
 
 @query
 def province_rollup(spark, sf_dir):
-    table_ = summaries.province_summary(_measures(spark, sf_dir), roles.converter(spark, sf_dir), DRIVER)
+    table_ = summaries.province_summary(_Summary(spark, sf_dir).measures(), roles.converter(spark, sf_dir), DRIVER)
     return table_.withColumn("contacts", F.round("contacts", 2))
 
 
 @query
 def national_summary(spark, sf_dir):
-    return summaries.national_summary(_measures(spark, sf_dir), DRIVER)
+    return summaries.national_summary(_Summary(spark, sf_dir).measures(), DRIVER)
 
 
 @query
 def single_measures(spark, sf_dir):
-    symptoms, became = _symptoms(spark, sf_dir), _became(spark, sf_dir)
-    return case_ops.symptomatic_or_confirmed(
-        case_ops.single_measure(symptoms, "total", "total"), case_ops.single_measure(became, "yes_n", "yes_n")
+    shared = _Summary(spark, sf_dir)
+    symptomatic = case_ops.single_measure(shared.symptoms, "total", "symptomatic")
+    confirmed = case_ops.single_measure(shared.became, "yes_n", "confirmed")
+    return reshape.align_measures(
+        {"symptomatic": (symptomatic, "symptomatic"), "confirmed": (confirmed, "confirmed")}, ["sve", "is_total"]
     )
 
 
 @query
 def infographic(spark, sf_dir):
-    return _infographic(spark, sf_dir)
+    return _Summary(spark, sf_dir).infographic()
 
 
 @query
 def infographic_transpose(spark, sf_dir):
     names = [f"NATION_{i}" for i in range(25)] + [DRIVER.total]
-    return summaries.infographic_transposed(_infographic(spark, sf_dir), names).drop("label")
+    return summaries.infographic_transposed(_Summary(spark, sf_dir).infographic(), names).drop("label")
 
 
 @query
 def weekly_summary(spark, sf_dir):
+    shared = _Summary(spark, sf_dir)
     lines = summaries.weekly_summary(
-        _infographic(spark, sf_dir),
-        _indicators(spark, sf_dir),
-        outcomes.outcome_breakdown(_contact_cube(spark, sf_dir), DRIVER),
-        outcomes.school_no_answer(_contact_cube(spark, sf_dir), DRIVER),
+        shared.stage(shared.infographic(), "infographic"),
+        shared.indicators,
+        outcomes.outcome_breakdown(shared.contacts, DRIVER),
+        outcomes.school_no_answer(shared.contacts, DRIVER),
         AS_OF_EVENTS,
     )
     return lines.where("measure IS NOT NULL").select("iso_year", "iso_week", "ord", "measure", F.round("value", 2).alias("value"))

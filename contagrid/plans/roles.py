@@ -11,10 +11,9 @@ from __future__ import annotations
 from dataclasses import replace
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contagrid.fixed_values import DOMAIN, OUTCOMES, SCHOOL_SETTING, SETTINGS, UNKNOWN_SETTING
-from contagrid.functions.dates import week_start
 from contagrid.operators.lookups import lookup
 
 AS_OF_ORDERS = date(2003, 6, 15)
@@ -33,13 +32,27 @@ DRIVER = replace(
 )
 
 
+# explicit schemas: inferring one costs a job per table
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pick(values, index: Column) -> Column:
-    """Value at a 0-based place; missing beyond the end."""
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+def one_of(values, index: str) -> str:
+    """SQL for the value at a 0-based place; missing beyond the end."""
+    return f"get(array({', '.join(repr(v) for v in values)}), int({index}))"
 
 
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,131 +83,98 @@ def cases(spark: SparkSession, sf_dir: str, urgent_only: bool = True) -> DataFra
     counts = orders.groupBy("o_custkey").agg(F.count("*").alias("__n"))
     customer = with_nation(table(spark, sf_dir, "customer"), spark, sf_dir, "c_nationkey")
     joined = lookup(customer, counts, {"c_custkey": "o_custkey"}, {"__n": "__n"}, unique=True)
-    return joined.select(
-        F.col("c_custkey").alias("cip"),
+    return joined.selectExpr(
+        "c_custkey AS cip",
         "sve",
-        F.col("c_mktsegment").alias("origin"),
-        F.coalesce("__n", F.lit(0)).cast("double").alias("n_contacts"),
-        pick(("dona", "home"), F.col("c_custkey") % 3).alias("gender"),
-        F.date_format(
-            F.add_months(F.lit(date(2001, 2, 28)), (-(F.col("c_custkey") % 1100)).cast("int")), "d/M/yyyy"
-        ).alias("birth_date"),
-        F.concat(F.lit("PLACE "), F.col("c_custkey") % 40).alias("place_name"),
+        "c_mktsegment AS origin",
+        "double(coalesce(__n, 0)) AS n_contacts",
+        f"{one_of(('dona', 'home'), 'c_custkey % 3')} AS gender",
+        "date_format(add_months(DATE '2001-02-28', -int(c_custkey % 1100)), 'd/M/yyyy') AS birth_date",
+        "concat('PLACE ', c_custkey % 40) AS place_name",
     )
 
 
-def place_of_order() -> Column:
-    return F.concat(F.lit("Brand#"), F.col("o_custkey") % 25 + 1, F.lit("/"), F.col("o_orderkey") % 50 + 1)
-
-
-def contact_columns() -> dict[str, Column]:
-    key, customer = F.col("o_orderkey"), F.col("o_custkey")
-    born = F.add_months(F.col("o_orderdate").cast("date"), (customer % 100 * -12).cast("int"))
-    written = (
-        F.when(key % 20 == 0, "30/2/1990")
-        .when(key % 20 == 1, "1/1/2050")
-        .when(key % 20 == 2, "1/1/1890")
-        .when(key % 20 == 3, F.lit(None))
-        .when(key % 20 == 4, F.date_format(born, "M/d/yyyy"))
-        .when(key % 20 == 5, F.date_format(born, "yyyy-MM-dd"))
-        .otherwise(F.date_format(born, "d/M/yyyy"))
-    )
-    priority = F.substring("o_orderpriority", 1, 1).cast("int") - 1
-    status = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
-    return {
-        "contact_id": key,
-        "case_cip": customer,
-        "municipality": place_of_order(),
-        "setting": pick(ALL_SETTINGS, priority * 2 + customer % 2),
-        "outcome": pick(OUTCOMES, status * 4 + key % 4),
-        "symptoms_day0": pick(("Sí", "No"), key % 3),
-        "birth_date": written,
-    }
+PLACE = "concat('Brand#', o_custkey % 25 + 1, '/', o_orderkey % 50 + 1)"
+BORN = "add_months(date(o_orderdate), -12 * int(o_custkey % 100))"
+CONTACT_COLUMNS = (
+    "o_orderkey AS contact_id",
+    "o_custkey AS case_cip",
+    f"{PLACE} AS municipality",
+    f"{one_of(ALL_SETTINGS, '(int(substr(o_orderpriority, 1, 1)) - 1) * 2 + o_custkey % 2')} AS setting",
+    f"{one_of(OUTCOMES, 'CASE o_orderstatus WHEN "F" THEN 0 WHEN "O" THEN 4 ELSE 8 END + o_orderkey % 4')} AS outcome",
+    f"{one_of(('Sí', 'No'), 'o_orderkey % 3')} AS symptoms_day0",
+    f"""CASE o_orderkey % 20 WHEN 0 THEN '30/2/1990' WHEN 1 THEN '1/1/2050' WHEN 2 THEN '1/1/1890' WHEN 3 THEN NULL
+        ELSE date_format({BORN}, CASE o_orderkey % 20 WHEN 4 THEN 'M/d/yyyy' WHEN 5 THEN 'yyyy-MM-dd' ELSE 'd/M/yyyy' END)
+        END AS birth_date""",
+)
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as contacts, in the territory of their customer."""
-    orders = table(spark, sf_dir, "orders").select(*[c.alias(n) for n, c in contact_columns().items()])
+    orders = table(spark, sf_dir, "orders").selectExpr(*CONTACT_COLUMNS)
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cip"), "c_nationkey")
     placed = lookup(orders, customer, {"case_cip": "cip"}, {"c_nationkey": "__nation"}, unique=True)
     return with_nation(placed, spark, sf_dir, "__nation").drop("__nation")
 
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").withColumn("__nation", (F.col("p_partkey") % 25).cast("int"))
-    category = F.element_at(
-        F.create_map(
-            *[F.lit(x) for x in (
-                "STANDARD", "Municipi", "PROMO", "Barri", "ECONOMY", "Veïnat", "MEDIUM", "Caseria", "LARGE", "Masia",
-            )]
-        ),
-        F.col("p_type"),
-    )
-    return with_nation(part, spark, sf_dir, "__nation").select(
-        F.upper(F.concat("p_brand", F.lit("/"), "p_size")).alias("place_name"),
-        category.alias("category"),
+    part = table(spark, sf_dir, "part").withColumn("__nation", F.expr("int(p_partkey % 25)"))
+    return with_nation(part, spark, sf_dir, "__nation").selectExpr(
+        "upper(concat(p_brand, '/', p_size)) AS place_name",
+        """CASE p_type WHEN 'STANDARD' THEN 'Municipi' WHEN 'PROMO' THEN 'Barri' WHEN 'ECONOMY' THEN 'Veïnat'
+           WHEN 'MEDIUM' THEN 'Caseria' WHEN 'LARGE' THEN 'Masia' END AS category""",
         "sve",
-        F.upper("p_name").alias("municipality_name"),
-        F.col("p_partkey").alias("source_row"),
+        "upper(p_name) AS municipality_name",
+        "p_partkey AS source_row",
     )
 
 
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as people who name a place, a unit or only a region."""
-    key = F.col("o_orderkey")
     orders = table(spark, sf_dir, "orders")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    region = nations(spark, sf_dir)
+    customer = table(spark, sf_dir, "customer")
     placed = lookup(orders, customer, {"o_custkey": "c_custkey"}, {"c_nationkey": "__nation"}, unique=True)
-    placed = lookup(placed, region, {"__nation": "n_nationkey"}, {"r_name": "__region"}, unique=True)
-    return placed.select(
-        key.cast("string").alias("cip"),
-        F.when(key % 17 == 0, "NULL").when(key % 19 == 0, F.lit(None)).otherwise(F.upper(place_of_order())).alias(
-            "municipality"
-        ),
-        F.when(key % 10 == 0, F.concat(F.lit("UVE"), F.col("o_custkey") % 30))
-        .when(key % 10 == 1, "N/A")
-        .otherwise(F.lit(None))
-        .alias("uve"),
-        F.when(key % 7 != 0, F.col("__region")).alias("region"),
+    placed = lookup(placed, nations(spark, sf_dir), {"__nation": "n_nationkey"}, {"r_name": "__region"}, unique=True)
+    return placed.selectExpr(
+        "string(o_orderkey) AS cip",
+        f"CASE WHEN o_orderkey % 17 = 0 THEN 'NULL' WHEN o_orderkey % 19 <> 0 THEN upper({PLACE}) END AS municipality",
+        "CASE o_orderkey % 10 WHEN 0 THEN concat('UVE', o_custkey % 30) WHEN 1 THEN 'N/A' END AS uve",
+        "CASE WHEN o_orderkey % 7 <> 0 THEN __region END AS region",
     )
 
 
+EVENT_COLUMNS = (
+    "event_id AS contact_id",
+    "int(user_id % 25) AS __nation",
+    "date(date_trunc('week', ts)) AS snapshot_week",
+    "date_format(ts, 'd/M/yyyy H:mm:ss') AS verified_at",
+    "CASE event_type WHEN 'click' THEN 'Sí' WHEN 'view' THEN 'No' END AS symptoms_day0",
+    """CASE event_type WHEN 'click' THEN 'Realitzat' WHEN 'view' THEN 'Realitzat' WHEN 'purchase' THEN 'Pendent'
+       WHEN 'signup' THEN 'Anul·lat' END AS status_1""",
+    f"date_format(date_add(ts, {one_of((7, 10, 14, 8), 'event_id % 4')}), 'd/M/yyyy') AS date_1",
+    f"{one_of(('No', 'Sí'), 'event_id % 3')} AS isolated_1",
+    f"{one_of(('motiu 0', 'motiu 1', 'motiu 2'), 'event_id % 4')} AS reason_1",
+    "CASE WHEN event_id % 7 < 3 THEN 'Sí' WHEN event_id % 7 < 6 THEN 'No' END AS symptoms_1",
+    f"{one_of(('Realitzat', 'Realitzat', 'Pendent', 'Anul·lat'), 'event_id % 5')} AS status_2",
+    f"date_format(date_add(ts, {one_of((10, 7, 14, 10, 3, 14), 'event_id % 6')}), 'd/M/yyyy') AS date_2",
+    f"{one_of(('No', 'Sí'), 'event_id % 2')} AS isolated_2",
+    f"{one_of(('motiu 0', 'motiu 1', 'motiu 2'), 'user_id % 4')} AS reason_2",
+    "CASE WHEN user_id % 7 < 3 THEN 'Sí' WHEN user_id % 7 < 6 THEN 'No' END AS symptoms_2",
+)
+
+
 def event_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as contacts verified at their time stamp, with two follow-up slots."""
-    event, user = F.col("event_id"), F.col("user_id")
-    day = F.col("ts").cast("date")
-    status_1 = F.element_at(
-        F.create_map(*[F.lit(x) for x in ("click", "Realitzat", "view", "Realitzat", "purchase", "Pendent", "signup", "Anul·lat", "error", "cap")]),
-        F.col("event_type"),
-    )
-    symptoms = lambda c: F.when(c < 3, "Sí").when(c < 6, "No")
-    frame = table(spark, sf_dir, "events").select(
-        event.alias("contact_id"),
-        (user % 25).cast("int").alias("__nation"),
-        week_start(F.col("ts")).alias("snapshot_week"),
-        F.date_format("ts", "d/M/yyyy H:mm:ss").alias("verified_at"),
-        F.when(F.col("event_type") == "click", "Sí").when(F.col("event_type") == "view", "No").alias("symptoms_day0"),
-        F.nullif(status_1, F.lit("cap")).alias("status_1"),
-        F.date_format(F.date_add(day, pick((7, 10, 14, 8), event % 4)), "d/M/yyyy").alias("date_1"),
-        pick(("No", "Sí"), event % 3).alias("isolated_1"),
-        pick(("motiu 0", "motiu 1", "motiu 2"), event % 4).alias("reason_1"),
-        symptoms(event % 7).alias("symptoms_1"),
-        pick(("Realitzat", "Realitzat", "Pendent", "Anul·lat"), event % 5).alias("status_2"),
-        F.date_format(F.date_add(day, pick((10, 7, 14, 10, 3, 14), event % 6)), "d/M/yyyy").alias("date_2"),
-        pick(("No", "Sí"), event % 2).alias("isolated_2"),
-        pick(("motiu 0", "motiu 1", "motiu 2"), user % 4).alias("reason_2"),
-        symptoms(user % 7).alias("symptoms_2"),
-    )
+    frame = table(spark, sf_dir, "events").selectExpr(*EVENT_COLUMNS)
     return with_nation(frame, spark, sf_dir, "__nation").drop("__nation")
 
 
 def event_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as cases of their week; an error event reports no contacts."""
-    frame = table(spark, sf_dir, "events").select(
-        F.col("event_id").cast("string").alias("cip"),
-        (F.col("user_id") % 25).cast("int").alias("__nation"),
-        week_start(F.col("ts")).alias("snapshot_week"),
-        F.when(F.col("event_type") == "error", 0).otherwise(F.floor("value")).cast("double").alias("n_contacts"),
+    frame = table(spark, sf_dir, "events").selectExpr(
+        "event_id AS cip",
+        "int(user_id % 25) AS __nation",
+        "date(date_trunc('week', ts)) AS snapshot_week",
+        "double(CASE WHEN event_type = 'error' THEN 0 ELSE floor(value) END) AS n_contacts",
     )
     return with_nation(frame, spark, sf_dir, "__nation").drop("__nation")
