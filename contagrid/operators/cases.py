@@ -11,7 +11,8 @@ from contagrid.fixed_values import DOMAIN, Vocabulary
 from contagrid.functions.dates import DAY_MONTH_YEAR, YEAR_MONTH_DAY, age_years, parse_date
 from contagrid.functions.numbers import percent, ratio
 from contagrid.operators.aggregates import count_rows, crosstab, level_columns, row_total, with_totals
-from contagrid.operators.filters import members, non_members, not_equal_or_null
+from contagrid.operators.filters import not_equal_or_null
+from contagrid.operators.lookups import members, non_members
 from contagrid.operators.reshape import align_measures
 from contagrid.operators.windows import share_of_total
 

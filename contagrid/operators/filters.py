@@ -45,17 +45,6 @@ def row_difference(df: DataFrame, minus: DataFrame) -> DataFrame:
     return df.join(right, same, "left_anti")
 
 
-def members(df: DataFrame, ids: DataFrame, on: str, id_column: str | None = None) -> DataFrame:
-    """Rows whose key is in ``ids`` (semi join; never multiplies rows)."""
-    right = ids.select(F.col(id_column or on).alias(on))
-    return df.join(right, on, "left_semi")
-
-
-def non_members(df: DataFrame, ids: DataFrame, on: str, id_column: str | None = None) -> DataFrame:
-    right = ids.select(F.col(id_column or on).alias(on))
-    return df.join(right, on, "left_anti")
-
-
 def with_placeholder(df: DataFrame, label: str) -> DataFrame:
     """For the sink: a one-row placeholder when, and only when, ``df`` is empty.
 

@@ -2,8 +2,12 @@
 
 No broadcast hint is given. Catalyst broadcasts a dimension when its size is
 known to be under ``spark.sql.autoBroadcastJoinThreshold``; beyond that the
-join shuffles, and adaptive execution splits the partitions of a hot key
-(every join here keeps the big table on the left, the side that may be split).
+join shuffles both sides. Every join keeps the big table on the left, the side
+adaptive execution may split when one key holds very many rows. It only does so
+when both inputs come straight from a shuffle, which ``split_hot_keys`` ensures:
+the join key is extended by its own hash, so the partitioning left behind by the
+selection of first rows does not fit and the (one row per key) side is shuffled
+for the join itself.
 """
 
 from __future__ import annotations
@@ -13,6 +17,33 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+def join_on_hashed_key(
+    left: DataFrame, right: DataFrame, on: dict[str, str], how: str, split_hot_keys: bool = True
+) -> DataFrame:
+    """Equi-join of ``left`` columns to ``right`` columns, keeping the left's columns.
+
+    ``how`` is left, left_semi or left_anti; the right's key columns are dropped.
+    """
+    right = right.withColumnsRenamed({new: f"__key_{new}" for new in on.values()})
+    condition = [F.col(l) == F.col(f"__key_{r}") for l, r in on.items()]
+    if split_hot_keys:
+        left = left.withColumn("__left_hash", F.xxhash64(*on))
+        right = right.withColumn("__hash", F.xxhash64(*[f"__key_{r}" for r in on.values()]))
+        condition.append(F.col("__left_hash") == F.col("__hash"))
+    drop = ["__left_hash", "__hash", *[f"__key_{r}" for r in on.values()]]
+    return left.join(right, condition, how).drop(*drop)
+
+
+def members(df: DataFrame, ids: DataFrame, on: str, id_column: str | None = None) -> DataFrame:
+    """Rows whose key is in ``ids`` (semi join; never multiplies rows)."""
+    return join_on_hashed_key(df, ids.select(id_column or on), {on: id_column or on}, "left_semi")
+
+
+def non_members(df: DataFrame, ids: DataFrame, on: str, id_column: str | None = None) -> DataFrame:
+    """Rows whose key is not in ``ids``; rows without a key stay."""
+    return join_on_hashed_key(df, ids.select(id_column or on), {on: id_column or on}, "left_anti")
+
+
 def first_match(dim: DataFrame, keys: str | Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the first in ``order``.
 
@@ -31,23 +62,23 @@ def lookup(
     take: dict[str, str],
     order: Sequence[str] = ("source_row",),
     unique: bool = False,
+    split_hot_keys: bool = False,
 ) -> DataFrame:
     """Left join to the first matching row of ``dim``.
 
     ``on`` maps left columns to dimension columns and ``take`` maps dimension
-    columns to the new names. Missing keys match nothing.
+    columns to the new names. Missing keys match nothing. ``unique`` says that
+    ``dim`` has one row per key already. Ask for ``split_hot_keys`` where the
+    dimension can outgrow a broadcast: the rows of a hot key are then read by
+    several tasks.
     """
     keys = list(on.values())
     needed = list(dict.fromkeys([*keys, *take, *([] if unique else order)]))
     right = dim.select(*needed).dropna(subset=keys)
     if not unique:
         right = first_match(right, keys, order)
-    right = right.select(
-        *[F.col(k).alias(f"__key_{k}") for k in keys],
-        *[F.col(c).alias(new) for c, new in take.items()],
-    )
-    condition = [F.col(left) == F.col(f"__key_{k}") for left, k in on.items()]
-    return df.join(right, condition, "left").drop(*[f"__key_{k}" for k in keys])
+    right = right.select(*[F.col(k).alias(f"__dim_{k}") for k in keys], *[F.col(c).alias(new) for c, new in take.items()])
+    return join_on_hashed_key(df, right, {left: f"__dim_{k}" for left, k in on.items()}, "left", split_hot_keys)
 
 
 def duplicate_keys(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -82,6 +82,7 @@ def resolve_territory(
         {"place_name": "place_name"},
         {c: f"__{c}" for c in ("place_class", "settlement_sve", "first_sve", "place_sves")},
         unique=True,
+        split_hot_keys=True,
     )
     is_class = lambda name: F.col("__place_class") == name
     nameless = (F.col("place_name") == vocab.missing_place) & F.col("region").isNotNull()
@@ -125,12 +126,12 @@ def resolve_contact_territory(
     require_columns(contacts, "case_cip", "municipality")
     require_columns(patients, "cip", "sve")
     case_key = {**{k: k for k in partition_keys}, "case_cip": "cip"}
-    people = lookup(contacts, patients, case_key, {"sve": "__sve_case"}, order=("sve",))
+    people = lookup(contacts, patients, case_key, {"sve": "__sve_case"}, order=("sve",), split_hot_keys=True)
     people = people.withColumn("__place", clean_place(F.col("municipality"), vocab.contact_place_fixes))
     settlements = gazetteer.where(F.col("category").isin(*vocab.settlement_categories)).withColumn(
         "place_name", F.upper("place_name")
     )
-    people = lookup(people, settlements, {"__place": "place_name"}, {"sve": "__sve_own"})
+    people = lookup(people, settlements, {"__place": "place_name"}, {"sve": "__sve_own"}, split_hot_keys=True)
     return people.select(*contacts.columns, F.coalesce("__sve_own", "__sve_case").alias("sve"))
 
 

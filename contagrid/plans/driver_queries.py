@@ -156,7 +156,7 @@ def row_difference(spark, sf_dir):
 def membership_filter(spark, sf_dir):
     """Cases that have a school contact."""
     ids = case_ops.school_case_ids(roles.contacts(spark, sf_dir), DRIVER)
-    return filters.members(roles.cases(spark, sf_dir), ids, "cip", "case_cip").select("cip", "sve")
+    return lookups.members(roles.cases(spark, sf_dir), ids, "cip", "case_cip").select("cip", "sve")
 
 
 @query
