@@ -69,9 +69,11 @@ class _Summary:
 
     def __init__(self, spark, sf_dir):
         stage = Stage(spark)
-        self.indicators = stage(_indicators(spark, sf_dir), "indicators")
-        self.contacts = stage(_contact_cube(spark, sf_dir), "contact_cube")
-        self.followups = stage(_followups(spark, sf_dir), "followup_cube")
+        self.indicators, self.contacts, self.followups = stage.together(
+            indicators=_indicators(spark, sf_dir),
+            contact_cube=_contact_cube(spark, sf_dir),
+            followup_cube=_followups(spark, sf_dir),
+        )
         self.became = case_ops.became_cases(self.contacts, self.indicators, DRIVER)
         self.symptoms = follow.symptom_evolution(_study_contacts(spark, sf_dir), self.followups, vocab=DRIVER)
         self.stage = stage

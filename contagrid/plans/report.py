@@ -71,9 +71,11 @@ def report_tables(
         contacts.where(study).select("case_cip", "sve", "setting", "outcome", "symptoms_day0", "birth_date"),
         "study_contacts",
     )
-    by_case = stage(case_cube(study_patients), "case_cube")
-    by_contact = stage(contact_cube(study_contacts, as_of), "contact_cube")
-    followups = stage(follow.followup_cube(contacts, as_of, weeks=FOLLOWUP_WEEKS, vocab=vocab), "followup_cube")
+    by_case, by_contact, followups = stage.together(
+        case_cube=case_cube(study_patients),
+        contact_cube=contact_cube(study_contacts, as_of),
+        followup_cube=follow.followup_cube(contacts, as_of, weeks=FOLLOWUP_WEEKS, vocab=vocab),
+    )
 
     t: dict[str, DataFrame] = {}
     indicators = stage(cases.case_contact_indicators(by_case, vocab), "indicators")

@@ -104,7 +104,8 @@ CONTACT_COLUMNS = (
     f"{one_of(OUTCOMES, 'CASE o_orderstatus WHEN "F" THEN 0 WHEN "O" THEN 4 ELSE 8 END + o_orderkey % 4')} AS outcome",
     f"{one_of(('Sí', 'No'), 'o_orderkey % 3')} AS symptoms_day0",
     f"""CASE o_orderkey % 20 WHEN 0 THEN '30/2/1990' WHEN 1 THEN '1/1/2050' WHEN 2 THEN '1/1/1890' WHEN 3 THEN NULL
-        ELSE date_format({BORN}, CASE o_orderkey % 20 WHEN 4 THEN 'M/d/yyyy' WHEN 5 THEN 'yyyy-MM-dd' ELSE 'd/M/yyyy' END)
+        WHEN 4 THEN date_format({BORN}, 'M/d/yyyy') WHEN 5 THEN date_format({BORN}, 'yyyy-MM-dd')
+        ELSE date_format({BORN}, 'd/M/yyyy')
         END AS birth_date""",
 )
 

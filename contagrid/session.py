@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -54,3 +57,15 @@ class Stage:
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def together(self, **tables: DataFrame) -> list[DataFrame]:
+        """Write independent tables at the same time."""
+        jobs = {name: lambda df=df, name=name: self(df, name) for name, df in tables.items()}
+        return list(run_together(self.spark, jobs).values())
+
+
+def run_together(spark: SparkSession, jobs: dict[str, Callable], at_once: int = 8) -> dict:
+    """Run small independent Spark jobs side by side; the first failure is raised."""
+    with ThreadPoolExecutor(at_once) as pool:
+        running = {name: pool.submit(inheritable_thread_target(spark)(job)) for name, job in jobs.items()}
+        return {name: future.result() for name, future in running.items()}

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 
 from contagrid.operators.history import new_history_rows, study_week
+from contagrid.session import run_together
 from contagrid.sources.readers import read_history
 
 
@@ -18,13 +19,18 @@ def table_path(out: str, name: str, as_of: date) -> str:
 
 def write_tables(tables: Mapping[str, DataFrame], out: str, as_of: date, fmt: str = "parquet") -> dict[str, str]:
     """Each table under its own name and week; a re-run replaces the week."""
-    paths = {}
-    for name, df in tables.items():
-        paths[name] = table_path(out, name, as_of)
+    if not tables:
+        return {}
+    paths = {name: table_path(out, name, as_of) for name in tables}
+
+    def save(df: DataFrame, path: str) -> None:
         writer = df.write.mode("overwrite").format(fmt)
         if fmt == "csv":
             writer = writer.option("header", True)
-        writer.save(paths[name])
+        writer.save(path)
+
+    spark = next(iter(tables.values())).sparkSession
+    run_together(spark, {name: lambda df=df, name=name: save(df, paths[name]) for name, df in tables.items()})
     return paths
 
 
