@@ -155,6 +155,98 @@ SPANISH_LABELS = {
     "confirmed": "Número de contactos estrechos que se confirman como casos",
 }
 
+# ---- fixed values: column headers of exported tables ({now}, {before}: ISO weeks)
+COLUMN_LABELS = {
+    "case_contact_indicators": {
+        "sve": "SVE",
+        "cases": "1.1-casos_totals",
+        "reporting_cases": "1.2-N_casos_reporten_contactes",
+        "reporting_pct": "1.3-%casos amb contactes",
+        "total_contacts": "2.1-N total de CE",
+        "mean_contacts": "2.2-Mitjana",
+        "median_contacts": "2.2Mediana",
+        "iqr_contacts": "2.2-IQR",
+        "min_contacts": "2.2-Min",
+        "max_contacts": "2.2-max",
+    },
+    "origin_split": {
+        "sve": "SVE",
+        "first_n": "Origen_eCap",
+        "first_pct": "%Origen_eCAP",
+        "second_n": "Origen_COVID19",
+        "second_pct": "%Origen_COVID19",
+        "total": "TOTAL",
+    },
+    "week_over_week": {
+        "sve": "SVE",
+        "informed": "I",
+        "not_informed": "NI",
+        "total": "Total",
+        "informed_pct": "%_I_SE{now}",
+        "previous_informed_pct": "%_I_SE{before}",
+        "change_points": "Variació %",
+    },
+    "contacts_per_case": {
+        "n_contacts": "contactes",
+        "informed_cases": "nº casos informats",
+        "pct": "% de casos amb CE",
+    },
+    "school_split": {
+        "sve": "SVE",
+        "cases_with_school": "Casos amb contactes escolars",
+        "cases_without_school": "Casos sense contactes escolars",
+        "school_contacts": "Contactes àmbit escolar",
+        "other_contacts": "Contactes àmbit no escolar",
+        "school_ratio": "CE/CI àmbit escolar",
+        "other_ratio": "CE/CI àmbit no escolar",
+    },
+    "heavy_reporters": {
+        "n_contacts_reported": "N_contactes_segons_pestanya_pacients",
+        "n_contacts_listed": "N_contactes_segons_pestanya_contactes",
+    },
+    "became_cases": {
+        "sve": "SVE", "no_n": "No_N", "no_pct": "No_%", "yes_n": "Si_N", "yes_pct": "Si_%", "total_n": "Total_N",
+    },
+    "followups": {
+        "sve": "SVE", "status": "Estat", "day7": "Seguiment_dia7", "day10": "Seguiment_dia10", "day14": "Seguiment_dia14",
+    },
+    "isolation_reasons": {
+        "sve": "SVE", "reason": "Motiu", "day7": "Motius_dia_7", "day10": "Motius_dia_10", "day14": "Motius_dia_14",
+    },
+    "symptomatic": {
+        "sve": "SVE",
+        "day0": "Simptomàtics_dia0",
+        "day7": "Simptomàtics_dia_7",
+        "day10": "Simptomàtics_dia_10",
+        "day14": "Simptomàtics_dia_14",
+        "total": "Totals",
+    },
+    "asymptomatic": {
+        "sve": "SVE",
+        "day0": "Asimptomàtics_dia0",
+        "day7": "Asimptomàtics_dia_7",
+        "day10": "Asimptomàtics_dia_10",
+        "day14": "Asimptomàtics_dia_14",
+        "total": "Totals",
+    },
+    "province_summary": {
+        "province": "Provincia",
+        "cases": "Casos notificats",
+        "contacts": "Total de CE",
+        "symptomatic": "CE que desenvolupen símptomes",
+        "confirmed": "CE que es confirmen com a Casos",
+    },
+    "national_summary": {
+        "sve": "SVE",
+        "cases": "Total de casos notificats",
+        "cases_pct": "Percentatge(%)",
+        "contacts": "Contactes estrets(CE)",
+        "symptomatic": "CE amb símptomes",
+        "confirmed": "CE que es confirmen com a cas",
+    },
+    "weekly_summary": {"label": "Indicadors", "value_text": "Valor SE{now}"},
+}
+
 
 @dataclass(frozen=True)
 class Vocabulary:

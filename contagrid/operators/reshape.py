@@ -51,6 +51,8 @@ def transpose(df: DataFrame, key: str, measures: Sequence[str], key_values: Sequ
     long = df.select(key, *[F.col(m).cast("double").alias(m) for m in measures]).unpivot(
         [key], list(measures), "measure", "value"
     )
+    if not key_values:  # a week without data
+        return long.select("measure").distinct()
     return long.groupBy("measure").agg(
         *[F.max(F.when(F.col(key).eqNullSafe(F.lit(k)), F.col("value"))).alias(k) for k in key_values]
     )

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from contagrid.fixed_values import DOMAIN, FOLLOWUP_WEEKS, Vocabulary
 from contagrid.operators import cases, followup as follow, history as past, outcomes, settings, summaries
 from contagrid.operators.cubes import case_cube, contact_cube
+from contagrid.operators.filters import with_placeholder
+from contagrid.operators.lookups import duplicate_keys
 from contagrid.operators.ordering import level_position, totals_last
 from contagrid.operators.territory import (
     resolve_contact_territory,
@@ -127,19 +129,22 @@ def report_tables(
     t["chart_outcomes"] = outcomes.chart_outcomes(breakdown)
 
     t["unresolved_places"] = unresolved(study_patients)
+    t["ambiguous_cases"] = duplicate_keys(study_patients, "cip", "sve")
     t["history"] = past.history_row(indicators, as_of)
     return t
 
 
-def in_report_order(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Tables sorted the way readers see them; only label-sized ones are sorted by territory."""
+def in_report_order(tables: dict[str, DataFrame], vocab: Vocabulary = DOMAIN) -> dict[str, DataFrame]:
+    """Tables sorted the way readers see them; an empty follow-up table says so in one row."""
     out = {}
     for name, df in tables.items():
+        if name in ("followups", "isolation_reasons", "symptomatic", "asymptomatic"):
+            df = with_placeholder(df, vocab.placeholder)
         if "is_total" in df.columns:
             key = next(k for k in ("sve", "province", "age_band", "setting") if k in df.columns)
             df = df.orderBy("is_total", "ord") if "ord" in df.columns else totals_last(df, key)
-        elif name == "weekly_summary":
-            df = df.orderBy("ord")
+        elif "ord" in df.columns:
+            df = df.orderBy("ord", *[c for c in ("kind", "block") if c in df.columns])
         elif name == "setting_by_territory_age":
             bands = [label for label, _, _ in settings.AGE_BANDS]
             df = df.orderBy(F.collate("sve", "ca"), level_position(F.col("age_band"), bands))
@@ -148,12 +153,26 @@ def in_report_order(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def run_report(
-    spark: SparkSession, paths: dict[str, str], out: str, as_of: date, fmt: str = "parquet", vocab: Vocabulary = DOMAIN
+    spark: SparkSession,
+    paths: dict[str, str],
+    out: str,
+    as_of: date,
+    fmt: str = "parquet",
+    vocab: Vocabulary = DOMAIN,
+    export: str | None = None,
 ) -> dict[str, str]:
-    """Compute and write every table, then add the week to the history."""
+    """Compute and write every table, then add the week to the history.
+
+    ``export`` names a folder for labelled CSV copies, made from the written
+    tables so that nothing is computed twice.
+    """
     tables = report_tables(spark, read_inputs(spark, paths, as_of, fmt), as_of, vocab)
     current = tables.pop("history")
-    written = sinks.write_tables(in_report_order(tables), out, as_of)
+    written = sinks.write_tables(in_report_order(tables, vocab), out, as_of)
+    if export:
+        stored = {name: spark.read.schema(df.schema).parquet(written[name]) for name, df in tables.items()}
+        copies = {name: sinks.labelled(name, df, as_of) for name, df in in_report_order(stored, vocab).items()}
+        sinks.write_tables(copies, export, as_of, "csv")
     sinks.update_history(paths["history"], current)
     return written
 
@@ -164,10 +183,11 @@ def main(argv: list[str] | None = None) -> None:
         parser.add_argument(f"--{name}", required=True)
     parser.add_argument("--as-of", required=True, type=date.fromisoformat)
     parser.add_argument("--format", default="parquet", choices=("parquet", "csv"))
+    parser.add_argument("--export", help="folder for labelled CSV copies")
     args = vars(parser.parse_args(argv))
-    out, as_of, fmt = args.pop("out"), args.pop("as_of"), args.pop("format")
+    out, as_of, fmt, export = (args.pop(k) for k in ("out", "as_of", "format", "export"))
     spark = build_session("contagrid weekly report")
-    for name, path in run_report(spark, args, out, as_of, fmt).items():
+    for name, path in run_report(spark, args, out, as_of, fmt, export=export).items():
         print(f"{name}\t{path}")
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from contagrid.operators.history import new_history_rows, study_week
+from contagrid.fixed_values import COLUMN_LABELS
+from contagrid.functions.text import percent_label
+from contagrid.operators.history import new_history_rows, previous_study_week, study_week
 from contagrid.session import run_together
 from contagrid.sources.readers import read_history
 
@@ -17,6 +19,14 @@ def table_path(out: str, name: str, as_of: date) -> str:
     return f"{out.rstrip('/')}/{name}/iso_year={year}/iso_week={week:02d}"
 
 
+def labelled(name: str, df: DataFrame, as_of: date) -> DataFrame:
+    """A table as readers see it: its headers, and percentages written as text."""
+    weeks = {"now": study_week(as_of)[1], "before": previous_study_week(as_of)[1]}
+    labels = {c: text.format(**weeks) for c, text in COLUMN_LABELS.get(name, {}).items()}
+    shares = [c for c, kind in df.dtypes if (c == "pct" or c.endswith("_pct")) and kind == "double"]
+    return df.withColumns({c: percent_label(F.col(c)) for c in shares}).drop("is_total").withColumnsRenamed(labels)
+
+
 def write_tables(tables: Mapping[str, DataFrame], out: str, as_of: date, fmt: str = "parquet") -> dict[str, str]:
     """Each table under its own name and week; a re-run replaces the week."""
     if not tables:

@@ -172,10 +172,21 @@ def test_heavy_reporters_and_tarragona(written):
 def test_second_run_replaces_tables_and_keeps_history(spark, paths, written, tmp_path):
     before = {tuple(r) for r in readers.read_history(spark, paths["history"]).collect()}
     assert len(before) == 9
-    again = report.run_report(spark, paths, str(tmp_path / "again"), AS_OF)
+    again = report.run_report(spark, paths, str(tmp_path / "again"), AS_OF, export=str(tmp_path / "csv"))
     assert {tuple(r) for r in readers.read_history(spark, paths["history"]).collect()} == before
     for name in ("weekly_summary", "symptomatic", "school_split"):
         assert sorted(map(str, spark.read.parquet(again[name]).collect())) == sorted(map(str, written[name].collect()))
+    exported = spark.read.option("header", True).csv(f"{tmp_path}/csv/week_over_week/iso_year=2020/iso_week=51")
+    assert exported.columns == ["SVE", "I", "NI", "Total", "%_I_SE51", "%_I_SE50", "Variació %"]
+    assert exported.where("SVE = 'Totals'").first()["%_I_SE51"].endswith("%")
+
+
+def test_empty_followups_are_written_as_a_placeholder(spark, paths, tmp_path):
+    # three weeks later no snapshot is left, and no follow-up either
+    out = report.run_report(spark, {**paths, "history": str(tmp_path / "h")}, str(tmp_path / "o"), AS_OF + timedelta(weeks=9))
+    for name in ("followups", "isolation_reasons", "symptomatic"):
+        assert [r.sve for r in spark.read.parquet(out[name]).collect()] == ["Sense seguiments"]
+    assert spark.read.parquet(out["case_contact_indicators"]).count() == 0
 
 
 def test_next_week_sees_this_week_as_previous(spark, paths, written):
