@@ -18,20 +18,28 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def join_on_hashed_key(
-    left: DataFrame, right: DataFrame, on: dict[str, str], how: str, split_hot_keys: bool = True
+    left: DataFrame,
+    right: DataFrame,
+    on: dict[str, str],
+    how: str,
+    take: dict[str, str] | None = None,
+    split_hot_keys: bool = True,
 ) -> DataFrame:
-    """Equi-join of ``left`` columns to ``right`` columns, keeping the left's columns.
+    """Equi-join of ``left`` columns to ``right`` columns.
 
-    ``how`` is left, left_semi or left_anti; the right's key columns are dropped.
+    The result has the left's columns and, for a left join, the ``take`` columns
+    of the right under their new names; a missing key matches nothing.
     """
-    right = right.withColumnsRenamed({new: f"__key_{new}" for new in on.values()})
-    condition = [F.col(l) == F.col(f"__key_{r}") for l, r in on.items()]
+    keys = {r: f"__key_{r}" for r in on.values()}
+    selected = [F.col(r).alias(k) for r, k in keys.items()] + [F.col(c).alias(new) for c, new in (take or {}).items()]
+    condition = [F.col(l) == F.col(keys[r]) for l, r in on.items()]
+    added = list(keys.values())
     if split_hot_keys:
         left = left.withColumn("__left_hash", F.xxhash64(*on))
-        right = right.withColumn("__hash", F.xxhash64(*[f"__key_{r}" for r in on.values()]))
+        selected.append(F.xxhash64(*on.values()).alias("__hash"))
         condition.append(F.col("__left_hash") == F.col("__hash"))
-    drop = ["__left_hash", "__hash", *[f"__key_{r}" for r in on.values()]]
-    return left.join(right, condition, how).drop(*drop)
+        added += ["__left_hash", "__hash"]
+    return left.join(right.select(*selected), condition, how).drop(*added)
 
 
 def members(df: DataFrame, ids: DataFrame, on: str, id_column: str | None = None) -> DataFrame:
@@ -72,13 +80,10 @@ def lookup(
     dimension can outgrow a broadcast: the rows of a hot key are then read by
     several tasks.
     """
-    keys = list(on.values())
-    needed = list(dict.fromkeys([*keys, *take, *([] if unique else order)]))
-    right = dim.select(*needed).dropna(subset=keys)
     if not unique:
-        right = first_match(right, keys, order)
-    right = right.select(*[F.col(k).alias(f"__dim_{k}") for k in keys], *[F.col(c).alias(new) for c, new in take.items()])
-    return join_on_hashed_key(df, right, {left: f"__dim_{k}" for left, k in on.items()}, "left", split_hot_keys)
+        keys = list(on.values())
+        dim = first_match(dim.select(*dict.fromkeys([*keys, *take, *order])), keys, order)
+    return join_on_hashed_key(df, dim, on, "left", take, split_hot_keys)
 
 
 def duplicate_keys(df: DataFrame, key: str, value: str) -> DataFrame:

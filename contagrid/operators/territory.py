@@ -126,7 +126,8 @@ def resolve_contact_territory(
     require_columns(contacts, "case_cip", "municipality")
     require_columns(patients, "cip", "sve")
     case_key = {**{k: k for k in partition_keys}, "case_cip": "cip"}
-    people = lookup(contacts, patients, case_key, {"sve": "__sve_case"}, order=("sve",), split_hot_keys=True)
+    placed = patients.where("sve IS NOT NULL")
+    people = lookup(contacts, placed, case_key, {"sve": "__sve_case"}, order=("sve",), split_hot_keys=True)
     people = people.withColumn("__place", clean_place(F.col("municipality"), vocab.contact_place_fixes))
     settlements = gazetteer.where(F.col("category").isin(*vocab.settlement_categories)).withColumn(
         "place_name", F.upper("place_name")

@@ -53,3 +53,16 @@ def test_status_filter_reaches_the_scan(spark):
     spark.createDataFrame([], SLOTS).write.mode("overwrite").parquet(path)
     text = plan(followup_cube(spark.read.parquet(path), AS_OF_EVENTS))
     assert "PushedFilters: [Or(In(status_1" in text
+
+
+@pytest.mark.parametrize("name", ["school_split", "followup_counts", "coalesced_territory", "first_match_lookup"])
+@pytest.mark.parametrize("settings", [{"spark.sql.shuffle.partitions": "1"}, {"spark.sql.autoBroadcastJoinThreshold": "-1"}])
+def test_same_result_however_the_work_is_spread(spark, con, name, settings):
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        assert compare(queries()[name](spark, SF_DIR), con, oracle_sql()[name]) is None
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

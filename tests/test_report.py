@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from contagrid.fixed_values import OUTCOMES, SETTINGS, SHEET_NAMES
+from contagrid.fixed_values import FOLLOWUP_WEEKS, OUTCOMES, SETTINGS, SHEET_NAMES
+from contagrid.operators.followup import followup_cube
+from contagrid.operators.territory import resolve_contact_territory
 from contagrid.plans import report
 from contagrid.session import shared_folder
 from contagrid.sources import readers
@@ -204,6 +207,21 @@ def test_snapshot_filter_prunes_partitions(spark, paths):
     assert "PartitionFilters: [isnotnull(snapshot_week" in text and "2020-12-07" in text
 
 
+def test_followups_scan_only_the_older_snapshots(spark, paths):
+    """The week filter passes the territory joins and the distinct down to both scans."""
+    patients = readers.read_patients(spark, paths["patients"], AS_OF).withColumn("sve", F.lit("A"))
+    contacts = resolve_contact_territory(
+        readers.read_contacts(spark, paths["contacts"], AS_OF), patients, readers.read_gazetteer(spark, paths["gazetteer"]),
+        partition_keys=("snapshot_week",),
+    )
+    text = plan(followup_cube(contacts, AS_OF, weeks=FOLLOWUP_WEEKS))
+    assert "2020-11-30" in text and "2020-12-07" in text
+    found = re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters", text)
+    found = [f for f in found if "snapshot_week" in f]
+    # contacts and patients; no scan keeps only the three-week filter it was read with
+    assert len(found) >= 2 and all(re.search(r"IN \(2020-11-30,2020-12-07\)", f) for f in found), found
+
+
 def test_csv_inputs_give_the_same_rows(spark, paths, tmp_path):
     source = spark.read.parquet(paths["patients"])
     source.write.partitionBy("snapshot_week").option("header", True).csv(str(tmp_path / "csv"))

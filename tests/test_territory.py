@@ -131,7 +131,7 @@ def test_place_classes(spark, gazetteer):
 
 
 def test_contacts_take_their_own_settlement_else_the_case(spark, gazetteer):
-    patients = frame(spark, [("p", "Lleida"), ("p", "Camp"), ("q", "Girona")], "cip string, sve string")
+    patients = frame(spark, [("p", "Lleida"), ("p", "Camp"), ("p", None), ("q", "Girona")], "cip string, sve string")
     contacts = frame(
         spark,
         [("1", "p", "GIRONA"), ("2", "p", "SOL"), ("3", "q", None), ("4", "x", "ENLLOC"), ("5", None, "FONOLLOSA")],
