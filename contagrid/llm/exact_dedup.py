@@ -54,7 +54,7 @@ def exact_groups(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xxh
     recipes = cut.select(
         "doc_id",
         F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
-        F.transform("chunks", chunk_hash).alias("recipe"),
+        F.transform("chunks", lambda chunk: chunk_hash(chunk)).alias("recipe"),
     )
     recipes = written(recipes, "exact-recipes")
 
