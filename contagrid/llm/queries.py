@@ -34,3 +34,10 @@ SELECT doc_id,
 FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contagrid.llm.simhash import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"))
