@@ -41,3 +41,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contagrid.llm.simhash import near_groups
 
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contagrid.llm.language_id import predicted
+
+    return predicted(table(spark, sf_dir, "documents"))
