@@ -48,3 +48,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contagrid.llm.language_id import predicted
 
     return predicted(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contagrid.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
