@@ -55,3 +55,35 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contagrid.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contagrid.llm.decontaminate import contained_items
+
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op5_decontaminate"] = r"""
+WITH words AS (
+    SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+    UNION ALL
+    SELECT 'i', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+    FROM benchmark
+), places AS (
+    SELECT kind, id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5
+), shingles AS (
+    SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS s FROM places
+), sizes AS (
+    SELECT id AS item_id, count(*) AS item_shingles FROM shingles WHERE kind = 'i' GROUP BY id
+), hits AS (
+    SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared
+    FROM shingles d JOIN shingles i ON d.s = i.s
+    WHERE d.kind = 'd' AND i.kind = 'i'
+    GROUP BY d.id, i.id
+)
+SELECT doc_id, item_id, item_shingles, shared, shared / item_shingles::DOUBLE AS containment
+FROM hits JOIN sizes USING (item_id)
+WHERE shared >= 0.8 * item_shingles
+"""
