@@ -87,3 +87,10 @@ SELECT doc_id, item_id, item_shingles, shared, shared / item_shingles::DOUBLE AS
 FROM hits JOIN sizes USING (item_id)
 WHERE shared >= 0.8 * item_shingles
 """
+
+
+@query
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contagrid.llm.licenses import scan_licenses, summary
+
+    return summary(scan_licenses(table(spark, sf_dir, "documents")))
