@@ -94,3 +94,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contagrid.llm.licenses import scan_licenses, summary
 
     return summary(scan_licenses(table(spark, sf_dir, "documents")))
+
+
+@query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contagrid.llm.lm_scoring import scored
+
+    return scored(table(spark, sf_dir, "documents"))
