@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from contagrid.llm.common import part_of, written
-from contagrid.llm.texts import word_blocks
+from contagrid.llm.texts import slices, word_blocks
 
 HEAD, LONGEST_HEAD_WORD = 20, 64
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -63,7 +63,7 @@ def word_counts(docs: DataFrame, train: str) -> DataFrame:
     """word (bytes), c: how often each word of ``docs`` (text, and the boolean column ``train``) stands in training texts, 0 if in others only."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2000):
             counts, others = Counter(), set()
             for text, learn in zip(batch.column(0), batch.column(1).to_pylist()):
                 for words in word_blocks(text.as_py()):
@@ -155,7 +155,7 @@ def scores(docs: DataFrame, held_out: str, model_file: str = MODEL_FILE, head: i
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
+        for batch in slices(batches, 2000):
             rest_at, rest_words, rest_n, of_doc = [], [], [], []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(2)):
                 n, found, base, score, rest = 1, end[2], end[0], end[1], Counter()

@@ -101,3 +101,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contagrid.llm.lm_scoring import scored
 
     return scored(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contagrid.llm.toxicity import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

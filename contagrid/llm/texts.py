@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
+
 SPACE = b" \t\n\r\x0b\x0c"
 BLOCK = 1 << 20
 
@@ -25,3 +27,10 @@ def word_blocks(text: str | None, size: int = BLOCK) -> Iterator[list[bytes]]:
     for block in blocks((text or "").encode("utf-8", "surrogatepass").lower(), SPACE, size):
         if words := block.split():
             yield words
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, for work that makes many Python objects of each."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
