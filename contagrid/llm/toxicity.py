@@ -3,7 +3,7 @@
 A word's vector is the mean of its own and its character n-grams' vectors, so a
 misspelling never seen shares most of it. A document is read in segments of a few
 dozen words, as a handful of toxic words would vanish in the mean of a long text; a
-segment is the mean of its words, and the document has its most toxic segment's
+segment is the mean of its different words, missing ones as zeros, and the document has its most toxic segment's
 score. Embeddings and softmax are trained together on a bounded sample of labelled
 documents. As all is linear up to the softmax, a task needs one number for each
 n-gram bucket: how far its vector moves the odds.
@@ -12,7 +12,7 @@ n-gram bucket: how far its vector moves the odds.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -25,14 +25,15 @@ from contagrid.llm.licenses import as_words
 
 BUCKETS, WIDTH, SEGMENT = 1 << 16, 4, 24
 SHORTEST, LONGEST = 3, 5
-SAMPLE_DOCS = 1000  # labelled documents of each class that the model is fitted on, about
-ROUNDS = 40
+SAMPLE_DOCS = 1500  # labelled documents of each class that the model is fitted on, about
+ROUNDS, LAST_ROUNDS = 60, 15
+RARE = 5.0  # a bucket in fewer segments than this, its words' other n-grams counted, is not trained
 
 
 class Model(NamedTuple):
     """Change of the log odds by each bucket's vector, and the log odds of no words."""
 
-    odds: np.ndarray
+    odds: Sequence[float]
     bias: float
 
 
@@ -50,9 +51,9 @@ class _Bag:
     """Segments as bags of words and words as bags of n-gram buckets, with sums both ways."""
 
     def __init__(self, grams: list[list[int]], segments: list[list[int]]):
-        self.lengths = np.array([len(s) for s in segments])
+        lengths = np.array([len(s) for s in segments])
         self.words = np.concatenate([np.array(s) for s in segments])
-        self.starts = np.append(0, np.cumsum(self.lengths)[:-1])
+        self.starts = np.append(0, np.cumsum(lengths)[:-1])
         self.counts = np.array([len(g) for g in grams])
         self.flat = np.concatenate([np.array(g) for g in grams])
         self.first = np.append(0, np.cumsum(self.counts)[:-1])
@@ -60,22 +61,22 @@ class _Bag:
         self.gram_word = np.repeat(np.arange(len(grams)), self.counts)[order]
         self.used, self.bucket_first = np.unique(self.flat[order], return_index=True)
         order = np.argsort(self.words, kind="stable")
-        self.word_segment = np.repeat(np.arange(len(segments)), self.lengths)[order]
+        self.word_segment = np.repeat(np.arange(len(segments)), lengths)[order]
         self.seen, self.word_first = np.unique(self.words[order], return_index=True)
         # Of each bucket, about the share of segments that have it.
         times = np.zeros(len(grams))
         times[self.seen] = np.diff(np.append(self.word_first, len(self.words)))
         often = np.add.reduceat((times / self.counts)[self.gram_word], self.bucket_first)
-        self.ease = (1.0 / np.sqrt(np.maximum(often, 1.0) / len(segments)))[:, None].astype(np.float32)
+        self.ease = (1.0 / np.sqrt(np.maximum(often, 1.0) / len(segments)) * (often >= RARE))[:, None].astype(np.float32)
 
     def hidden(self, vectors: np.ndarray) -> np.ndarray:
         by_word = np.add.reduceat(vectors[self.flat], self.first, axis=0) / self.counts[:, None].astype(np.float32)
-        return np.add.reduceat(by_word[self.words], self.starts, axis=0) / self.lengths[:, None].astype(np.float32)
+        return np.add.reduceat(by_word[self.words], self.starts, axis=0) / np.float32(SEGMENT)
 
     def back(self, to_hidden: np.ndarray) -> np.ndarray:
         """Gradient of the used buckets' vectors."""
         to_word = np.zeros((len(self.counts), to_hidden.shape[1]), np.float32)
-        shared = (to_hidden / self.lengths[:, None]).astype(np.float32)
+        shared = (to_hidden / SEGMENT).astype(np.float32)
         to_word[self.seen] = np.add.reduceat(shared[self.word_segment], self.word_first, axis=0)
         to_word /= self.counts[:, None].astype(np.float32)
         return np.add.reduceat(to_word[self.gram_word], self.bucket_first, axis=0)
@@ -123,7 +124,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, weights: np.ndarray, rounds:
     for i, text in enumerate(texts):
         ids = [vocabulary.setdefault(w, len(vocabulary)) for w in as_words(text).split()]
         for start in range(0, len(ids), SEGMENT):
-            segments.append(ids[start : start + SEGMENT])
+            segments.append(list(dict.fromkeys(ids[start : start + SEGMENT])))
             owner.append(i)
     if not segments:
         share = float(np.average(toxic, weights=weights)) if len(toxic) else 0.5
@@ -138,7 +139,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, weights: np.ndarray, rounds:
     there = sorted({w for i in top for w in segments[i]})
     place = {w: k for k, w in enumerate(there)}
     final = _Bag([grams[w] for w in there], [[place[w] for w in segments[i]] for i in top])
-    _descend(final, state, toxic[owner[top]].astype(int), weights[owner[top]], 2 * rounds)
+    _descend(final, state, toxic[owner[top]].astype(int), weights[owner[top]], LAST_ROUNDS)
     turn = state[1][:, 1] - state[1][:, 0]
     return Model((state[0] @ turn).astype(np.float32), float(state[2][1] - state[2][0]))
 
@@ -146,19 +147,15 @@ def fit(texts: list[str | None], toxic: np.ndarray, weights: np.ndarray, rounds:
 def log_odds(text: str | None, model: Model, known: dict[bytes, float]) -> float:
     """Of the most toxic segment; ``known`` keeps words' values between texts."""
     odds = model.odds
-    values = []
-    for word in as_words(text).split():
-        value = known.get(word)
-        if value is None:
-            value = known[word] = float(odds[word_buckets(word, len(odds))].mean())
-        values.append(value)
-    if not values:
-        return model.bias
-    values = np.array(values)
-    starts = np.arange(0, len(values), SEGMENT)
-    sums = np.add.reduceat(values, starts)
-    lengths = np.minimum(SEGMENT, len(values) - starts)
-    return float((sums / lengths).max() + model.bias)
+    words, top = as_words(text).split(), []
+    for start in range(0, len(words), SEGMENT):
+        segment = set(words[start : start + SEGMENT])
+        for word in segment:
+            if word not in known:
+                ids = word_buckets(word, len(odds))
+                known[word] = sum([odds[i] for i in ids]) / len(ids)
+        top.append(sum(map(known.__getitem__, segment)) / SEGMENT)
+    return max(top, default=0.0) + model.bias
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str | None], np.ndarray, np.ndarray]:
@@ -189,11 +186,12 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = Model(*shared.value), {}
+        odds, bias = shared.value
+        model, known = Model(odds.tolist(), bias), {}
         for batch in batches:
             odds = []
             for text in batch.column(1):
-                if len(known) > 300_000:
+                if len(known) > 500_000:
                     known.clear()
                 odds.append(log_odds(text.as_py(), model, known))
             p = 1.0 / (1.0 + np.exp(-np.clip(np.array(odds), -60, 60)))
