@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contagrid.llm.common import table
 
@@ -108,3 +108,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contagrid.llm.toxicity import scored
 
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SURROGATE_KEY = b"contagrid corpus surrogates"
+
+
+@query
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data: how much of which kinds, and its text with surrogates."""
+    from contagrid.llm.pii import pseudonymise
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pseudonymise(docs, SURROGATE_KEY).where(F.size("entities") > 0)
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",")
+    return found.select("doc_id", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"), "text")
