@@ -122,3 +122,45 @@ def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pseudonymise(docs, SURROGATE_KEY).where(F.size("entities") > 0)
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",")
     return found.select("doc_id", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"), "text")
+
+
+@query
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's second, not-modified capture with the stored response it stands for."""
+    from contagrid.llm.warc import crawl, resolve_revisits
+
+    found = resolve_revisits(crawl(table(spark, sf_dir, "pages")))
+    header = lambda name: F.element_at("headers", name).alias(name.replace("-", "_"))
+    return found.select("record_id", "url_key", "outcome", "response_id", "digest", header("content-length"), header("date"))
+
+
+ORACLE["op3_warc_revisits"] = r"""
+WITH bare AS (
+    SELECT page_id, coalesce(html, '') AS html, regexp_replace(regexp_replace(trim(url), '#.*$', '', 's'), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u
+    FROM pages
+), parts AS (
+    SELECT page_id, html, u,
+           regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '') AS host,
+           regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+           list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
+                                 lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)', 'i'))) AS kept
+    FROM bare
+), pages_keyed AS (
+    SELECT page_id, html, host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key
+    FROM parts
+), latest AS (
+    SELECT url_key, max(page_id) AS page_id FROM pages_keyed GROUP BY url_key
+), stored AS (
+    SELECT l.url_key, p.page_id, p.html FROM latest l JOIN pages_keyed p USING (page_id)
+), matched AS (
+    SELECT p.page_id, p.url_key, s.page_id AS stored_id, s.html AS stored_html, p.html = s.html AS same
+    FROM pages_keyed p JOIN stored s ON p.url_key = s.url_key
+)
+SELECT page_id * 2 + 1 AS record_id, url_key,
+       CASE WHEN same THEN 'resolved' ELSE 'changed' END AS outcome,
+       CASE WHEN same THEN stored_id * 2 END AS response_id,
+       CASE WHEN same THEN sha256(stored_html) END AS digest,
+       CASE WHEN same THEN CAST(strlen(stored_html) AS VARCHAR) END AS content_length,
+       CASE WHEN same THEN 'second' END AS date
+FROM matched
+"""

@@ -1,18 +1,75 @@
-"""The corpus pipeline over the operators of contagrid.llm."""
+"""The corpus pipeline: five operators of contagrid.llm, each on what the one before kept.
+
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of
+docs, and the last adds how many copies of a document the mix takes.
+"""
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from contagrid.llm.common import hot_split_join, part_of, table, text_of, written
+from contagrid.llm.decontaminate import contained_items
+from contagrid.llm.exact_dedup import exact_groups
+from contagrid.llm.language_id import FOLDS, UNKNOWN, identify, learn
+from contagrid.llm.mixing import mix
+from contagrid.llm.simhash import near_groups
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language the labelled ones teach; those without a letter go.
+
+    Without any labelled document no language is known, and only documents without a letter go.
+    """
+    model = learn(docs.where(part_of("doc_id", FOLDS) != 0))
+    if not model.languages:
+        return docs.where(text_of().rlike(r"\p{L}"))
+    return identify(docs, model).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest doc_id; rows that repeat it, id and text, stay together."""
+    dropped = exact_groups(docs).where("NOT kept").select("doc_id", F.col("text_sha256").alias("__sha")).distinct()
+    marked = docs.withColumn("__sha", F.sha2(text_of().cast("binary"), 256))
+    return marked.join(written(dropped, "pipeline-exact"), ["doc_id", "__sha"], "left_anti").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document with the smallest doc_id; rows without doc_id stay."""
+    dropped = near_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(written(dropped, "pipeline-near"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item; rows without doc_id stay."""
+    held = contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(written(held, "pipeline-leaks"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the mix takes, with ``copies``; documents without words add nothing to a mix and are not taken.
 
-from pyspark.sql import DataFrame, SparkSession
+    Rows that repeat a doc_id get the most copies of any of them.
+    """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    taken = mix(docs).where("taken > 0").groupBy(key.alias("__id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    joined = hot_split_join(docs.drop("copies").withColumn("__id", key), written(taken, "pipeline-mix"), ["__id"], "inner")
+    return joined.where(F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]")) > 0).drop("__id")
 
-from contagrid.llm.common import table, work_folder, written
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language),
+    ("exact_dedup", exact_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminate),
+    ("mixing", mixture),
+]
+#: SQL can't express the language models, fingerprints and sampling; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` through all stages, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
