@@ -26,11 +26,13 @@ def chunks(text: Column, shortest: int = SHORTEST, longest: int = LONGEST) -> Co
     """The text in pieces of ``shortest`` to ``longest`` characters; joined, they are the text again.
 
     A piece ends behind the first white space after ``shortest`` characters that
-    follows one of a few letters and marks, else at ``longest`` or the end. Text
+    stands between two of a few letters and marks, else at ``longest`` or the end.
+    Such places are about as rare as ``shortest`` is long, so texts that share a
+    passage soon cut it alike, whatever stands before it. Text
     that isn't valid UTF-8 is one piece, as a regular expression would alter it.
     """
-    border = r"(?<=[dgkmpyDGKMPY.,;:!?|。，ا-دа-и]\s)"
-    pattern = rf"(?s).{{{shortest},{longest}}}?{border}|.{{1,{longest}}}"
+    border = r"(?<=[dgkmpyDGKMPY.,;:!?|ا-دа-и]\s)(?=[b-gB-Gà-êا-رв-м])|(?<=[。!?])"
+    pattern = rf"(?s).{{{shortest},{longest}}}?(?:{border})|.{{1,{longest}}}"
     pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.when(F.is_valid_utf8(text), pieces).otherwise(F.array(text))
 

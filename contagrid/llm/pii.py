@@ -275,8 +275,8 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     )
     extra = written(extra, "pii-redrawn")
     docs = docs.drop("entities")
-    keyed = docs.withColumn("text_key", F.xxhash64(text_of()))
-    joined = hot_split_join(keyed, extra, ["text_key"], "left").select(*docs.columns, "__redrawn")
+    keyed = docs.withColumn("__text_key", F.xxhash64(text_of()))
+    joined = hot_split_join(keyed, extra.withColumnRenamed("text_key", "__text_key"), ["__text_key"], "left").select(*docs.columns, "__redrawn")
     at = docs.columns.index("text")
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
