@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contagrid.llm.common import hot_split_join, part_of, table, text_of, written
+from contagrid.llm.common import part_of, table, text_of, written
 from contagrid.llm.decontaminate import contained_items
 from contagrid.llm.exact_dedup import exact_groups
 from contagrid.llm.language_id import FOLDS, UNKNOWN, identify, learn
@@ -31,7 +31,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest doc_id; rows that repeat it, id and text, stay together."""
     dropped = exact_groups(docs).where("NOT kept").select("doc_id", F.col("text_sha256").alias("__sha")).distinct()
     marked = docs.withColumn("__sha", F.sha2(text_of().cast("binary"), 256))
-    return marked.join(written(dropped, "pipeline-exact"), ["doc_id", "__sha"], "left_anti").select(*docs.columns)
+    # What is dropped grows with the corpus, so it is shuffled at every size rather than broadcast at small ones.
+    dropped = written(dropped, "pipeline-exact").hint("shuffle_hash")
+    return marked.join(dropped, ["doc_id", "__sha"], "left_anti").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +55,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     taken = mix(docs).where("taken > 0").groupBy(key.alias("__id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    joined = hot_split_join(docs.drop("copies").withColumn("__id", key), written(taken, "pipeline-mix"), ["__id"], "inner")
-    return joined.where(F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]")) > 0).drop("__id")
+    # Most documents are taken: shuffled at every size.
+    taken = written(taken, "pipeline-mix").hint("shuffle_hash")
+    joined = docs.drop("copies").withColumn("__id", key).join(taken, "__id", "inner")
+    return joined.where(F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]")) > 0).select(*docs.drop("copies").columns, "copies")
 
 
 STAGES = [
