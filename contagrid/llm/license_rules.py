@@ -140,5 +140,5 @@ def rules() -> list[Rule]:
             made.append(Rule(label, "address", host, address, 3000 + place, 0.93))
         made.append(Rule(label, "grant", keyword, rf"{GRANT}(?:{names})", 4000 + place, 0.95))
         made.append(Rule(label, "name", keyword, f"(?:{names})", 5000 + place, 0.7))
-    made += [Rule(label, "base", phrase, phrase, 4999, 0.9) for phrase, label in BASE.items()]
+    made += [Rule(label, "base", phrase, phrase, 5999, 0.9) for phrase, label in BASE.items()]
     return sorted(made, key=lambda rule: rule.priority)
