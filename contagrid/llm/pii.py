@@ -53,6 +53,7 @@ PATTERNS = (
     ("name", rf"\b(?P<title>{'|'.join(_TITLE)})\b\.? (?P<name>[^\W\d_][\w'’-]*(?: [^\W\d_][\w'’-]*){{0,2}})"),
 )
 ENTITY = "kind string, canon string"
+TASK_ENTITIES = 2000
 
 
 def luhn(digits: str) -> int:
@@ -248,7 +249,9 @@ def dictionary(found: DataFrame, key: bytes) -> DataFrame:
     whose surrogate is an entity of the corpus, draw again until none meets.
     """
     names = written(found.select("kind", "canon").distinct(), "pii-entities")
-    table = written(_with_surrogates(names.withColumn("attempt", F.lit(0)), key), "pii-surrogates")
+    # Few bytes but much work each: dealt by their number, not their size.
+    dealt = names.repartition(max(1, -(-names.count() // TASK_ENTITIES)), "kind", "canon")
+    table = written(_with_surrogates(dealt.withColumn("attempt", F.lit(0)), key), "pii-surrogates")
     while True:
         real = names.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("real"))
         first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("attempt", "canon"))
