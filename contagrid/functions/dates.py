@@ -13,28 +13,37 @@ DAY_MONTH_YEAR = "dmy"
 MONTH_DAY_YEAR = "mdy"
 YEAR_MONTH_DAY = "ymd"
 
-_YEAR_LAST = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"
-_YEAR_FIRST = r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"
+_PARTS = {"y": r"([0-9]{4}|[0-9]{2})", "m": r"([0-9]{1,2})", "d": r"([0-9]{1,2})"}
+_COMPACT = {"y": r"([0-9]{4})", "m": r"([0-9]{2})", "d": r"([0-9]{2})"}
 _TIME = r" (?:[01]?[0-9]|2[0-3]):[0-5]?[0-9]:[0-5]?[0-9]$"
 
 
 def parse_date(c: Column, *orders: str) -> Column:
     """The first of ``orders`` that gives a real date; '-' and '.' count as '/'.
 
-    The parts are put in ISO order and cast. Pattern-based parsing raises and
-    catches an exception for each text that does not fit, which is what most
-    texts do for all but one of the patterns.
+    Years have four digits or two (00-68 in this century, 69-99 in the last), and
+    eight digits need no separators. The parts are put in ISO order and cast.
+    Pattern-based parsing raises and catches an exception for each text that does not
+    fit, which is what most texts do for all but one of the patterns.
     """
     text = F.translate(F.trim(c), "-.", "//")
-    parts = F.split(text, "/")
     tries = []
     for order in orders:
-        y, m, d = (F.get(parts, F.lit(order.index(x))) for x in "ymd")
-        shape = text.rlike(_YEAR_FIRST if order.startswith("y") else _YEAR_LAST)
-        tries.append(F.when(shape & (m.try_cast("int") <= 12), F.concat_ws("-", y, m, d).try_cast("date")))
+        for shape, between in ((_PARTS, "/"), (_COMPACT, "")):
+            pattern = f"^{between.join(shape[x] for x in order)}$"
+            y, m, d = (F.regexp_extract(text, pattern, order.index(x) + 1) for x in "ymd")
+            year = F.when(F.length(y) == 4, y).otherwise(F.concat(F.when(y <= "68", "20").otherwise("19"), y))
+            # without separators, only a year of our times tells the orders apart
+            real = text.rlike(pattern) & (m.try_cast("int") <= 12) & ((F.lit(between) != "") | (year >= "1800"))
+            tries.append(F.when(real, F.concat_ws("-", year, m, d).try_cast("date")))
     return F.coalesce(*tries)
 
 
+def unreadable(c: Column, *orders: str) -> Column:
+    """True where something is written that gives no date."""
+    return (F.trim(c) != "") & parse_date(c, *orders).isNull()
+
+
 def parse_datetime_as_date(c: Column, order: str = DAY_MONTH_YEAR) -> Column:
     """Date of a text with date and time; the time must be a valid one."""
     text = F.trim(c)

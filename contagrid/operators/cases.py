@@ -159,8 +159,8 @@ def heavy_reporters(
 ) -> DataFrame:
     """Cases that report at least ``minimum`` contacts, with their contacts by setting.
 
-    Contacts are counted per case before they meet the cases: a case with very
-    many contacts is reduced to one row on the map side.
+    Only the contacts of such cases are counted, and counted per case before they
+    meet the cases: a case with very many is reduced to a row on the map side.
     """
     levels = list(settings) if settings is not None else [*vocab.settings, vocab.school, vocab.unknown_setting]
     heavy = patients.where(F.col("n_contacts") >= minimum)
@@ -170,8 +170,8 @@ def heavy_reporters(
         F.col("n_contacts").alias("n_contacts_reported"),
     )
     columns = level_columns(levels)
-    per_case = crosstab(contacts, "case_cip", "setting", levels)
-    per_case = members(per_case, people, "case_cip", "cip")
+    listed = members(contacts.select("case_cip", "setting"), heavy.select("cip").distinct(), "case_cip", "cip")
+    per_case = crosstab(listed, "case_cip", "setting", levels)
     per_case = row_total(per_case, columns, "n_contacts_listed").withColumnRenamed("case_cip", "cip")
     return people.join(per_case, "cip", "left").orderBy(F.col("n_contacts_reported").desc(), "cip")
 

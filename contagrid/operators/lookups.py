@@ -86,7 +86,7 @@ def lookup(
     return join_on_hashed_key(df, dim, on, "left", take, split_hot_keys)
 
 
-def duplicate_keys(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Keys that carry more than one value: what a first-match lookup drops."""
-    pairs = df.select(key, value).distinct()
-    return pairs.groupBy(key).agg(F.count("*").alias("n_values")).where("n_values > 1")
+def duplicate_keys(df: DataFrame, key: str, value: str, within: Sequence[str] = ()) -> DataFrame:
+    """Keys that carry more than one value, within each of ``within``: what a first-match lookup drops."""
+    pairs = df.select(*within, key, value).distinct()
+    return pairs.groupBy(*within, key).agg(F.count("*").alias("n_values")).where("n_values > 1")

@@ -46,19 +46,29 @@ def unpivot(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str
     return df.unpivot(list(ids), list(columns), name, value)
 
 
-def transpose(df: DataFrame, key: str, measures: Sequence[str], key_values: Sequence[str]) -> DataFrame:
-    """Measures become rows and the given key values become columns."""
+def transpose(
+    df: DataFrame, key: str, measures: Sequence[str], key_values: Sequence[str | None], missing: str = "unknown"
+) -> DataFrame:
+    """Measures become rows and the given key values become columns; the missing key's is named ``missing``."""
+    headers = [missing if k is None else k for k in key_values]
+    if len(set(headers)) < len(headers):
+        raise ValueError(f"two columns would have one name: {sorted(headers)}")
     long = df.select(key, *[F.col(m).cast("double").alias(m) for m in measures]).unpivot(
         [key], list(measures), "measure", "value"
     )
     if not key_values:  # a week without data
         return long.select("measure").distinct()
     return long.groupBy("measure").agg(
-        *[F.max(F.when(F.col(key).eqNullSafe(F.lit(k)), F.col("value"))).alias(k) for k in key_values]
+        *[
+            F.max(F.when(F.col(key).isNull() if k is None else F.col(key) == F.lit(k), F.col("value"))).alias(header)
+            for k, header in zip(key_values, headers)
+        ]
     )
 
 
-def append_row(df: DataFrame, **values) -> DataFrame:
-    """Append one literal row; columns that are not named are missing."""
-    row = [F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields]
-    return df.unionByName(df.sparkSession.range(1).select(*row))
+def append_row(df: DataFrame, sums: Sequence[str] = (), **values) -> DataFrame:
+    """Append one row of literals and of the sums of some columns; columns that are not named are missing."""
+    row = [
+        (F.sum(f.name) if f.name in sums else F.lit(values.get(f.name))).cast(f.dataType).alias(f.name) for f in df.schema.fields
+    ]
+    return df.unionByName(df.agg(*row) if sums else df.sparkSession.range(1).select(*row))

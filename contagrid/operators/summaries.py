@@ -13,6 +13,7 @@ from contagrid.functions.text import format_number, percent_label
 from contagrid.operators.aggregates import count_rows, with_totals
 from contagrid.operators.filters import fix_literals, known_and_not_in
 from contagrid.operators.history import study_week
+from contagrid.operators.ordering import totals_last
 from contagrid.operators.outcomes import is_school_no_answer
 from contagrid.operators.reshape import align_measures, transpose, union_all
 from contagrid.operators.territory import add_province
@@ -108,7 +109,15 @@ def infographic(
     return aligned.select("sve", "is_total", *INFOGRAPHIC_MEASURES)
 
 
-def infographic_transposed(table: DataFrame, territories: Sequence[str]) -> DataFrame:
+def territory_columns(table: DataFrame) -> list[str | None]:
+    """The territories of a table with a totals row, in report order; the missing one is listed too.
+
+    They become column headers, so they must reach the driver: one entry per territory.
+    """
+    return [r.sve for r in totals_last(table.select("sve", "is_total")).collect()]
+
+
+def infographic_transposed(table: DataFrame, territories: Sequence[str | None]) -> DataFrame:
     """Measures as rows with their labels, one column per territory."""
     out = transpose(table, "sve", INFOGRAPHIC_MEASURES, territories)
     label = F.element_at(F.create_map(*[F.lit(x) for p in MEASURE_LABELS.items() for x in p]), F.col("measure"))

@@ -74,8 +74,8 @@ def resolve_territory(
         patients = patients.withColumn("region", F.lit(None).cast("string"))
     people = patients.withColumn("place_name", clean_place(F.col("municipality"), vocab.patient_place_fixes))
     people = people.withColumn("__unit", F.nullif("uve", F.lit(vocab.missing_uve)))
-    people = lookup(people, converter, {"__unit": "uve"}, {"sve": "__by_unit"})
-    people = lookup(people, converter, {"region": "region"}, {"sve": "__by_region"})
+    people = lookup(people, converter, {"__unit": "uve"}, {"sve": "__by_unit"}, split_hot_keys=True)
+    people = lookup(people, converter, {"region": "region"}, {"sve": "__by_region"}, split_hot_keys=True)
     people = lookup(
         people,
         place_directory(gazetteer, vocab),
@@ -105,9 +105,9 @@ def resolve_territory(
     )
 
 
-def unresolved(resolved: DataFrame) -> DataFrame:
-    """People left without a territory, for manual correction."""
-    return resolved.where("sve IS NULL").select("cip", "municipality").distinct()
+def unresolved(resolved: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """People left without a territory, for manual correction; within each of ``keys``, if any."""
+    return resolved.where("sve IS NULL").select(*keys, "cip", "municipality").distinct()
 
 
 def resolve_contact_territory(

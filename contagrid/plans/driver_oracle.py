@@ -6,6 +6,8 @@ Written independently of the operators: joins, filters and grouping sets only.
 
 from __future__ import annotations
 
+from contagrid.operators.summaries import WEEKLY_LINES
+
 SETTINGS = ["social", "medi transport", "laboral", "domicili", "centre sociosanitari", "centre sanitari", "altres"]
 ALL_SETTINGS = [*SETTINGS, "escolar", "desconegut"]
 OUTCOMES = [
@@ -297,7 +299,7 @@ SETTING_ROW = " + ".join(SETTING_COLUMNS) + " + unknown"
 BAND_ORDER = f"CAST(coalesce(list_position({items(BANDS)}, age_band), 7) AS INT)"
 
 ORACLE: dict[str, str] = {
-    "typed_scan_distinct": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id, event_type FROM events",
+    "typed_scan_distinct": "SELECT DISTINCT event_id, ts, user_id, event_type, value, props FROM events",
     "snapshot_week_filter": cte("event_rows", select="""SELECT snapshot_week, count(*) AS n FROM event_rows
         WHERE snapshot_week IN (DATE '2024-01-08', DATE '2024-01-01') GROUP BY 1"""),
     "not_equal_or_null": cte("contacts", select="""SELECT sve, setting, count(*) AS n FROM contacts
@@ -399,6 +401,13 @@ ORACLE: dict[str, str] = {
         round(sum(contacts), 2) AS contacts, CAST(sum(symptomatic) AS BIGINT) AS symptomatic, CAST(sum(confirmed) AS BIGINT) AS confirmed
         FROM (SELECT m.*, r_name AS province FROM measures m LEFT JOIN nations ON sve = n_name) t GROUP BY ROLLUP (t.province)"""),
     "national_summary": cte("national", select=f"SELECT *, {pct('cases', 'max(cases) OVER ()')} AS cases_pct FROM national"),
+    "national_summary_es": cte("national", select="""SELECT CASE WHEN is_total THEN 'Total' ELSE sve END AS "Subdivisión territorial epidemiológica",
+        cases AS "Número total de casos notificados", contacts AS "Número total de contactos estrechos",
+        symptomatic AS "Número de contactos estrechos que desarrollan síntomas",
+        confirmed AS "Número de contactos estrechos que se confirman como casos" FROM national"""),
+    "written_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 THEN CAST(o_orderdate AS DATE) END AS read FROM orders",
+    "unreadable_dates": """SELECT 'orders' AS source, 'written' AS "column", count(*) AS n_written,
+        count(*) FILTER (WHERE o_orderkey % 6 = 5) AS n_unreadable FROM orders""",
     "single_measures": cte("evolution", "became", select="""SELECT sve, is_total, coalesce(total, 0) AS symptomatic,
         coalesce(yes_n, 0) AS confirmed FROM (SELECT * FROM evolution WHERE symptoms = 'Sí') FULL JOIN became USING (sve, is_total)"""),
     "infographic": cte("graphic", select="SELECT * FROM graphic"),
@@ -433,7 +442,7 @@ ORACLE: dict[str, str] = {
         row_number() OVER (ORDER BY n_contacts DESC, outcome NULLS LAST) AS position
         FROM (SELECT outcome, count(*) AS n_contacts FROM contacts GROUP BY 1)"""),
     "append_category_row": cte("base", select="""SELECT setting, count(*) AS n_contacts FROM base GROUP BY 1
-        UNION ALL SELECT 'Totals', NULL"""),
+        UNION ALL SELECT 'Totals', CAST(count(*) AS BIGINT) FROM base"""),
     "pivot_settings": cte("contacts", select=f"""SELECT case_cip, {counts('setting', ALL_SETTINGS, SETTING_COLUMNS + ['escolar', 'desconegut'])},
         count(*) AS row_total FROM contacts GROUP BY 1"""),
 }
@@ -451,18 +460,31 @@ ORACLE["infographic_transpose"] = cte("graphic", select="\nUNION ALL ".join(
     )
     for m in GRAPHIC_MEASURES
 ))
-WEEKLY = {
-    2: "cases", 3: "reporting_cases", 4: "reporting_pct", 7: "total_contacts", 8: "mean_contacts", 9: "median_contacts",
-    10: "max_contacts", 13: "all_outcomes", 14: "block_a", 15: "block_b", 16: "accepted", 17: "accepted_pct",
-    18: "accepted_pct_no_school", 19: "in_followup", 22: "symptomatic", 23: "symptomatic_pct", 24: "confirmed", 25: "confirmed_pct",
-}
-ORACLE["weekly_summary"] = cte("graphic", "breakdown", "silent", select=f"""
-    SELECT 2024 AS iso_year, 3 AS iso_week, ord, measure, round(value, 2) AS value FROM (
-    """ + "\nUNION ALL ".join(
-    f"SELECT {o} AS ord, '{m}' AS measure, CAST({m} AS DOUBLE) AS value FROM one" for o, m in WEEKLY.items()
-) + ")")
+
+
+def number_text(value: str) -> str:
+    return rf"regexp_replace(CAST(CAST({value} AS DECIMAL(38, 3)) AS VARCHAR), '\.?0+$', '')"
+
+
+def weekly_line(ord_: int, label: str, measure: str | None, style: str | None) -> str:
+    label = label.replace("'", "''")
+    if measure is None:
+        return f"SELECT {ord_} AS ord, '{label}' AS label, CAST(NULL AS VARCHAR) AS measure, CAST(NULL AS DOUBLE) AS value, '' AS value_text"
+    text = {
+        "number": number_text(measure),
+        "percent": f"{number_text(measure)} || '%'",
+        "text": f"{number_text('median_contacts')} || ' (' || {number_text('q25_contacts')} || '-' || {number_text('q75_contacts')} || ')'"
+        if measure == "median_contacts"
+        else f"'(' || {number_text('min_contacts')} || '-' || {number_text('max_contacts')} || ')'",
+    }[style]
+    return f"SELECT {ord_} AS ord, '{label}' AS label, '{measure}' AS measure, CAST({measure} AS DOUBLE) AS value, {text} AS value_text FROM one"
+
+
+ORACLE["weekly_summary"] = cte("graphic", "breakdown", "silent", select="""
+    SELECT 2024 AS iso_year, 3 AS iso_week, ord, label, measure, round(value, 2) AS value, value_text FROM (
+    """ + "\nUNION ALL ".join(weekly_line(*line) for line in WEEKLY_LINES) + ")")
 ORACLE["weekly_summary"] = ORACLE["weekly_summary"].replace("\n\n    SELECT 2024", f""",
-one AS (SELECT g.*, i.median_contacts, i.max_contacts,
+one AS (SELECT g.*, i.median_contacts, i.q25_contacts, i.q75_contacts, i.min_contacts, i.max_contacts,
       (SELECT n FROM breakdown WHERE kind = 'total') AS all_outcomes,
       (SELECT n FROM breakdown WHERE kind = 'block' AND block = 'a') AS block_a,
       (SELECT n FROM breakdown WHERE kind = 'block' AND block = 'b') AS block_b,

@@ -19,6 +19,7 @@ from contagrid.operators import (
     lookups,
     ordering,
     outcomes,
+    quality,
     reshape,
     settings,
     summaries,
@@ -28,7 +29,7 @@ from contagrid.operators import (
 from contagrid.operators.cubes import case_cube, contact_birth_date, contact_cube
 from contagrid.plans import roles
 from contagrid.plans.roles import AS_OF_EVENTS, AS_OF_ORDERS, DRIVER, table
-from contagrid.session import Stage, shared_folder
+from contagrid.session import shared_folder
 from contagrid.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,11 +54,11 @@ def _setting_base(spark, sf_dir):
 
 
 def _followups(spark, sf_dir):
-    return follow.followup_cube(roles.event_contacts(spark, sf_dir), AS_OF_EVENTS, weeks=FOLLOWUP_WEEKS, vocab=DRIVER)
+    return follow.followup_cube(roles.event_contacts(spark, sf_dir, (-2, -3)), AS_OF_EVENTS, weeks=FOLLOWUP_WEEKS, vocab=DRIVER)
 
 
 def _study_contacts(spark, sf_dir):
-    return readers.select_snapshots(roles.event_contacts(spark, sf_dir), AS_OF_EVENTS, (-1,))
+    return readers.select_snapshots(roles.event_contacts(spark, sf_dir, (-1,)), AS_OF_EVENTS, (-1,))
 
 
 def _symptoms(spark, sf_dir, value=None):
@@ -65,18 +66,14 @@ def _symptoms(spark, sf_dir, value=None):
 
 
 class _Summary:
-    """Tables the summaries share, over cubes written once as in the report job."""
+    """Tables the summaries share; none is computed before the query runs."""
 
     def __init__(self, spark, sf_dir):
-        stage = Stage(spark)
-        self.indicators, self.contacts, self.followups = stage.together(
-            indicators=_indicators(spark, sf_dir),
-            contact_cube=_contact_cube(spark, sf_dir),
-            followup_cube=_followups(spark, sf_dir),
-        )
+        self.indicators = _indicators(spark, sf_dir)
+        self.contacts = _contact_cube(spark, sf_dir)
+        self.followups = _followups(spark, sf_dir)
         self.became = case_ops.became_cases(self.contacts, self.indicators, DRIVER)
         self.symptoms = follow.symptom_evolution(_study_contacts(spark, sf_dir), self.followups, vocab=DRIVER)
-        self.stage = stage
 
     def measures(self):
         return summaries.territory_measures(self.indicators, self.symptoms, self.became)
@@ -87,13 +84,13 @@ class _Summary:
 
 
 def _event_history(spark, sf_dir):
-    people = readers.select_snapshots(roles.event_cases(spark, sf_dir), AS_OF_EVENTS, (-2,))
+    people = readers.select_snapshots(roles.event_cases(spark, sf_dir, (-2,)), AS_OF_EVENTS, (-2,))
     last_week = case_ops.case_contact_indicators(people, DRIVER)
     return past.history_row(last_week, date(2024, 1, 15))
 
 
 def _week_over_week(spark, sf_dir):
-    people = readers.select_snapshots(roles.event_cases(spark, sf_dir), AS_OF_EVENTS, (-1,))
+    people = readers.select_snapshots(roles.event_cases(spark, sf_dir, (-1,)), AS_OF_EVENTS, (-1,))
     now = case_ops.case_contact_indicators(people, DRIVER)
     return past.week_over_week(now, _event_history(spark, sf_dir), AS_OF_EVENTS, DRIVER)
 
@@ -103,13 +100,15 @@ def _week_over_week(spark, sf_dir):
 
 @query
 def typed_scan_distinct(spark, sf_dir):
+    """All columns read as text, every row twice, whole rows made distinct, and typed again."""
     rows = readers.scan_text(spark, f"{sf_dir}/events.parquet")
-    return rows.select("user_id", "event_type").distinct()
+    kinds = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "value": "double"}
+    return rows.unionAll(rows).distinct().withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
 
 
 @query
 def snapshot_week_filter(spark, sf_dir):
-    rows = readers.select_snapshots(roles.event_contacts(spark, sf_dir), AS_OF_EVENTS, (-2, -3))
+    rows = readers.select_snapshots(roles.event_contacts(spark, sf_dir, (-2, -3)), AS_OF_EVENTS, (-2, -3))
     return rows.groupBy("snapshot_week").agg(F.count("*").alias("n"))
 
 
@@ -142,7 +141,7 @@ def literal_fixes(spark, sf_dir):
 @query
 def invalid_dates_to_null(spark, sf_dir):
     born = contact_birth_date(F.col("birth_date"), AS_OF_ORDERS)
-    rows = roles.contacts(spark, sf_dir).select("contact_id", born.alias("birth_date"))
+    rows = roles.contacts(spark, sf_dir, placed=False).select("contact_id", born.alias("birth_date"))
     return rows
 
 
@@ -179,7 +178,7 @@ def followup_placeholder(spark, sf_dir):
 @query
 def first_match_lookup(spark, sf_dir):
     people = roles.persons(spark, sf_dir).select("cip", "municipality")
-    return lookups.lookup(people, roles.gazetteer(spark, sf_dir), {"municipality": "place_name"}, {"sve": "first_sve"})
+    return lookups.lookup(people, roles.gazetteer(spark, sf_dir), {"municipality": "place_name"}, {"sve": "first_sve"}, split_hot_keys=True)
 
 
 @query
@@ -283,7 +282,7 @@ def school_split(spark, sf_dir):
 @query
 def heavy_reporters(spark, sf_dir):
     return case_ops.heavy_reporters(
-        roles.cases(spark, sf_dir, urgent_only=False), roles.contacts(spark, sf_dir), AS_OF_ORDERS, 20, DRIVER
+        roles.cases(spark, sf_dir, urgent_only=False), roles.contacts(spark, sf_dir, placed=False), AS_OF_ORDERS, 20, DRIVER
     )
 
 
@@ -355,7 +354,7 @@ def followup_counts(spark, sf_dir):
 @query
 def followup_single_slot(spark, sf_dir):
     """Day 7 of the snapshot two weeks back, first slot only."""
-    rows = readers.select_snapshots(roles.event_contacts(spark, sf_dir), AS_OF_EVENTS, (-2,))
+    rows = readers.select_snapshots(roles.event_contacts(spark, sf_dir, (-2,)), AS_OF_EVENTS, (-2,))
     return follow.followup(rows, 7, AS_OF_EVENTS, slots=(1,), week=-2, vocab=DRIVER)["status"]
 
 
@@ -379,7 +378,7 @@ def union_reaggregate(spark, sf_dir):
     """Day-10 follow-ups of two snapshots, added where territory and status agree."""
     parts = []
     for week in (-2, -3):
-        rows = readers.select_snapshots(roles.event_contacts(spark, sf_dir), AS_OF_EVENTS, (week,))
+        rows = readers.select_snapshots(roles.event_contacts(spark, sf_dir, (week,)), AS_OF_EVENTS, (week,))
         parts.append(follow.followup(rows, 10, AS_OF_EVENTS, week=week, vocab=DRIVER)["status"])
     return reshape.union_and_sum(parts, ["sve", "status"], ["followup_day10"])
 
@@ -401,7 +400,7 @@ def informed_unpivot(spark, sf_dir):
 def history_upsert(spark, sf_dir):
     """Store last week, then this week twice; the second run adds nothing."""
     path = f"{shared_folder(spark).rstrip('/')}/contagrid-history-{uuid.uuid4().hex}"
-    people = readers.select_snapshots(roles.event_cases(spark, sf_dir), AS_OF_EVENTS, (-1,))
+    people = readers.select_snapshots(roles.event_cases(spark, sf_dir, (-1,)), AS_OF_EVENTS, (-1,))
     now = past.history_row(case_ops.case_contact_indicators(people, DRIVER), AS_OF_EVENTS)
     sinks.update_history(path, _event_history(spark, sf_dir))
     sinks.update_history(path, now)
@@ -419,6 +418,12 @@ def national_summary(spark, sf_dir):
     return summaries.national_summary(_Summary(spark, sf_dir).measures(), DRIVER)
 
 
+@query
+def national_summary_es(spark, sf_dir):
+    national = summaries.national_summary(_Summary(spark, sf_dir).measures(), DRIVER)
+    return summaries.national_summary_es(national, DRIVER)
+
+
 @query
 def single_measures(spark, sf_dir):
     shared = _Summary(spark, sf_dir)
@@ -436,21 +441,22 @@ def infographic(spark, sf_dir):
 
 @query
 def infographic_transpose(spark, sf_dir):
-    names = [f"NATION_{i}" for i in range(25)] + [DRIVER.total]
-    return summaries.infographic_transposed(_Summary(spark, sf_dir).infographic(), names).drop("label")
+    """Its columns are the territories in the data, so these are read first."""
+    table_ = _Summary(spark, sf_dir).infographic()
+    return summaries.infographic_transposed(table_, summaries.territory_columns(table_)).drop("label")
 
 
 @query
 def weekly_summary(spark, sf_dir):
     shared = _Summary(spark, sf_dir)
     lines = summaries.weekly_summary(
-        shared.stage(shared.infographic(), "infographic"),
+        shared.infographic(),
         shared.indicators,
         outcomes.outcome_breakdown(shared.contacts, DRIVER),
         outcomes.school_no_answer(shared.contacts, DRIVER),
         AS_OF_EVENTS,
     )
-    return lines.where("measure IS NOT NULL").select("iso_year", "iso_week", "ord", "measure", F.round("value", 2).alias("value"))
+    return lines.withColumn("value", F.round("value", 2))
 
 
 @query
@@ -513,6 +519,28 @@ def scalar_dates(spark, sf_dir):
     )
 
 
+#: Order dates in the forms people write; the last can't be read.
+DATE_FORMS = ("d/M/yyyy", "dd-MM-yy", "yyyyMMdd", "yyyy.M.d", "ddMMyyyy", "d MMM")
+
+
+def _written_dates(spark, sf_dir):
+    form = F.col("o_orderkey") % len(DATE_FORMS)
+    written = F.coalesce(*[F.when(form == i, F.date_format("o_orderdate", f)) for i, f in enumerate(DATE_FORMS)])
+    return table(spark, sf_dir, "orders").select("o_orderkey", written.alias("written"))
+
+
+@query
+def written_dates(spark, sf_dir):
+    read = dates.parse_date(F.col("written"), dates.DAY_MONTH_YEAR, dates.YEAR_MONTH_DAY)
+    return _written_dates(spark, sf_dir).select("o_orderkey", read.alias("read"))
+
+
+@query
+def unreadable_dates(spark, sf_dir):
+    orders = (dates.DAY_MONTH_YEAR, dates.YEAR_MONTH_DAY)
+    return quality.unreadable_dates(_written_dates(spark, sf_dir), {"written": orders}, "orders")
+
+
 @query
 def scalar_numbers(spark, sf_dir):
     rows = table(spark, sf_dir, "customer")
@@ -531,7 +559,7 @@ def scalar_numbers(spark, sf_dir):
 def age_years(spark, sf_dir):
     born = contact_birth_date(F.col("birth_date"), AS_OF_ORDERS)
     age = dates.age_years(born, AS_OF_ORDERS)
-    rows = roles.contacts(spark, sf_dir).select(age.cast("bigint").alias("age"), dates.age_band(age).alias("age_band"))
+    rows = roles.contacts(spark, sf_dir, placed=False).select(age.cast("bigint").alias("age"), dates.age_band(age).alias("age_band"))
     return rows.groupBy("age", "age_band").agg(F.count("*").alias("n"))
 
 
@@ -561,12 +589,12 @@ def measure_order_sort(spark, sf_dir):
 @query
 def append_category_row(spark, sf_dir):
     rows = settings.setting_totals(_setting_base(spark, sf_dir)).select("setting", "n_contacts")
-    return reshape.append_row(rows, setting="Totals")
+    return reshape.append_row(rows, sums=["n_contacts"], setting="Totals")
 
 
 @query
 def pivot_settings(spark, sf_dir):
     """Contacts per case by setting, with the row total."""
     levels = roles.ALL_SETTINGS
-    per_case = aggregates.crosstab(roles.contacts(spark, sf_dir), "case_cip", "setting", levels)
+    per_case = aggregates.crosstab(roles.contacts(spark, sf_dir, placed=False), "case_cip", "setting", levels)
     return aggregates.row_total(per_case, aggregates.level_columns(levels))

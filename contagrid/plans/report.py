@@ -22,13 +22,14 @@ from contagrid.operators.cubes import case_cube, contact_cube
 from contagrid.operators.filters import with_placeholder
 from contagrid.operators.lookups import duplicate_keys
 from contagrid.operators.ordering import level_position, totals_last
+from contagrid.operators.quality import unreadable_dates
 from contagrid.operators.territory import (
     resolve_contact_territory,
     resolve_territory,
     territory_display_name,
     unresolved,
 )
-from contagrid.functions.dates import snapshot_monday
+from contagrid.functions.dates import DAY_MONTH_YEAR, MONTH_DAY_YEAR, YEAR_MONTH_DAY, snapshot_monday
 from contagrid.session import Stage, build_session
 from contagrid.sources import readers, sinks
 
@@ -53,10 +54,13 @@ def read_inputs(spark: SparkSession, paths: dict[str, str], as_of: date, fmt: st
 
 
 def report_tables(
-    spark: SparkSession, inputs: Inputs, as_of: date, vocab: Vocabulary = DOMAIN
+    spark: SparkSession, inputs: Inputs, as_of: date, vocab: Vocabulary = DOMAIN, stage: Stage | None = None
 ) -> dict[str, DataFrame]:
-    """All result tables by name, chart tables and the history rows included."""
-    stage = Stage(spark)
+    """All result tables by name, chart tables and the history rows included.
+
+    They read the tables in ``stage``, which the caller removes when they are written.
+    """
+    stage = stage or Stage(spark)
     study = F.col("snapshot_week") == F.lit(snapshot_monday(as_of, -1))
 
     # names are harmonised before any grouping, so merged territories add up
@@ -117,10 +121,7 @@ def report_tables(
     t["became_cases_total"] = cases.single_measure(became, "yes_n", "confirmed")
 
     graphic = stage(summaries.infographic(indicators, by_contact, status, symptoms, became, vocab), "infographic")
-    # territory names become column headers, so this list must reach the driver;
-    # it has one entry per territory
-    names = [r.sve for r in totals_last(graphic.select("sve", "is_total")).collect() if r.sve is not None]
-    t["infographic"] = summaries.infographic_transposed(graphic, names)
+    t["infographic"] = summaries.infographic_transposed(graphic, summaries.territory_columns(graphic))
     t["weekly_summary"] = summaries.weekly_summary(graphic, indicators, breakdown, silent, as_of)
 
     t["chart_week_over_week"] = past.chart_week_over_week(weeks, as_of)
@@ -128,8 +129,14 @@ def report_tables(
     t["chart_setting_by_age"] = settings.chart_setting_by_age(base)
     t["chart_outcomes"] = outcomes.chart_outcomes(breakdown)
 
-    t["unresolved_places"] = unresolved(study_patients)
-    t["ambiguous_cases"] = duplicate_keys(study_patients, "cip", "sve")
+    # contacts of the older snapshots take their territory from those weeks' cases
+    t["unresolved_places"] = unresolved(patients, ("snapshot_week",))
+    t["ambiguous_cases"] = duplicate_keys(patients, "cip", "sve", ("snapshot_week",))
+    birth = {"birth_date": (DAY_MONTH_YEAR, MONTH_DAY_YEAR, YEAR_MONTH_DAY)}
+    slots = {c: (DAY_MONTH_YEAR,) for c in ("date_1", "date_2")}
+    t["unreadable_dates"] = unreadable_dates(inputs.patients, birth, "patients").union(
+        unreadable_dates(inputs.contacts, birth | slots, "contacts")
+    )
     t["history"] = past.history_row(indicators, as_of)
     return t
 
@@ -166,14 +173,18 @@ def run_report(
     ``export`` names a folder for labelled CSV copies, made from the written
     tables so that nothing is computed twice.
     """
-    tables = report_tables(spark, read_inputs(spark, paths, as_of, fmt), as_of, vocab)
-    current = tables.pop("history")
-    written = sinks.write_tables(in_report_order(tables, vocab), out, as_of)
-    if export:
-        stored = {name: spark.read.schema(df.schema).parquet(written[name]) for name, df in tables.items()}
-        copies = {name: sinks.labelled(name, df, as_of) for name, df in in_report_order(stored, vocab).items()}
-        sinks.write_tables(copies, export, as_of, "csv")
-    sinks.update_history(paths["history"], current)
+    stage = Stage(spark)
+    try:
+        tables = report_tables(spark, read_inputs(spark, paths, as_of, fmt), as_of, vocab, stage)
+        current = tables.pop("history")
+        written = sinks.write_tables(in_report_order(tables, vocab), out, as_of)
+        if export:
+            stored = {name: spark.read.schema(df.schema).parquet(written[name]) for name, df in tables.items()}
+            copies = {name: sinks.labelled(name, df, as_of) for name, df in in_report_order(stored, vocab).items()}
+            sinks.write_tables(copies, export, as_of, "csv")
+        sinks.update_history(paths["history"], current)
+    finally:
+        stage.remove()
     return written
 
 

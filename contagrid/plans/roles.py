@@ -8,12 +8,14 @@ frame grows with its table and meets every branch of the operators.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contagrid.fixed_values import DOMAIN, OUTCOMES, SCHOOL_SETTING, SETTINGS, UNKNOWN_SETTING
+from contagrid.functions.dates import snapshot_monday
 from contagrid.operators.lookups import lookup
 
 AS_OF_ORDERS = date(2003, 6, 15)
@@ -110,9 +112,11 @@ CONTACT_COLUMNS = (
 )
 
 
-def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as contacts, in the territory of their customer."""
+def contacts(spark: SparkSession, sf_dir: str, placed: bool = True) -> DataFrame:
+    """Orders as contacts, in the territory of their customer unless ``placed`` is false."""
     orders = table(spark, sf_dir, "orders").selectExpr(*CONTACT_COLUMNS)
+    if not placed:
+        return orders
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cip"), "c_nationkey")
     placed = lookup(orders, customer, {"case_cip": "cip"}, {"c_nationkey": "__nation"}, unique=True)
     return with_nation(placed, spark, sf_dir, "__nation").drop("__nation")
@@ -164,15 +168,23 @@ EVENT_COLUMNS = (
 )
 
 
-def event_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as contacts verified at their time stamp, with two follow-up slots."""
-    frame = table(spark, sf_dir, "events").selectExpr(*EVENT_COLUMNS)
+def events_of_weeks(spark: SparkSession, sf_dir: str, offsets: Sequence[int]) -> DataFrame:
+    """Events from the first to the last of the given snapshot weeks, a range of time stamps the scan can prune by."""
+    first, last = (snapshot_monday(AS_OF_EVENTS, f(offsets)) for f in (min, max))
+    stamp = F.col("ts")
+    after = F.lit(f"{last + timedelta(days=7)} 00:00:00").cast("timestamp_ntz")
+    return table(spark, sf_dir, "events").where((stamp >= F.lit(f"{first} 00:00:00").cast("timestamp_ntz")) & (stamp < after))
+
+
+def event_contacts(spark: SparkSession, sf_dir: str, offsets: Sequence[int] = (-1, -2, -3)) -> DataFrame:
+    """Events of some weeks as contacts verified at their time stamp, with two follow-up slots."""
+    frame = events_of_weeks(spark, sf_dir, offsets).selectExpr(*EVENT_COLUMNS)
     return with_nation(frame, spark, sf_dir, "__nation").drop("__nation")
 
 
-def event_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as cases of their week; an error event reports no contacts."""
-    frame = table(spark, sf_dir, "events").selectExpr(
+def event_cases(spark: SparkSession, sf_dir: str, offsets: Sequence[int] = (-1, -2, -3)) -> DataFrame:
+    """Events of some weeks as cases of their week; an error event reports no contacts."""
+    frame = events_of_weeks(spark, sf_dir, offsets).selectExpr(
         "event_id AS cip",
         "int(user_id % 25) AS __nation",
         "date(date_trunc('week', ts)) AS snapshot_week",

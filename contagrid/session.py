@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -31,22 +30,17 @@ def build_session(name: str = "contagrid", master: str | None = None, **settings
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only on a local master."""
+    """The cluster's checkpoint folder; where it names none, one in the warehouse, on every master alike."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="contagrid-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir() or folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 class Stage:
     """Writes intermediate tables once, so several results share one scan.
 
     A written table survives lost executors and keeps column pruning and filter
-    pushdown for its readers.
+    pushdown for its readers. ``remove`` deletes them all; what is left when the
+    driver ends goes then.
     """
 
     def __init__(self, spark: SparkSession):
@@ -56,8 +50,18 @@ class Stage:
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path)
+        place, files = self._place()
+        files.deleteOnExit(place)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _place(self):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def remove(self) -> None:
+        place, files = self._place()
+        files.delete(place, True)
+
     def together(self, **tables: DataFrame) -> list[DataFrame]:
         """Write independent tables at the same time."""
         jobs = {name: lambda df=df, name=name: self(df, name) for name, df in tables.items()}

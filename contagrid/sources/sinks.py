@@ -44,13 +44,19 @@ def write_tables(tables: Mapping[str, DataFrame], out: str, as_of: date, fmt: st
     return paths
 
 
-def update_history(history_path: str, current: DataFrame) -> DataFrame:
-    """Append this week to the history unless the week is already there.
+def update_history(history_path: str, current: DataFrame, replace: bool = True) -> DataFrame:
+    """Store this week in the history; a re-run with corrected data replaces the week.
 
-    Old partitions are neither read in full nor rewritten: the anti join needs
-    only the partition columns, and the append adds one partition.
+    Only the week's own partition is written, so runs of different weeks don't
+    touch each other and two runs of one week leave it there once. Without ``replace`` a
+    week that is already there is left as it is; that takes a look at the
+    partition columns first, so such runs must not overlap.
     """
     spark = current.sparkSession
-    fresh = new_history_rows(read_history(spark, history_path), current)
-    fresh.write.mode("append").partitionBy("iso_year", "iso_week").parquet(history_path)
+    if replace:
+        writer = current.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        current = new_history_rows(read_history(spark, history_path), current)
+        writer = current.write.mode("append")
+    writer.partitionBy("iso_year", "iso_week").parquet(history_path)
     return read_history(spark, history_path)

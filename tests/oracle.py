@@ -52,7 +52,7 @@ def compare(df, con, sql) -> str | None:
     for a, b in zip(actual, expected):
         if a != b:
             return f"first difference\n  spark  {a}\n  duckdb {b}"
-    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
     sql_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
     odd = [(c, t, sql_types[c]) for c, t in df.dtypes if kinds.get(t) != sql_types[c]]
     return f"types {odd}" if odd else None
