@@ -54,6 +54,7 @@ PATTERNS = (
 )
 ENTITY = "kind string, canon string"
 TASK_ENTITIES = 2000
+MOST_ATTEMPTS = 16
 
 
 def luhn(digits: str) -> int:
@@ -66,59 +67,90 @@ def _iban_check(canon: str) -> int:
     return int("".join(str(int(c, 36)) for c in canon[4:] + canon[:4])) % 97
 
 
+def _shuffled(values: list[int], sizes: list[int], key: bytes, frame: str) -> list[int]:
+    """A keyed permutation of all lists of numbers below ``sizes``: rounds that add a hash of one half to the other."""
+    half = (len(values) + 1) // 2
+    spans = ((0, half), (half, len(values)))
+    number, size = [0, 0], [1, 1]
+    for h, (a, b) in enumerate(spans):
+        for v, n in zip(values[a:b], sizes[a:b]):
+            number[h], size[h] = number[h] * n + v, size[h] * n
+    for r in range(10):
+        into, other = r % 2, number[1 - r % 2]
+        seed = hashlib.blake2b(f"{frame}\0{r}\0{other}".encode("utf-8", "replace"), key=key[:64], digest_size=64).digest()
+        draw = int.from_bytes(hashlib.shake_256(seed).digest(size[into].bit_length() // 8 + 9), "big")
+        number[into] = (number[into] + draw) % size[into]
+    out = []
+    for h, (a, b) in enumerate(spans):
+        part = []
+        for n in reversed(sizes[a:b]):
+            number[h], v = divmod(number[h], n)
+            part.append(v)
+        out += reversed(part)
+    return out
+
+
 def permuted(text: str, key: bytes, tweak: str, fixed: frozenset[int] = frozenset()) -> str:
-    """A keyed permutation of all texts with the same classes and fixed characters: rounds over two halves of the other places."""
-    places = [(i, c) for i, ch in enumerate(text) if i not in fixed for c in CLASSES if ch in c]
+    """A keyed permutation of all texts with the same classes and fixed characters."""
+    places = [(i, k) for i, ch in enumerate(text) if i not in fixed for k, c in enumerate(CLASSES) if ch in c]
     if not places:
         return text
-    halves = [places[: (len(places) + 1) // 2], places[(len(places) + 1) // 2 :]]
-    sizes, values = [1, 1], [0, 0]
-    for h, half in enumerate(halves):
-        for i, c in half:
-            sizes[h] *= len(c)
-            values[h] = values[h] * len(c) + c.index(text[i])
-    frame = tweak + "\0" + "".join(ch if not any(i == p for p, _ in places) else str(next(CLASSES.index(c) for p, c in places if p == i)) for i, ch in enumerate(text))
-    for r in range(10):
-        into, other = r % 2, values[1 - r % 2]
-        size = max(16, sizes[into].bit_length() // 8 + 9)
-        seed = hashlib.blake2b(f"{frame}\0{r}\0{other}".encode("utf-8", "replace"), key=key[:64], digest_size=64).digest()
-        draw = int.from_bytes(hashlib.shake_256(seed).digest(size), "big")
-        values[into] = (values[into] + draw) % sizes[into]
+    form = list(text)
+    for i, k in places:
+        form[i] = f"\0{k}"
+    values = [CLASSES[k].index(text[i]) for i, k in places]
     out = list(text)
-    for h, half in enumerate(halves):
-        v = values[h]
-        for i, c in reversed(half):
-            v, d = divmod(v, len(c))
-            out[i] = c[d]
+    for (i, k), v in zip(places, _shuffled(values, [len(CLASSES[k]) for _, k in places], key, f"{tweak}\0{''.join(form)}")):
+        out[i] = CLASSES[k][v]
     return "".join(out)
 
 
-def _walk(text: str, key: bytes, tweak: str, fixed: frozenset[int], like) -> str:
-    """The permutation again until the result is of the same sort as the text; so it permutes each sort."""
+def _walk(text: str, step, like) -> str:
+    """The permutation ``step`` again until the result is of the same sort as the text; so it permutes each sort.
+
+    For sorts that most texts belong to.
+    """
     sort, out = like(text), text
     while True:
-        out = permuted(out, key, tweak, fixed)
+        out = step(out)
         if like(out) == sort:
             return out
 
 
-def _ip_sort(canon: str) -> tuple:
-    part = canon.split(".")
-    if any(not p or int(p) > 255 or (p[0] == "0" and len(p) > 1) for p in part):
-        return ("none",)
-    a, b = int(part[0]), int(part[1])
-    return ("private" if a == 10 or (a, b) == (192, 168) or a == 172 and 16 <= b < 32 else "own" if a in (0, 127) else "high" if a >= 224 else "public",)
+#: First and last number of an octet with so many digits.
+_OCTETS = {1: (0, 9), 2: (10, 99), 3: (100, 255)}
+
+
+def _kept_octets(canon: str) -> int:
+    """Octets that make an address private, local or reserved; they stay."""
+    a, b = (int(x) for x in canon.split(".")[:2])
+    return 1 if a in (0, 10, 127) or a >= 224 else 2 if (a, b) in ((192, 168), (169, 254)) or a == 172 and 16 <= b < 32 else 0
+
+
+def _permuted_ip(canon: str, key: bytes, tweak: str) -> str:
+    parts = canon.split(".")
+    kept = _kept_octets(canon)
+    spans = [_OCTETS[len(p)] for p in parts[kept:]]
+    values = [int(p) - low for p, (low, _) in zip(parts[kept:], spans)]
+    frame = f"{tweak}\0{parts[:kept]}{[len(p) for p in parts]}"
+    new = _shuffled(values, [high - low + 1 for low, high in spans], key, frame)
+    return ".".join(parts[:kept] + [str(v + low) for v, (low, _) in zip(new, spans)])
 
 
 def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
-    """What stands for an entity; further attempts give further ones."""
+    """What stands for an entity; further attempts give further ones.
+
+    Where a format is so small that its values are used up, a token without the format ends the search.
+    """
     tweak = f"{kind}:{attempt}"
+    if attempt > MOST_ATTEMPTS:
+        return f"{kind}-{hashlib.blake2b(canon.encode('utf-8', 'replace'), key=key[:64], digest_size=16).hexdigest()}"
     if kind == "email":
         local, domain = canon.rsplit("@", 1)
         host, top = domain.rsplit(".", 1)
         return f"{permuted(local, key, tweak)}@{permuted(host, key, 'domain')}.{top}"
     if kind == "ipv4":
-        return _walk(canon, key, tweak, frozenset(), _ip_sort)
+        return _walk(canon, lambda x: _permuted_ip(x, key, tweak), _kept_octets)
     if kind == "card":
         out = permuted(canon, key, tweak, frozenset({0, len(canon) - 1}))[:-1]
         return next(out + d for d in "0123456789" if luhn(out + d) == 0)
@@ -128,15 +160,18 @@ def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
     if kind == "phone":
         country = 2 if canon.startswith("+1") else 3 if canon.startswith("+") else 0
         # Numbers don't begin with 0 or 1 where the original doesn't.
-        return _walk(canon, key, tweak, frozenset(range(country)), lambda x: x[country] in "01")
+        return _walk(canon, lambda x: permuted(x, key, tweak, frozenset(range(country))), lambda x: x[country] in "01")
     if kind == "secret":
         return permuted(canon, key, tweak, frozenset(range(4)) if canon.startswith("AKIA") else frozenset())
     if kind == "name":
         gender, name = canon.split(":", 1)
         words = name.split(" ")
         script = "cyrillic" if "а" <= words[0][0].lower() <= "ё" else "latin" if words[0][0].lower() < "ʰ" else ""
-        out = [permuted(w, key, "surname" if attempt == 0 else f"surname:{attempt}") for w in words]
-        if len(words) > 1 and script:
+        out = [permuted(w, key, "surname") for w in words]
+        if len(words) > 1 and (attempt or not script):
+            # Drawn again, a given name is a permutation, so such names meet no more; the surname stays.
+            out[0] = permuted(words[0], key, tweak)
+        elif len(words) > 1:
             given = GIVEN[script, gender].split()
             pick = hashlib.blake2b(f"{tweak}\0{gender}\0{words[0]}".encode("utf-8", "replace"), key=key[:64], digest_size=8).digest()
             out[0] = given[int.from_bytes(pick, "big") % len(given)]
@@ -173,7 +208,7 @@ def _render(kind: str, found: str, new: str) -> str:
         return "".join(next(chars, "") if c.isalnum() else c for c in found)
     if kind == "email" and found != found.lower():
         return "".join(n.upper() if f.isupper() else n for f, n in zip(found, new))
-    return new.split(":", 1)[1] if kind == "name" else new
+    return new.split(":", 1)[-1] if kind == "name" else new
 
 
 class Detector:
