@@ -126,6 +126,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, b
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(text_of(), F.lit(SPACED_WORD)).cast("long").alias("size"),
+        F.xxhash64("doc_id", text_of()).alias("deal"),
     )
     sizes = written(sizes, "mix-sizes")
     sources = source_targets(sizes, weights, cap)
@@ -136,10 +137,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, b
     joined = hot_split_join(sizes.withColumn("key", key), keyed, ["key"], "left").drop("key", "source")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(wanted + F.lit(1e-9))
-    # Rows without an id are dealt by their place in the written table.
-    deal = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id", "size"))
     units = joined.select(
-        "doc_id", "size", "place", "source_size", "target", "blocks", deal.alias("deal"),
+        "doc_id", "size", "place", "source_size", "target", "blocks", "deal",
         whole.alias("whole"), F.greatest(wanted - whole, F.lit(0.0)).alias("p"),
     ).withColumn("block", F.expr("pmod(deal, blocks)"))
 
