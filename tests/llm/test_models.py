@@ -92,7 +92,7 @@ def toxic_rows(n, seed, words):
 
 
 def test_toxicity_of_unseen_misspellings():
-    seen = toxic_rows(400, 1, INSULTS)
+    seen = toxic_rows(1500, 1, INSULTS)
     model = toxicity.fit([t for t, _ in seen], np.array([y for _, y in seen]), np.ones(len(seen)))
     for words, least in ((INSULTS, 0.95), (["scoundrell", "blokhead", "numbskul"], 0.7)):
         other = toxic_rows(200, 2, words)
