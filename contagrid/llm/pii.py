@@ -127,9 +127,8 @@ def _kept_octets(canon: str) -> int:
     return 1 if a in (0, 10, 127) or a >= 224 else 2 if (a, b) in ((192, 168), (169, 254)) or a == 172 and 16 <= b < 32 else 0
 
 
-def _permuted_ip(canon: str, key: bytes, tweak: str) -> str:
+def _permuted_ip(canon: str, key: bytes, tweak: str, kept: int) -> str:
     parts = canon.split(".")
-    kept = _kept_octets(canon)
     spans = [_OCTETS[len(p)] for p in parts[kept:]]
     values = [int(p) - low for p, (low, _) in zip(parts[kept:], spans)]
     frame = f"{tweak}\0{parts[:kept]}{[len(p) for p in parts]}"
@@ -150,7 +149,9 @@ def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
         host, top = domain.rsplit(".", 1)
         return f"{permuted(local, key, tweak)}@{permuted(host, key, 'domain')}.{top}"
     if kind == "ipv4":
-        return _walk(canon, lambda x: _permuted_ip(x, key, tweak), _kept_octets)
+        # One permutation for the whole walk: that of the original's kept octets.
+        kept = _kept_octets(canon)
+        return _walk(canon, lambda x: _permuted_ip(x, key, tweak, kept), _kept_octets)
     if kind == "card":
         out = permuted(canon, key, tweak, frozenset({0, len(canon) - 1}))[:-1]
         return next(out + d for d in "0123456789" if luhn(out + d) == 0)

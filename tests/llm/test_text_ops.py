@@ -107,7 +107,8 @@ def test_surrogates_keep_type_and_coreference(spark):
 
 
 @pytest.mark.parametrize("kind, make", [
-    ("ipv4", lambda i: f"10.0.{i // 250}.{i % 250}"), ("phone", lambda i: f"+1212555{i:04d}"), ("email", lambda i: f"ab{i}@x.org"), ("ssn", lambda i: f"123-45-{i:04d}"),
+    ("ipv4", lambda i: f"10.0.{i // 250}.{i % 250}"), ("ipv4", lambda i: f"{i % 223 + 1}.{i * 7 % 256}.{i // 250}.{i % 250}"),
+    ("ipv4", lambda i: f"192.168.{i // 250}.{i % 250}"), ("phone", lambda i: f"+1212555{i:04d}"), ("email", lambda i: f"ab{i}@x.org"), ("ssn", lambda i: f"123-45-{i:04d}"),
 ])
 def test_different_entities_have_different_surrogates(kind, make):
     real = [make(i) for i in range(1500)]
