@@ -234,7 +234,7 @@ class Detector:
                 if kind == "name":
                     end = start + len(canon.split(":", 1)[1])
                 found.append((start, end, kind, canon))
-        kept, until = [], -1
+        kept = []
         rank = {kind: i for i, (kind, _) in enumerate(PATTERNS)}
         by_rank = sorted(found, key=lambda f: rank[f[2]])
         taken: list[tuple[int, int]] = []
