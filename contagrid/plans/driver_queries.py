@@ -24,7 +24,6 @@ from contagrid.operators import (
     settings,
     summaries,
     territory,
-    windows,
 )
 from contagrid.operators.cubes import case_cube, contact_birth_date, contact_cube
 from contagrid.plans import roles
