@@ -37,7 +37,8 @@ def fix_literals(c: Column, fixes: Mapping[str, str]) -> Column:
 def row_difference(df: DataFrame, minus: DataFrame) -> DataFrame:
     """Rows of ``df`` that equal no row of ``minus`` on all common columns.
 
-    Missing equals missing, and duplicates of surviving rows are kept.
+    Missing equals missing, and duplicates of surviving rows are kept. For frames
+    that don't come from one another; where ``minus`` is a filter of ``df``, use ``without``.
     """
     common = [c for c in df.columns if c in minus.columns]
     right = minus.select(*[F.col(c).alias(f"__{c}") for c in common]).distinct()
@@ -45,6 +46,14 @@ def row_difference(df: DataFrame, minus: DataFrame) -> DataFrame:
     return df.join(right, same, "left_anti")
 
 
+def without(df: DataFrame, condition: Column) -> DataFrame:
+    """The difference of ``df`` and its rows that meet ``condition``, which is one scan and no shuffle.
+
+    Rows for which the condition is missing stay.
+    """
+    return df.where(~F.coalesce(condition, F.lit(False)))
+
+
 def with_placeholder(df: DataFrame, label: str) -> DataFrame:
     """For the sink: a one-row placeholder when, and only when, ``df`` is empty.
 

@@ -147,8 +147,8 @@ def invalid_dates_to_null(spark, sf_dir):
 @query
 def row_difference(spark, sf_dir):
     """Contacts without the school no-answers, removed as whole rows."""
-    rows = roles.contacts(spark, sf_dir)
-    kept = filters.row_difference(rows, rows.where(outcomes.is_school_no_answer(DRIVER)))
+    rows = roles.contacts(spark, sf_dir, placed=False)
+    kept = filters.without(rows, outcomes.is_school_no_answer(DRIVER))
     return aggregates.count_by(kept, "setting", "outcome")
 
 

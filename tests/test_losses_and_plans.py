@@ -109,3 +109,19 @@ def test_a_corrected_week_replaces_the_stored_one(spark, tmp_path):
         sinks.update_history(path, df)
     stored = sinks.update_history(path, week(9, 2), replace=False)
     assert sorted((r["iso_week"], r["ci"]) for r in stored.collect()) == [(1, 5), (2, 7)]
+
+
+def test_difference_from_a_filter_is_the_generic_difference(spark):
+    from pyspark.sql import functions as F
+
+    from contagrid.operators import filters
+
+    df = frame(spark, [("a", 1), ("a", None), (None, 1), ("b", 1), ("b", 1)], "k string, n long")
+    bad = (F.col("k") == "a") & (F.col("n") == 1)
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(filters.without(df, bad)) == rows(filters.row_difference(df, df.where(bad)))
+
+
+def test_row_difference_scans_the_contacts_once(spark):
+    text = plan(queries()["row_difference"](spark, SF_DIR))
+    assert text.count("FileScan") == 1 and "Join" not in text
