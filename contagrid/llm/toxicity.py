@@ -4,7 +4,7 @@ A word's vector is the mean of its own and its character n-grams' vectors, so a
 misspelling never seen shares most of it. A document is read in segments of a few
 dozen words, as a handful of toxic words would vanish in the mean of a long text; a
 segment is the mean of its different words, missing ones as zeros, and the document has its most toxic segment's
-score. Embeddings and softmax are trained together on a bounded sample of labelled
+score. Segments start at every word, so no passage is split by a border. Embeddings and softmax are trained together on a bounded sample of labelled
 documents. As all is linear up to the softmax, a task needs one number for each
 n-gram bucket: how far its vector moves the odds.
 """
@@ -50,7 +50,8 @@ def word_buckets(word: bytes, buckets: int = BUCKETS) -> list[int]:
 class _Bag:
     """Segments as bags of words and words as bags of n-gram buckets, with sums both ways."""
 
-    def __init__(self, grams: list[list[int]], segments: list[list[int]]):
+    def __init__(self, grams: list[list[int]], segments: list[list[int]], overlap: int = 1):
+        """``overlap`` is in how many segments a word of a text stands."""
         lengths = np.array([len(s) for s in segments])
         self.words = np.concatenate([np.array(s) for s in segments])
         self.starts = np.append(0, np.cumsum(lengths)[:-1])
@@ -67,11 +68,13 @@ class _Bag:
         times = np.zeros(len(grams))
         times[self.seen] = np.diff(np.append(self.word_first, len(self.words)))
         often = np.add.reduceat((times / self.counts)[self.gram_word], self.bucket_first)
-        self.ease = (1.0 / np.sqrt(np.maximum(often, 1.0) / len(segments)) * (often >= RARE))[:, None].astype(np.float32)
+        self.ease = (1.0 / np.sqrt(np.maximum(often, 1.0) / len(segments)) * (often >= RARE * overlap))[:, None].astype(np.float32)
+
+    def by_word(self, vectors: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(vectors[self.flat], self.first, axis=0) / self.counts[:, None].astype(np.float32)
 
     def hidden(self, vectors: np.ndarray) -> np.ndarray:
-        by_word = np.add.reduceat(vectors[self.flat], self.first, axis=0) / self.counts[:, None].astype(np.float32)
-        return np.add.reduceat(by_word[self.words], self.starts, axis=0) / np.float32(SEGMENT)
+        return np.add.reduceat(self.by_word(vectors)[self.words], self.starts, axis=0) / np.float32(SEGMENT)
 
     def back(self, to_hidden: np.ndarray) -> np.ndarray:
         """Gradient of the used buckets' vectors."""
@@ -114,16 +117,35 @@ def _descend(bag: _Bag, state: list[np.ndarray], toxic: np.ndarray, weights: np.
         x[...] = k
 
 
+def _most(words: Sequence, values: Sequence[float]) -> tuple[float, int]:
+    """Largest sum of the different words of any ``SEGMENT`` words in a row, and the place of the first; fewer words are one segment."""
+    last: dict = {}
+    total, top, at = 0.0, -np.inf, 0
+    for i, word in enumerate(words):
+        gone = i - SEGMENT
+        if gone >= 0 and last[words[gone]] == gone:
+            total -= values[gone]
+        if last.get(word, -SEGMENT) <= gone:
+            total += values[i]
+        last[word] = i
+        if total > top and gone >= -1:
+            top, at = total, gone + 1
+    # Summed anew, without what rounding has left in the running sum.
+    return sum(dict(zip(words[at : at + SEGMENT], values[at : at + SEGMENT])).values()), at
+
+
 def fit(texts: list[str | None], toxic: np.ndarray, weights: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Trained on all segments of the texts, then on each text's most toxic segment, which is the one that scores it.
+    """Trained on segments that overlap by half, then on each text's most toxic of all segments, which is the one that scores it.
 
     ``toxic`` has 0 or 1 and ``weights`` how many documents a text stands for.
     """
     vocabulary: dict[bytes, int] = {}
-    segments, owner = [], []
+    segments, owner, read, step = [], [], [], SEGMENT // 2
     for i, text in enumerate(texts):
         ids = [vocabulary.setdefault(w, len(vocabulary)) for w in as_words(text).split()]
-        for start in range(0, len(ids), SEGMENT):
+        if ids:
+            read.append((i, ids))
+        for start in range(0, max(len(ids) - step, min(len(ids), 1)), step):
             segments.append(list(dict.fromkeys(ids[start : start + SEGMENT])))
             owner.append(i)
     if not segments:
@@ -132,30 +154,29 @@ def fit(texts: list[str | None], toxic: np.ndarray, weights: np.ndarray, rounds:
     owner, grams = np.array(owner), [word_buckets(w) for w in vocabulary]
     rng = np.random.default_rng(7)
     state = [np.zeros((BUCKETS, WIDTH), np.float32), rng.normal(0, 1 / np.sqrt(WIDTH), (WIDTH, 2)), np.zeros(2)]
-    bag = _Bag(grams, segments)
+    bag = _Bag(grams, segments, SEGMENT // step)
     _descend(bag, state, toxic[owner].astype(int), weights[owner], rounds)
-    odds = bag.hidden(state[0]) @ (state[1][:, 1] - state[1][:, 0])
-    top = pd.Series(odds).groupby(owner).idxmax().to_numpy()
-    there = sorted({w for i in top for w in segments[i]})
+    values = (bag.by_word(state[0]) @ (state[1][:, 1] - state[1][:, 0])).tolist()
+    top = []
+    for _, ids in read:
+        at = _most(ids, [values[w] for w in ids])[1]
+        top.append(list(dict.fromkeys(ids[at : at + SEGMENT])))
+    there = sorted({w for segment in top for w in segment})
     place = {w: k for k, w in enumerate(there)}
-    final = _Bag([grams[w] for w in there], [[place[w] for w in segments[i]] for i in top])
-    _descend(final, state, toxic[owner[top]].astype(int), weights[owner[top]], LAST_ROUNDS)
+    final, who = _Bag([grams[w] for w in there], [[place[w] for w in segment] for segment in top]), np.array([i for i, _ in read])
+    _descend(final, state, toxic[who].astype(int), weights[who], LAST_ROUNDS)
     turn = state[1][:, 1] - state[1][:, 0]
     return Model((state[0] @ turn).astype(np.float32), float(state[2][1] - state[2][0]))
 
 
 def log_odds(text: str | None, model: Model, known: dict[bytes, float]) -> float:
     """Of the most toxic segment; ``known`` keeps words' values between texts."""
-    odds = model.odds
-    words, top = as_words(text).split(), []
-    for start in range(0, len(words), SEGMENT):
-        segment = set(words[start : start + SEGMENT])
-        for word in segment:
-            if word not in known:
-                ids = word_buckets(word, len(odds))
-                known[word] = sum([odds[i] for i in ids]) / len(ids)
-        top.append(sum(map(known.__getitem__, segment)) / SEGMENT)
-    return max(top, default=0.0) + model.bias
+    odds, words = model.odds, as_words(text).split()
+    for word in words:
+        if word not in known:
+            ids = word_buckets(word, len(odds))
+            known[word] = sum([odds[i] for i in ids]) / len(ids)
+    return _most(words, [known[w] for w in words])[0] / SEGMENT + model.bias
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str | None], np.ndarray, np.ndarray]:

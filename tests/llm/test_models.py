@@ -102,6 +102,22 @@ def test_toxicity_of_unseen_misspellings():
     assert toxicity.log_odds("", model, {}) == toxicity.log_odds(None, model, {}) == model.bias
 
 
+def test_toxicity_reads_every_segment():
+    """A passage counts whole wherever it stands, also across any fixed border."""
+    rng = random.Random(4)
+    model = toxicity.Model(np.random.default_rng(4).normal(0, 1, toxicity.BUCKETS).tolist(), 0.25)
+    for n in (0, 1, 23, 24, 25, 40, 100):
+        words = [w.encode() for w in sentence(rng, n, "abc").split()]
+        value = {w: np.mean([model.odds[i] for i in toxicity.word_buckets(w)]) for w in words}
+        best = max(sum(value[w] for w in set(words[a : a + 24])) for a in range(max(1, n - 23)))
+        assert abs(toxicity.log_odds(b" ".join(words).decode(), model, {}) - best / 24 - 0.25) < 1e-9
+    seen = toxic_rows(1500, 1, INSULTS)
+    model = toxicity.fit([t for t, _ in seen], np.array([y for _, y in seen]), np.ones(len(seen)))
+    text = ["the"] * 20 + INSULTS + ["the"] * 40
+    odds = [toxicity.log_odds(" ".join(["the"] * k + text), model, {}) for k in range(24)]
+    assert max(odds) - min(odds) < 1e-9
+
+
 def test_toxicity_of_awkward_rows(spark):
     seen = toxic_rows(100, 3, INSULTS)
     rows = [(1000 + i, t, "en", "s", None) for i, (t, _) in enumerate(seen)]
