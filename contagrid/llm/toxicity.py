@@ -1,7 +1,8 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word's vector is the mean of its own and its character n-grams' vectors, so a
-misspelling never seen shares most of it. A document is read in segments of a few
+misspelling never seen shares most of it. Runs without a blank that are longer than words
+are, as in Chinese, Japanese or Thai, are read in overlapping pieces. A document is read in segments of a few
 dozen words, as a handful of toxic words would vanish in the mean of a long text; a
 segment is the mean of its different words, missing ones as zeros, and the document has its most toxic segment's
 score. Segments start at every word, so no passage is split by a border. Embeddings and softmax are trained together on a bounded sample of labelled
@@ -25,6 +26,7 @@ from contagrid.llm.licenses import as_words
 
 BUCKETS, WIDTH, SEGMENT = 1 << 16, 4, 24
 SHORTEST, LONGEST = 3, 5
+LONG_WORD, PIECE = 64, 24  # bytes: a run longer than the first is read in overlapping pieces of the second
 SAMPLE_DOCS = 1500  # labelled documents of each class that the model is fitted on, about
 ROUNDS, LAST_ROUNDS = 60, 15
 RARE = 5.0  # a bucket in fewer segments than this, its words' other n-grams counted, is not trained
@@ -39,7 +41,7 @@ class Model(NamedTuple):
 
 def word_buckets(word: bytes, buckets: int = BUCKETS) -> list[int]:
     """Of the word and its n-grams of 3 to 5 bytes, ends marked."""
-    marked = b"<" + word[:64] + b">"
+    marked = b"<" + word + b">"
     n = len(marked)
     ids = [zlib.crc32(word) % buckets]
     for k in range(SHORTEST, LONGEST + 1):
@@ -47,6 +49,34 @@ def word_buckets(word: bytes, buckets: int = BUCKETS) -> list[int]:
     return ids
 
 
+def pieces(word: bytes) -> list[bytes]:
+    """A long run, as of a script without blanks, in pieces that end between characters.
+
+    Two neighbours share more bytes than the longest n-gram has, so that each n-gram is in a piece.
+    """
+
+    def border(i: int) -> int:
+        while i < len(word) and word[i] & 0xC0 == 0x80:
+            i -= 1
+        return i
+
+    out, start = [], 0
+    while True:
+        end = border(min(start + PIECE, len(word)))
+        out.append(word[start:end])
+        if end == len(word):
+            return out
+        start = border(start + PIECE // 2)
+
+
+def bag_words(text: str | None) -> list[bytes]:
+    """The text's words; each piece of a long run counts as one."""
+    words = as_words(text).split()
+    if max(map(len, words), default=0) <= LONG_WORD:
+        return words
+    return [part for word in words for part in (pieces(word) if len(word) > LONG_WORD else (word,))]
+
+
 class _Bag:
     """Segments as bags of words and words as bags of n-gram buckets, with sums both ways."""
 
@@ -142,7 +172,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, weights: np.ndarray, rounds:
     vocabulary: dict[bytes, int] = {}
     segments, owner, read, step = [], [], [], SEGMENT // 2
     for i, text in enumerate(texts):
-        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in as_words(text).split()]
+        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in bag_words(text)]
         if ids:
             read.append((i, ids))
         for start in range(0, max(len(ids) - step, min(len(ids), 1)), step):
@@ -171,7 +201,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, weights: np.ndarray, rounds:
 
 def log_odds(text: str | None, model: Model, known: dict[bytes, float]) -> float:
     """Of the most toxic segment; ``known`` keeps words' values between texts."""
-    odds, words = model.odds, as_words(text).split()
+    odds, words = model.odds, bag_words(text)
     for word in words:
         if word not in known:
             ids = word_buckets(word, len(odds))

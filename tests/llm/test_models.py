@@ -118,6 +118,27 @@ def test_toxicity_reads_every_segment():
     assert max(odds) - min(odds) < 1e-9
 
 
+def test_toxicity_reads_long_runs_to_their_end():
+    """Text without blanks is one run of letters; what stands far behind in it counts."""
+    rng = random.Random(6)
+    for n in (65, 66, 90, 150, 1000):
+        word = "".join(rng.choice("abcé東京🙂") for _ in range(n)).encode()
+        parts = toxicity.bag_words(word.decode())
+        assert len(parts) > 1 and all(p.decode() and len(p) <= toxicity.PIECE for p in parts)
+        assert all(any(word[i : i + 5] in p for p in parts) for i in range(len(word) - 4))
+    assert toxicity.bag_words("x" * 64 + " yz") == [b"x" * 64, b"yz"]
+
+    def rows(seed, n):
+        rng = random.Random(seed)
+        plain = lambda n: "".join(rng.choice("的一是了我不人在他有這個上們來到時大地為子中你說生國年著就那和") for _ in range(n))
+        return [(plain(40) + rng.choice(["混蛋傻瓜", "白痴廢物"]) * (i % 4 == 0) + plain(20), int(i % 4 == 0)) for i in range(n)]
+
+    seen, other = rows(1, 1500), rows(2, 400)
+    model = toxicity.fit([t for t, _ in seen], np.array([y for _, y in seen]), np.ones(len(seen)))
+    p, y = np.array([toxicity.log_odds(t, model, {}) > 0 for t, _ in other]), np.array([y for _, y in other])
+    assert p[y == 1].mean() >= 0.9 and p[y == 0].mean() < 0.05
+
+
 def test_toxicity_of_awkward_rows(spark):
     seen = toxic_rows(100, 3, INSULTS)
     rows = [(1000 + i, t, "en", "s", None) for i, (t, _) in enumerate(seen)]
