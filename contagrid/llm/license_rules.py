@@ -42,7 +42,7 @@ LICENSES = (
     ("isc", "isc", "isc", r"isc licen[cs]e", "opensource org licen[cs]es isc", ("permission to use copy modify and or distribute this software for any purpose",)),
     ("agpl-3", "agpl 3 0(?: only| or later)?", "affero", r"(?:gnu )?affero general public licen[cs]e (?:version |v)?3(?: 0)?|affero gpl v?3", "gnu org licen[cs]es agpl 3 0", ()),
     ("agpl", "agpl", "affero", r"(?:gnu )?affero general public licen[cs]e", "gnu org licen[cs]es agpl", ()),
-    ("lgpl-2", "lgpl 2 0(?: only| or later)?", "lesser", r"(?:gnu )?(?:library|lesser) general public licen[cs]e (?:version |v)?2(?: 0)?", "gnu org licen[cs]es lgpl 2 0", ()),
+    ("lgpl-2", "lgpl 2 0(?: only| or later)?", "general public", r"(?:gnu )?(?:library|lesser) general public licen[cs]e (?:version |v)?2(?: 0)?", "gnu org licen[cs]es lgpl 2 0", ()),
     ("lgpl-2.1", "lgpl 2 1(?: only| or later)?", "lesser", r"(?:gnu )?lesser general public licen[cs]e (?:version |v)?2 1", "gnu org licen[cs]es lgpl 2 1", ()),
     ("lgpl-3", "lgpl 3 0(?: only| or later)?", "lesser", r"(?:gnu )?lesser general public licen[cs]e (?:version |v)?3(?: 0)?", "gnu org licen[cs]es lgpl 3 0", ()),
     ("lgpl", "lgpl", "gpl", r"lgpl licen[cs]e|gnu lgpl", "gnu org licen[cs]es lgpl", ()),
@@ -133,7 +133,8 @@ def rules() -> list[Rule]:
     """All rules in order: each license as SPDX tag, sentence of its text, address, grant and bare name."""
     made = []
     for place, (label, tag, keyword, names, address, sentences) in enumerate(LICENSES):
-        host = address.split(" ")[0]
+        # The first word that stands for itself only: a keyword is no pattern.
+        host = next((w for w in address.split(" ") if w.isalnum()), "")
         made.append(Rule(label, "tag", "spdx", rf"spdx licen[cs]e identifier {tag}", 1000 + place, 0.99))
         made += [Rule(label, "text", " ".join(s.split(" ")[:3]), s, 2000 + place, 0.97) for s in sentences]
         if address:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from datetime import datetime
@@ -65,6 +66,47 @@ def test_rules_are_hundreds_and_their_keywords_gate_nothing_they_match():
         assert strip(scanner.scan(data)) == strip(open_.scan(data)) != []
 
 
+def samples_of(parsed):
+    """A text for each choice of alternatives and optional parts of a parsed pattern; of a class of characters the first."""
+    kinds = []
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            kinds.append([chr(arg)])
+        elif op == "IN":
+            first, value = arg[0]
+            kinds.append([chr(value if str(first) == "LITERAL" else value[0])])
+        elif op == "SUBPATTERN":
+            kinds.append(samples_of(arg[3]))
+        elif op == "BRANCH":
+            kinds.append([x for branch in arg[1] for x in samples_of(branch)])
+        elif op == "MAX_REPEAT":
+            kinds.append([""] * (arg[0] == 0) + samples_of(arg[2]))
+        else:
+            raise ValueError(op)
+    return ["".join(x) for x in itertools.product(*kinds)]
+
+
+def test_keywords_stand_in_every_alternative():
+    for rule in rules():
+        texts = samples_of(re._parser.parse(rule.pattern))
+        assert texts and all(re.fullmatch(rule.pattern, x) for x in texts)
+        assert all(rule.keyword in x for x in texts), rule
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("under the GNU Library General Public License version 2", {"lgpl-2"}),
+        ("licensed under the GNU Library General Public License, version 2.0", {"lgpl-2"}),
+        ("see http://license.coscl.org.cn/MulanPSL2", {"mulanpsl-2"}),
+    ],
+)
+def test_texts_without_the_usual_keyword(text, labels):
+    found = licenses.Scanner().scan(licenses.as_words(text))
+    assert {d["label"] for d in found if d["kept"]} == labels
+
+
 def test_kept_detections_by_brute_force():
     rng = random.Random(2)
     made = rules()
