@@ -69,6 +69,36 @@ def test_stages_take_awkward_rows(spark, tmp_path):
         assert kept <= {4, 5, 6, 7, 8, 9, 10, None, 11}
 
 
+def test_stages_decide_by_row(spark, tmp_path):
+    """Missing and repeated ids: copies and leaks go, and only they."""
+    rng = random.Random(7)
+    t = [sentence(rng, 150) for _ in range(8)]
+    item = sentence(rng, 25)
+    spark.createDataFrame([(1, item)], ITEMS).write.parquet(str(tmp_path / "benchmark.parquet"))
+    near = t[3].replace(t[3].split()[50], "changed", 1)
+    leak = f"{t[6]} {item} {t[7]}"
+
+    def after(stage, rows):
+        out = stage(spark, documents(spark, [(i, x, "aa", "s", None) for i, x in rows]), str(tmp_path)).collect()
+        return sorted(((r["doc_id"], r["text"]) for r in out), key=str)
+
+    exact = [(None, t[0]), (None, t[0]), (1, t[0]), (None, t[1]), (None, t[1]), (5, t[2]), (5, t[2]), (5, t[4]), (None, None), (None, "")]
+    got = after(corpus_pipeline.exact_dedup, exact)
+    assert sorted((str(i), x or "") for i, x in got) == sorted((str(i), x) for i, x in [(1, t[0]), (None, t[1]), (5, t[2]), (5, t[4]), (None, "")])
+    rows = [(None, t[3]), (4, near), (4, t[4]), (9, t[5]), (9, t[5]), (None, t[2])]
+    assert after(corpus_pipeline.near_dedup, rows) == sorted([(4, near), (4, t[4]), (9, t[5]), (None, t[2])], key=str)
+    rows = [(None, leak), (4, leak), (4, t[4]), (None, t[2]), (None, t[2])]
+    assert after(corpus_pipeline.decontaminate, rows) == sorted([(4, t[4]), (None, t[2]), (None, t[2])], key=str)
+    rows = [(None, sentence(rng, rng.randint(5, 30)), "aa", f"s{k % 3}", None) for k in range(300)]
+    out = corpus_pipeline.mixture(spark, documents(spark, rows), str(tmp_path)).collect()
+    size, taken = {}, {}
+    for _, x, _, s, _ in rows:
+        size[s] = size.get(s, 0) + len(x.split())
+    for r in out:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["copies"] * len(r["text"].split())
+    assert all(abs(taken[s] - x) < 50 for s, x in brute_targets(size).items())
+
+
 def test_the_rest_works_without_this_part(tmp_path):
     root = pathlib.Path(corpus_pipeline.__file__).parent
     shutil.copytree(root / "contagrid", tmp_path / "contagrid", ignore=shutil.ignore_patterns("llm", "__pycache__"))
