@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -39,6 +42,11 @@ CLASSES = (
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ",
     "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 )
+_PLACE = {ch: (k, i) for k, letters in enumerate(CLASSES) for i, ch in enumerate(letters)}
+#: Lower-case words that stand in front of or between the capitalised words of a name.
+PARTICLES = frozenset(
+    "af al av bin bint ben ibn da das de degli dei del della den der des di do dos du e el het ten ter la las le les lo los op te und van vom von y zu zum zur".split()
+)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = {t: g for g, ts in TITLES.items() for t in ts.split()}
 #: In order: where detections overlap, the earlier kind wins.
@@ -50,8 +58,10 @@ PATTERNS = (
     ("card", r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)"),
     ("phone", r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,11}(?!\w)|(?<![\w.])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    ("name", rf"\b(?P<title>{'|'.join(_TITLE)})\b\.? (?P<name>[^\W\d_][\w'’-]*(?: [^\W\d_][\w'’-]*){{0,2}})"),
+    ("name", rf"\b(?P<title>{'|'.join(_TITLE)})\b\.? "),
 )
+#: A word of a name; accents may be characters of their own.
+_NAME_WORD = re.compile(r"[^\W\d_][\w'’\u0300-\u036f-]*")
 ENTITY = "kind string, canon string"
 TASK_ENTITIES = 2000
 MOST_ATTEMPTS = 16
@@ -90,18 +100,45 @@ def _shuffled(values: list[int], sizes: list[int], key: bytes, frame: str) -> li
     return out
 
 
+def _script(ch: str) -> str:
+    """Script and case of a letter; Latin letters of no alphabet (phonetic ones) are a script of their own."""
+    rare = "" if ord(ch) < 0x250 or 0x1E00 <= ord(ch) < 0x1F00 else " rare"
+    script = unicodedata.name(ch, "?").split(" ")[0].split("-")[0]
+    return f"{script}{rare * (script == 'LATIN')} {unicodedata.category(ch)}"
+
+
+@cache
+def _others() -> dict[str, list[str]]:
+    """The letters outside ``CLASSES`` by script and case."""
+    found: dict[str, list[str]] = {}
+    for ch in map(chr, range(0xAA, sys.maxunicode + 1)):
+        if ch.isalpha() and ch not in _PLACE:
+            found.setdefault(_script(ch), []).append(ch)
+    return found
+
+
+@cache
+def _other_places() -> dict[str, tuple[str, int]]:
+    return {ch: (k, i) for k, letters in _others().items() for i, ch in enumerate(letters)}
+
+
+def _place(ch: str) -> tuple[int | str, int] | None:
+    """Class of a letter or digit and its place there."""
+    return _PLACE.get(ch) or (_other_places().get(ch) if ch >= "\x80" and ch.isalpha() else None)
+
+
 def permuted(text: str, key: bytes, tweak: str, fixed: frozenset[int] = frozenset()) -> str:
     """A keyed permutation of all texts with the same classes and fixed characters."""
-    places = [(i, k) for i, ch in enumerate(text) if i not in fixed for k, c in enumerate(CLASSES) if ch in c]
+    places = [(i, *at) for i, ch in enumerate(text) if i not in fixed and (at := _place(ch))]
     if not places:
         return text
     form = list(text)
-    for i, k in places:
+    for i, k, _ in places:
         form[i] = f"\0{k}"
-    values = [CLASSES[k].index(text[i]) for i, k in places]
+    letters = [CLASSES[k] if isinstance(k, int) else _others()[k] for _, k, _ in places]
     out = list(text)
-    for (i, k), v in zip(places, _shuffled(values, [len(CLASSES[k]) for _, k in places], key, f"{tweak}\0{''.join(form)}")):
-        out[i] = CLASSES[k][v]
+    for (i, _, _), own, v in zip(places, letters, _shuffled([v for *_, v in places], [*map(len, letters)], key, f"{tweak}\0{''.join(form)}")):
+        out[i] = own[v]
     return "".join(out)
 
 
@@ -168,11 +205,13 @@ def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
         gender, name = canon.split(":", 1)
         words = name.split(" ")
         script = "cyrillic" if "а" <= words[0][0].lower() <= "ё" else "latin" if words[0][0].lower() < "ʰ" else ""
-        out = [permuted(w, key, "surname") for w in words]
-        if len(words) > 1 and (attempt or not script):
+        out = [w if w in PARTICLES else permuted(w, key, "surname") for w in words]
+        # A particle in front, or one word besides particles: no given name.
+        two = words[0] not in PARTICLES and sum(w not in PARTICLES for w in words) > 1
+        if two and (attempt or not script):
             # Drawn again, a given name is a permutation, so such names meet no more; the surname stays.
             out[0] = permuted(words[0], key, tweak)
-        elif len(words) > 1:
+        elif two:
             given = GIVEN[script, gender].split()
             pick = hashlib.blake2b(f"{tweak}\0{gender}\0{words[0]}".encode("utf-8", "replace"), key=key[:64], digest_size=8).digest()
             out[0] = given[int.from_bytes(pick, "big") % len(given)]
@@ -193,22 +232,37 @@ def _canon(kind: str, found: str, title: str | None) -> str | None:
     if kind == "phone":
         return ("+" if found[0] == "+" else "") + re.sub(r"\D", "", found)
     if kind == "name":
-        words = []
-        for w in found.split(" "):
-            if not w[0].isupper():
-                break
-            words.append(w)
-        return f"{_TITLE[title]}:{' '.join(words)}" if words else None
+        return f"{_TITLE[title]}:{found}" if found else None
     return found
 
 
+def _name_end(text: str, start: int) -> int:
+    """Where the name that begins at ``start`` ends: behind its last capitalised word, or ``start`` if there is none.
+
+    Particles count if a capitalised word follows; so do words like d'Arc. Another title ends a name.
+    """
+    at = end = start
+    while m := _NAME_WORD.match(text, at):
+        word = m[0]
+        if end > start and word in _TITLE:
+            break
+        if word[0].isupper() or re.match(r"\w{1,3}['’-]\w", word) and word[re.search(r"['’-]", word).end()].isupper():
+            end = m.end()
+        elif word not in PARTICLES:
+            break
+        at = m.end() + 1
+        if text[m.end() : at] != " ":
+            break
+    return end
+
+
 def _render(kind: str, found: str, new: str) -> str:
     """The surrogate in the spelling of what was found: its separators and capitals."""
     if kind in ("card", "phone", "iban"):
         chars = iter(new.removeprefix("+"))
         return "".join(next(chars, "") if c.isalnum() else c for c in found)
     if kind == "email" and found != found.lower():
-        return "".join(n.upper() if f.isupper() else n for f, n in zip(found, new))
+        return "".join(n.upper() if f.isupper() and len(n.upper()) == 1 else n for f, n in zip(found, new))
     return new.split(":", 1)[-1] if kind == "name" else new
 
 
@@ -223,16 +277,21 @@ class Detector:
         for kind, pattern in self.patterns:
             if kind == "email" and "@" not in text or kind in ("ipv4", "iban", "card", "phone", "ssn") and not digits:
                 continue
+            behind = 0
             for m in pattern.finditer(text):
-                group = "name" if kind == "name" else 0 if kind != "secret" else "secret" if m["secret"] else "aws"
+                if kind == "name":
+                    end = _name_end(text, m.end()) if m.start() >= behind else m.end()
+                    if end > m.end():
+                        found.append((m.end(), end, kind, _canon(kind, text[m.end() : end], m["title"])))
+                        behind = end
+                    continue
+                group = 0 if kind != "secret" else "secret" if m["secret"] else "aws"
                 start, end = m.span(group)
                 if kind == "secret" and not any(c.isdigit() for c in m[group]):
                     continue
-                canon = _canon(kind, m[group], m["title"] if kind == "name" else None)
+                canon = _canon(kind, m[group], None)
                 if canon is None:
                     continue
-                if kind == "name":
-                    end = start + len(canon.split(":", 1)[1])
                 found.append((start, end, kind, canon))
         kept = []
         rank = {kind: i for i, (kind, _) in enumerate(PATTERNS)}

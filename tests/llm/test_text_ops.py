@@ -159,6 +159,20 @@ def test_different_entities_have_different_surrogates(kind, make):
     assert out == [pii.surrogate(kind, x, KEY) for x in real] != [pii.surrogate(kind, x, b"other") for x in real]
 
 
+@pytest.mark.parametrize("text, names", [
+    ("Señor Juan Carlos García López dijo", ["Juan Carlos García López"]), ("Frau Anna von Berg kam", ["Anna von Berg"]), ("Frau von der Leyen und Herr Klaus", ["von der Leyen", "Klaus"]),
+    ("Monsieur Jean de la Croix de", ["Jean de la Croix"]), ("Mme Jeanne d’Arc est", ["Jeanne d’Arc"]), ("Mr Adam Żak Łoś", ["Adam Żak Łoś"]), ("Mr. von nobody", []), ("Mr A Mrs B", ["A", "B"]),
+])
+def test_whole_names_are_replaced(text, names):
+    found = pii.Detector().find(text)
+    assert [text[a:b] for a, b, *_ in found] == names
+    for _, _, kind, canon in found:
+        words, new = canon.split(":")[1].split(" "), pii.surrogate(kind, canon, KEY).split(":")[1].split(" ")
+        assert len(words) == len(new) and all((w == n) == (w in pii.PARTICLES) for w, n in zip(words, new) if len(w) > 2)
+    new = pii.permuted("Żak Łoś ğİı", KEY, "surname")
+    assert not set("ŻŁśğ") & set(new) and [c.isupper() for c in new] == [c.isupper() for c in "Żak Łoś ğİı"]
+
+
 def test_meeting_surrogates_are_drawn_again(spark):
     """Two-digit local parts fill their space, so surrogates must meet entities, and given names meet each other."""
     names = [f"Mr. {a}{b}rn Stone" for a in "ABCDEFGHKLMNPRST" for b in "aeiou"]
