@@ -12,6 +12,7 @@ import pytest
 
 from contagrid.llm import licenses, mixing, pii, warc
 from contagrid.llm.license_rules import BASE, LICENSES, rules
+from contagrid.llm.queries import QUERIES
 from samples import awkward, documents, sentence, simple
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -192,6 +193,13 @@ def test_surrogates_of_awkward_rows(spark):
     assert pii.pseudonymise(documents(spark, []), KEY).count() == 0
 
 
+def test_surrogate_query_gives_every_document(spark, tmp_path):
+    simple(spark, [TEXT, "nothing here", None, ""]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in QUERIES["op4_pii_surrogates"](spark, str(tmp_path)).collect()}
+    assert [tuple(got[i])[1:] for i in (1, 2, 3)] == [(0, "", "nothing here"), (0, "", None), (0, "", "")]
+    assert len(got) == 4 and got[0]["n_entities"] == 8 and got[0]["text"] != TEXT
+
+
 RECORDS = "record_id long, url string, captured_at timestamp, kind string, status int, digest string, headers map<string,string>"
 
 
