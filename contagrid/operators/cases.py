@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from contagrid.fixed_values import DOMAIN, Vocabulary
 from contagrid.functions.dates import DAY_MONTH_YEAR, YEAR_MONTH_DAY, age_years, parse_date
 from contagrid.functions.numbers import percent, ratio
 from contagrid.operators.aggregates import count_rows, crosstab, level_columns, row_total, with_totals
-from contagrid.operators.filters import not_equal_or_null
-from contagrid.operators.lookups import members, non_members
-from contagrid.operators.reshape import align_measures
+from contagrid.operators.bitmaps import id_filter, may_be_in
+from contagrid.operators.lookups import non_members
 from contagrid.operators.windows import share_of_total
 
 INDICATOR_COLUMNS = (
@@ -96,54 +95,6 @@ def school_case_ids(contacts: DataFrame, vocab: Vocabulary = DOMAIN) -> DataFram
     return contacts.where(F.col("setting") == vocab.school).select("case_cip").distinct()
 
 
-def cases_by_school(patients: DataFrame, contacts: DataFrame, vocab: Vocabulary = DOMAIN) -> DataFrame:
-    """Per territory: cases with a school contact, and reporting cases without one.
-
-    A case may have both kinds of contact, so this is decided per case id. Case
-    rows are first counted per (id, territory): what is shuffled and joined has
-    one row per id, whatever the number of copies.
-    """
-    per_case = patients.groupBy("cip", "sve").agg(
-        F.count("*").alias("rows"), F.bool_or(F.col("n_contacts") > 0).alias("reports")
-    )
-    per_case = per_case.withColumn("reports", F.bool_or("reports").over(Window.partitionBy("cip")))
-    school = school_case_ids(contacts, vocab).select(F.col("case_cip").alias("cip"), F.lit(True).alias("in_school"))
-    flagged = per_case.join(school, "cip", "left")
-    in_school = F.coalesce("in_school", F.lit(False))
-    return flagged.groupBy("sve").agg(
-        F.sum(F.when(in_school, F.col("rows"))).alias("cases_with_school"),
-        F.sum(F.when(~in_school & F.col("reports"), F.col("rows"))).alias("cases_without_school"),
-    )
-
-
-def school_split(
-    patients: DataFrame,
-    contacts: DataFrame,
-    vocab: Vocabulary = DOMAIN,
-    cube: DataFrame | None = None,
-) -> DataFrame:
-    """Cases and contacts in and out of school, with contacts per case.
-
-    ``cube`` may supply the contact counts; case ids always come from the rows.
-    """
-    counted = contacts if cube is None else cube
-    by_contact = counted.groupBy("sve").agg(
-        count_rows(counted, F.col("setting") == vocab.school).alias("school_contacts"),
-        count_rows(counted, not_equal_or_null(F.col("setting"), vocab.school)).alias("other_contacts"),
-    )
-    by_case = cases_by_school(patients, contacts, vocab)
-    columns = ["cases_with_school", "cases_without_school", "school_contacts", "other_contacts"]
-    aligned = align_measures(
-        {c: (by_case if c.startswith("cases") else by_contact, c) for c in columns}, "sve"
-    )
-    zero = F.lit(0.0)
-    return (
-        with_totals(aligned, "sve", columns, vocab.total)
-        .withColumn("school_ratio", F.coalesce(ratio(F.col("school_contacts"), F.col("cases_with_school")), zero))
-        .withColumn("other_ratio", F.coalesce(ratio(F.col("other_contacts"), F.col("cases_without_school")), zero))
-    )
-
-
 def cases_without_school(patients: DataFrame, contacts: DataFrame, vocab: Vocabulary = DOMAIN) -> DataFrame:
     """Ids of reporting cases with no school contact (anti join)."""
     return non_members(reporting_case_ids(patients), school_case_ids(contacts, vocab), "cip", "case_cip")
@@ -159,8 +110,9 @@ def heavy_reporters(
 ) -> DataFrame:
     """Cases that report at least ``minimum`` contacts, with their contacts by setting.
 
-    Only the contacts of such cases are counted, and counted per case before they
-    meet the cases: a case with very many is reduced to a row on the map side.
+    A filter made of such cases' ids, of a fixed size, keeps other contacts from being
+    shuffled. Those it lets through are counted per case before they meet the
+    cases: a case with very many is reduced to a row on the map side.
     """
     levels = list(settings) if settings is not None else [*vocab.settings, vocab.school, vocab.unknown_setting]
     heavy = patients.where(F.col("n_contacts") >= minimum)
@@ -170,7 +122,7 @@ def heavy_reporters(
         F.col("n_contacts").alias("n_contacts_reported"),
     )
     columns = level_columns(levels)
-    listed = members(contacts.select("case_cip", "setting"), heavy.select("cip").distinct(), "case_cip", "cip")
+    listed = may_be_in(contacts.select("case_cip", "setting"), "case_cip", id_filter(heavy, "cip"))
     per_case = crosstab(listed, "case_cip", "setting", levels)
     per_case = row_total(per_case, columns, "n_contacts_listed").withColumnRenamed("case_cip", "cip")
     return people.join(per_case, "cip", "left").orderBy(F.col("n_contacts_reported").desc(), "cip")

@@ -7,6 +7,7 @@ number of people. All territory tables are then cheap sums over it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -29,14 +30,18 @@ def contact_birth_date(c: Column, as_of: date) -> Column:
     return null_unless_between(parse_date(c, DAY_MONTH_YEAR, MONTH_DAY_YEAR, YEAR_MONTH_DAY), EARLIEST_BIRTH, as_of)
 
 
-def contact_cube(contacts: DataFrame, as_of: date) -> DataFrame:
-    """(sve, setting, outcome, symptoms_day0, age_band, n) of a snapshot."""
-    band = age_band(age_years(contact_birth_date(F.col("birth_date"), as_of), as_of))
-    return (
-        contacts.select("sve", "setting", "outcome", "symptoms_day0", band.alias("age_band"))
-        .groupBy("sve", "setting", "outcome", "symptoms_day0", "age_band")
-        .agg(F.count("*").alias("n"))
-    )
+CONTACT_KEYS = ("sve", "setting", "outcome", "symptoms_day0", "age_band")
+
+
+def contact_cube(contacts: DataFrame, as_of: date, by: Sequence[str] = CONTACT_KEYS) -> DataFrame:
+    """(sve, setting, outcome, symptoms_day0, age_band, n) of a snapshot, or fewer of these keys.
+
+    A cube without the age band reads no birth date.
+    """
+    if "age_band" in by:
+        band = age_band(age_years(contact_birth_date(F.col("birth_date"), as_of), as_of))
+        contacts = contacts.withColumn("age_band", band)
+    return contacts.groupBy(*by).agg(F.count("*").alias("n"))
 
 
 def case_cube(patients: DataFrame) -> DataFrame:

@@ -7,13 +7,12 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from contagrid.fixed_values import DOMAIN, Vocabulary
-from contagrid.functions.dates import iso_year_week
+from contagrid.functions.dates import iso_week, iso_year, iso_year_week
 from contagrid.functions.numbers import percent
 from contagrid.operators.aggregates import with_totals
-from contagrid.operators.reshape import align_measures
 
 HISTORY_COLUMNS = ("iso_year", "iso_week", "sve", "ci", "cni")
 
@@ -45,34 +44,31 @@ def new_history_rows(history: DataFrame, current: DataFrame) -> DataFrame:
     return current.join(weeks, ["iso_year", "iso_week"], "left_anti").select(*HISTORY_COLUMNS)
 
 
-def week_over_week(indicators: DataFrame, history: DataFrame, as_of: date, vocab: Vocabulary = DOMAIN) -> DataFrame:
+def weekly_counts(patients: DataFrame) -> DataFrame:
+    """History rows of every snapshot week in ``patients``, counted in one pass."""
+    reporting = F.count_if(F.col("n_contacts") > 0)
+    return (
+        patients.groupBy("snapshot_week", "sve")
+        .agg(reporting.alias("ci"), (F.count("*") - reporting).alias("cni"))
+        .select(iso_year(F.col("snapshot_week")).cast("int").alias("iso_year"), iso_week(F.col("snapshot_week")).alias("iso_week"), "sve", "ci", "cni")
+    )
+
+
+def week_over_week(weeks: DataFrame, as_of: date, vocab: Vocabulary = DOMAIN) -> DataFrame:
     """Share of reporting cases this week and last, and the change in points.
 
-    Territories are those of this week; last week's totals use all of its rows.
+    ``weeks`` are history rows, the study week's among them. Both weeks are read in one
+    pass. Territories are those of this week; last week's totals use all of its rows.
     """
-    year, week = previous_study_week(as_of)
-    reporting = F.coalesce("reporting_cases", F.lit(0))
-    now = indicators.select(
-        "sve",
-        "is_total",
-        reporting.alias("informed"),
-        (F.col("cases") - reporting).alias("not_informed"),
-        F.col("cases").alias("total"),
-    )
-    then = with_totals(
-        history.where((F.col("iso_year") == year) & (F.col("iso_week") == week)), "sve", ["ci", "cni"], vocab.total
-    )
-    both = align_measures(
-        {
-            "informed": (now, "informed"),
-            "not_informed": (now, "not_informed"),
-            "total": (now, "total"),
-            "previous_informed": (then, "ci"),
-            "previous_not_informed": (then, "cni"),
-        },
-        ["sve", "is_total"],
-        fill=None,
-    ).where("total IS NOT NULL")
+
+    def of(week: tuple[int, int], measure: str) -> Column:
+        return F.sum(F.when((F.col("iso_year") == week[0]) & (F.col("iso_week") == week[1]), F.col(measure)))
+
+    now, then = study_week(as_of), previous_study_week(as_of)
+    columns = {"informed": of(now, "ci"), "not_informed": of(now, "cni"), "previous_informed": of(then, "ci"), "previous_not_informed": of(then, "cni")}
+    wide = weeks.groupBy("sve").agg(*[c.alias(name) for name, c in columns.items()])
+    both = with_totals(wide, "sve", list(columns), vocab.total)
+    both = both.withColumn("total", F.col("informed") + F.col("not_informed")).where("total IS NOT NULL")
     before = F.col("previous_informed") + F.col("previous_not_informed")
     return (
         both.withColumn("informed_pct", percent(F.col("informed"), F.col("total")))

@@ -9,7 +9,7 @@ from contagrid.functions.numbers import percent
 from contagrid.functions.text import outcome_label, replace_first
 from contagrid.operators.aggregates import block_subtotals, count_rows, crosstab, level_columns, with_totals
 from contagrid.operators.ordering import level_position
-from contagrid.operators.windows import middle_from_end, running_total
+from contagrid.operators.windows import middle_from_end, running_total, with_overall
 
 
 def is_school_no_answer(vocab: Vocabulary = DOMAIN) -> Column:
@@ -21,8 +21,8 @@ def school_no_answer(contacts: DataFrame, vocab: Vocabulary = DOMAIN) -> DataFra
     rows = contacts.where(is_school_no_answer(vocab))
     counts = rows.groupBy("sve").agg(count_rows(rows).alias("n"))
     table = with_totals(counts, "sve", ["n"], vocab.total)
-    grand = table.where("is_total").select("n").scalar()
-    return table.withColumn("pct", percent(F.col("n"), grand))
+    table = with_overall(table, "__all", F.max(F.when(F.col("is_total"), F.col("n"))))
+    return table.withColumn("pct", percent(F.col("n"), F.col("__all"))).drop("__all")
 
 
 def outcome_category(vocab: Vocabulary = DOMAIN) -> Column:
@@ -46,11 +46,9 @@ def outcome_breakdown(contacts: DataFrame, vocab: Vocabulary = DOMAIN) -> DataFr
     block_of = F.create_map(*[F.lit(x) for pair in vocab.outcome_labels for x in pair])
     merged = counts.unionByName(expected).withColumn("block", F.coalesce(F.element_at(block_of, F.col("label")), F.lit("other")))
     table = block_subtotals(merged, "block", "label")
-    grand = merged.select(F.sum("n")).scalar()
-    return table.withColumn("pct", percent(F.col("n"), grand)).withColumn(
-        "ord",
-        F.when(F.col("kind") == "item", level_position(F.col("label"), labels)).otherwise(F.lit(len(labels) + 2)),
-    )
+    table = with_overall(table, "__all", F.max(F.when(F.col("kind") == "total", F.col("n"))))
+    position = F.when(F.col("kind") == "item", level_position(F.col("label"), labels)).otherwise(F.lit(len(labels) + 2))
+    return table.withColumn("pct", percent(F.col("n"), F.col("__all"))).withColumn("ord", position).drop("__all")
 
 
 def outcome_by_territory(contacts: DataFrame, vocab: Vocabulary = DOMAIN) -> DataFrame:

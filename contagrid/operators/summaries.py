@@ -5,36 +5,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from contagrid.fixed_values import DOMAIN, MEASURE_LABELS, SPANISH_LABELS, Vocabulary
-from contagrid.functions.numbers import percent, sum_nulls_as_zero
+from contagrid.fixed_values import DOMAIN, MEASURE_LABELS, SPANISH_LABELS, WEEKLY_LINES, Vocabulary
+from contagrid.functions.numbers import percent
 from contagrid.functions.text import format_number, percent_label
 from contagrid.operators.aggregates import count_rows, with_totals
 from contagrid.operators.filters import fix_literals, known_and_not_in
 from contagrid.operators.history import study_week
 from contagrid.operators.ordering import totals_last
 from contagrid.operators.outcomes import is_school_no_answer
-from contagrid.operators.reshape import align_measures, transpose, union_all
+from contagrid.operators.reshape import transpose
 from contagrid.operators.territory import add_province
+from contagrid.operators.windows import with_overall
 
 SUMMARY_MEASURES = ("cases", "contacts", "symptomatic", "confirmed")
 INFOGRAPHIC_MEASURES = tuple(MEASURE_LABELS)
 
 
-def territory_measures(indicators: DataFrame, symptoms: DataFrame, became: DataFrame) -> DataFrame:
-    """Cases, contacts, symptomatic and confirmed contacts, totals row included."""
-    return align_measures(
-        {
-            "cases": (indicators, "cases"),
-            "contacts": (indicators, "total_contacts"),
-            "symptomatic": (symptoms, "total"),
-            "confirmed": (became, "yes_n"),
-        },
-        ["sve", "is_total"],
-    )
-
-
 def province_summary(measures: DataFrame, converter: DataFrame, vocab: Vocabulary = DOMAIN) -> DataFrame:
     """The same measures added up per province, with a totals row."""
     placed = add_province(measures.where("NOT is_total"), converter)
@@ -45,8 +33,8 @@ def national_summary(measures: DataFrame, vocab: Vocabulary = DOMAIN) -> DataFra
     """Measures per territory and share of all cases; some territories are reported as one."""
     rows = measures.where("NOT is_total").withColumn("sve", fix_literals(F.col("sve"), vocab.merged_territories))
     table = with_totals(rows, "sve", SUMMARY_MEASURES, vocab.total)
-    grand = table.where("is_total").select("cases").scalar()
-    return table.withColumn("cases_pct", percent(F.col("cases"), grand))
+    table = with_overall(table, "__all", F.max(F.when(F.col("is_total"), F.col("cases"))))
+    return table.withColumn("cases_pct", percent(F.col("cases"), F.col("__all"))).drop("__all")
 
 
 def national_summary_es(national: DataFrame, vocab: Vocabulary = DOMAIN) -> DataFrame:
@@ -67,46 +55,10 @@ def verified_contacts(contacts: DataFrame, vocab: Vocabulary = DOMAIN) -> DataFr
     return counts.where("verified > 0")
 
 
-def infographic(
-    indicators: DataFrame,
-    contacts: DataFrame,
-    followups: DataFrame,
-    symptoms: DataFrame,
-    became: DataFrame,
-    vocab: Vocabulary = DOMAIN,
-) -> DataFrame:
-    """Thirteen measures per territory with a totals row."""
-    day_columns = [c for c in followups.columns if c.startswith("day")]
-    done = (
-        followups.where(~F.col("is_total") & (F.col("status") == vocab.done))
-        .withColumn("done", sum_nulls_as_zero(*[F.col(c) for c in day_columns]))
-        .groupBy("sve")
-        .agg(F.sum("done").alias("done"))
-    )
-    verified = verified_contacts(contacts, vocab)
-    calls = align_measures(
-        {"verified": (verified, "verified"), "accepted": (verified, "accepted"), "done": (done, "done")}, "sve"
-    ).where("verified > 0")
-    calls = calls.withColumn("in_followup", F.col("accepted") + F.col("done"))
-    calls = with_totals(calls, "sve", ["verified", "accepted", "in_followup"], vocab.total)
-    aligned = align_measures(
-        {
-            **{m: (indicators, m) for m in ("cases", "reporting_cases", "reporting_pct", "total_contacts", "mean_contacts")},
-            **{m: (calls, m) for m in ("verified", "accepted", "in_followup")},
-            "symptomatic": (symptoms, "total"),
-            "confirmed": (became, "yes_n"),
-            "of_cases": (became, "total_n"),
-        },
-        ["sve", "is_total"],
-    )
-    shares = {
-        "accepted_pct": ("accepted", "verified"),
-        "symptomatic_pct": ("symptomatic", "in_followup"),
-        "confirmed_pct": ("confirmed", "of_cases"),
-    }
-    for name, (part, whole) in shares.items():
-        aligned = aligned.withColumn(name, F.coalesce(percent(F.col(part), F.col(whole)), F.lit(0.0)))
-    return aligned.select("sve", "is_total", *INFOGRAPHIC_MEASURES)
+def infographic(summary: DataFrame) -> DataFrame:
+    """Thirteen measures per territory with a totals row, of the territories that have cases, contacts or symptoms."""
+    some = summary.where("is_total OR cases > 0 OR verified > 0 OR symptomatic > 0 OR confirmed > 0")
+    return some.select("sve", "is_total", *INFOGRAPHIC_MEASURES)
 
 
 def territory_columns(table: DataFrame) -> list[str | None]:
@@ -124,98 +76,40 @@ def infographic_transposed(table: DataFrame, territories: Sequence[str | None])
     return out.select(label.alias("label"), *out.columns)
 
 
-# ord, label, measure, how the value is written
-WEEKLY_LINES = (
-    (1, "1. Casos", None, None),
-    (2, MEASURE_LABELS["cases"], "cases", "number"),
-    (3, MEASURE_LABELS["reporting_cases"], "reporting_cases", "number"),
-    (4, MEASURE_LABELS["reporting_pct"], "reporting_pct", "percent"),
-    (5, "", None, None),
-    (6, "2. Contactes", None, None),
-    (7, MEASURE_LABELS["total_contacts"], "total_contacts", "number"),
-    (8, MEASURE_LABELS["mean_contacts"], "mean_contacts", "number"),
-    (9, "2.2.a Mediana (q25-q75)", "median_contacts", "text"),
-    (10, "2.2.b (mínim-màxim)", "max_contacts", "text"),
-    (11, "", None, None),
-    (12, "3. Seguiment", None, None),
-    (13, "3.1. Total de contactes verificats", "all_outcomes", "number"),
-    (14, "3.1a", "block_a", "number"),
-    (15, "3.1b", "block_b", "number"),
-    (16, MEASURE_LABELS["accepted"], "accepted", "number"),
-    (17, MEASURE_LABELS["accepted_pct"], "accepted_pct", "percent"),
-    (18, "3.3. sense escolars que no contesten", "accepted_pct_no_school", "percent"),
-    (19, MEASURE_LABELS["in_followup"], "in_followup", "number"),
-    (20, "", None, None),
-    (21, "4. Evolució", None, None),
-    (22, MEASURE_LABELS["symptomatic"], "symptomatic", "number"),
-    (23, MEASURE_LABELS["symptomatic_pct"], "symptomatic_pct", "percent"),
-    (24, MEASURE_LABELS["confirmed"], "confirmed", "number"),
-    (25, MEASURE_LABELS["confirmed_pct"], "confirmed_pct", "percent"),
-    (26, "", None, None),
-)
-
-
-def _totals_as_rows(table: DataFrame, measures: Sequence[str]) -> DataFrame:
-    """(measure, value) rows of a table's totals row."""
-    row = table.where("is_total").select(*[F.col(m).cast("double").alias(m) for m in measures])
-    return row.unpivot([], list(measures), "measure", "value")
-
-
-def _spread_texts(indicators: DataFrame) -> DataFrame:
-    """(measure, text) of the median with its quartiles and of the range."""
-    number = {c: format_number(F.col(c)) for c in ("median_contacts", "q25_contacts", "q75_contacts", "min_contacts", "max_contacts")}
-    return indicators.where("is_total").select(
-        F.format_string("%s (%s-%s)", number["median_contacts"], number["q25_contacts"], number["q75_contacts"]).alias("median_contacts"),
-        F.format_string("(%s-%s)", number["min_contacts"], number["max_contacts"]).alias("max_contacts"),
-    ).unpivot([], ["median_contacts", "max_contacts"], "measure", "text")
-
-
-def weekly_summary(
-    infographic_table: DataFrame,
-    indicators: DataFrame,
-    breakdown: DataFrame,
-    no_answer: DataFrame,
-    as_of: date,
-) -> DataFrame:
+def weekly_summary(summary: DataFrame, as_of: date) -> DataFrame:
     """The 26-line weekly report: label, numeric value and the value as written.
 
-    The totals rows of the four tables become (measure, value) rows and are
-    looked up by the report's lines.
+    The totals row becomes the lines by one expression.
     """
-    blocks = breakdown.where("kind = 'total' OR (kind = 'block' AND block <> 'other')").select(
-        F.when(F.col("kind") == "total", F.lit("all_outcomes")).otherwise(F.concat(F.lit("block_"), "block")).alias("measure"),
-        F.col("n").cast("double").alias("value"),
-    )
-    silent = _totals_as_rows(no_answer, ["n"]).withColumn("measure", F.lit("school_no_answer"))
-    values = union_all(
-        [
-            _totals_as_rows(infographic_table, INFOGRAPHIC_MEASURES),
-            _totals_as_rows(indicators, ["median_contacts", "max_contacts"]),
-            blocks,
-            silent,
-        ]
-    )
-    the = lambda m: F.max(F.when(F.col("measure") == m, F.col("value")))
-    without_school = values.groupBy().agg(
-        percent(the("accepted"), the("verified") - F.coalesce(the("school_no_answer"), F.lit(0))).alias("value")
-    )
-    values = values.unionByName(without_school.select(F.lit("accepted_pct_no_school").alias("measure"), "value"))
-    lines = values.sparkSession.createDataFrame(WEEKLY_LINES, "ord int, label string, measure string, style string")
+    quartile = lambda i: F.get("quartiles", F.lit(i))
+    measures = {m: F.col(m).cast("double") for m in (*INFOGRAPHIC_MEASURES, "all_outcomes", "block_a", "block_b")}
+    measures["median_contacts"], measures["max_contacts"] = quartile(2), quartile(4)
+    measures["accepted_pct_no_school"] = percent(F.col("accepted"), F.col("verified") - F.col("school_no_answer"))
+    lowest, first, median, third, highest = (format_number(quartile(i)) for i in range(5))
+    texts = {
+        "median_contacts": F.concat(median, F.lit(" ("), first, F.lit("-"), third, F.lit(")")),
+        "max_contacts": F.concat(F.lit("("), lowest, F.lit("-"), highest, F.lit(")")),
+    }
     year, week = study_week(as_of)
-    return (
-        lines.join(values, "measure", "left")
-        .join(_spread_texts(indicators), "measure", "left")
-        .select(
-            F.lit(year).alias("iso_year"),
-            F.lit(week).alias("iso_week"),
-            "ord",
-            "label",
-            "measure",
-            "value",
-            F.when(F.col("style") == "percent", percent_label(F.col("value")))
-            .when(F.col("style") == "number", format_number(F.col("value")))
-            .when(F.col("style") == "text", F.col("text"))
-            .otherwise(F.lit(""))
-            .alias("value_text"),
+    missing = F.lit(None).cast("double")
+    lines = [
+        F.struct(
+            F.lit(ord_).alias("ord"),
+            F.lit(label).alias("label"),
+            F.lit(measure).cast("string").alias("measure"),
+            (missing if measure is None else measures[measure]).alias("value"),
+            written_value(style, missing if measure is None else measures[measure], texts.get(measure)).alias("value_text"),
         )
-    )
+        for ord_, label, measure, style in WEEKLY_LINES
+    ]
+    # without any facts there is no totals row, but there are lines
+    totals = summary.groupBy().agg(F.first(F.when(F.col("is_total"), F.struct("*")), ignorenulls=True).alias("__totals")).select("__totals.*")
+    return totals.select(F.inline(F.array(*lines))).select(F.lit(year).alias("iso_year"), F.lit(week).alias("iso_week"), "*")
+
+
+def written_value(style: str | None, value: Column, text: Column | None) -> Column:
+    if style == "percent":
+        return percent_label(value)
+    if style == "number":
+        return format_number(value)
+    return text if style == "text" else F.lit("")

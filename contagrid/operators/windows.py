@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contagrid.functions.numbers import percent
 
 
+def with_overall(df: DataFrame, name: str, aggregate: Column) -> DataFrame:
+    """An aggregate of all rows beside each of them, in one pass.
+
+    For tables with a row per category or territory: they become one row on the way.
+    """
+    rows = df.groupBy().agg(F.collect_list(F.struct("*")).alias("__rows"), aggregate.alias(name))
+    return rows.select(name, F.inline("__rows")).select(*df.columns, name)
+
+
 def share_of_total(df: DataFrame, measure: str = "n", name: str = "pct", digits: int = 1) -> DataFrame:
     """Percentage of the grand total.
 

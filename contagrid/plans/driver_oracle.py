@@ -6,7 +6,7 @@ Written independently of the operators: joins, filters and grouping sets only.
 
 from __future__ import annotations
 
-from contagrid.operators.summaries import WEEKLY_LINES
+from contagrid.fixed_values import WEEKLY_LINES
 
 SETTINGS = ["social", "medi transport", "laboral", "domicili", "centre sociosanitari", "centre sanitari", "altres"]
 ALL_SETTINGS = [*SETTINGS, "escolar", "desconegut"]

@@ -13,6 +13,7 @@ from contagrid.functions import dates, numbers, text
 from contagrid.operators import (
     aggregates,
     cases as case_ops,
+    files,
     filters,
     followup as follow,
     history as past,
@@ -22,13 +23,14 @@ from contagrid.operators import (
     quality,
     reshape,
     settings,
+    shared,
     summaries,
     territory,
 )
 from contagrid.operators.cubes import case_cube, contact_birth_date, contact_cube
 from contagrid.plans import roles
 from contagrid.plans.roles import AS_OF_EVENTS, AS_OF_ORDERS, DRIVER, table
-from contagrid.session import shared_folder
+from contagrid.session import Stage, shared_folder
 from contagrid.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,54 +46,34 @@ def _indicators(spark, sf_dir):
     return case_ops.case_contact_indicators(case_cube(roles.cases(spark, sf_dir)), DRIVER)
 
 
-def _contact_cube(spark, sf_dir):
-    return contact_cube(roles.contacts(spark, sf_dir), AS_OF_ORDERS)
+def _contact_cube(spark, sf_dir, *by):
+    """The cube with the keys a query reads; a key that is not asked for is not computed."""
+    contacts = roles.contacts(spark, sf_dir, placed="sve" in by)
+    return contact_cube(contacts, AS_OF_ORDERS, by)
 
 
-def _setting_base(spark, sf_dir):
-    return settings.setting_base(_contact_cube(spark, sf_dir), DRIVER)
+def _setting_base(spark, sf_dir, *by):
+    return settings.setting_base(_contact_cube(spark, sf_dir, "setting", "age_band", *by), DRIVER)
 
 
 def _followups(spark, sf_dir):
-    return follow.followup_cube(roles.event_contacts(spark, sf_dir, (-2, -3)), AS_OF_EVENTS, weeks=FOLLOWUP_WEEKS, vocab=DRIVER)
+    """Follow-ups and the study week's first answers, from one scan of the three weeks."""
+    contacts = roles.event_contacts(spark, sf_dir, (-1, -2, -3))
+    return follow.followup_cube(contacts, AS_OF_EVENTS, weeks=FOLLOWUP_WEEKS, vocab=DRIVER, first_week=-1)
 
 
-def _study_contacts(spark, sf_dir):
-    return readers.select_snapshots(roles.event_contacts(spark, sf_dir, (-1,)), AS_OF_EVENTS, (-1,))
+def _facts(spark, sf_dir):
+    """What the summaries are made of, a row per territory: every table of facts is scanned once."""
+    people = shared.tall(None, files.file_rows(roles.case_files(spark, sf_dir)))
+    return shared.territory_facts([people, shared.tall("slot", _followups(spark, sf_dir))], DRIVER)
 
 
-def _symptoms(spark, sf_dir, value=None):
-    return follow.symptom_evolution(_study_contacts(spark, sf_dir), _followups(spark, sf_dir), value, vocab=DRIVER)
-
-
-class _Summary:
-    """Tables the summaries share; none is computed before the query runs."""
-
-    def __init__(self, spark, sf_dir):
-        self.indicators = _indicators(spark, sf_dir)
-        self.contacts = _contact_cube(spark, sf_dir)
-        self.followups = _followups(spark, sf_dir)
-        self.became = case_ops.became_cases(self.contacts, self.indicators, DRIVER)
-        self.symptoms = follow.symptom_evolution(_study_contacts(spark, sf_dir), self.followups, vocab=DRIVER)
-
-    def measures(self):
-        return summaries.territory_measures(self.indicators, self.symptoms, self.became)
-
-    def infographic(self):
-        status = follow.followup_table(self.followups, vocab=DRIVER)
-        return summaries.infographic(self.indicators, self.contacts, status, self.symptoms, self.became, DRIVER)
-
-
-def _event_history(spark, sf_dir):
-    people = readers.select_snapshots(roles.event_cases(spark, sf_dir, (-2,)), AS_OF_EVENTS, (-2,))
-    last_week = case_ops.case_contact_indicators(people, DRIVER)
-    return past.history_row(last_week, date(2024, 1, 15))
+def _weeks(spark, sf_dir, offsets=(-1, -2)):
+    return past.weekly_counts(readers.select_snapshots(roles.event_cases(spark, sf_dir, offsets), AS_OF_EVENTS, offsets))
 
 
 def _week_over_week(spark, sf_dir):
-    people = readers.select_snapshots(roles.event_cases(spark, sf_dir, (-1,)), AS_OF_EVENTS, (-1,))
-    now = case_ops.case_contact_indicators(people, DRIVER)
-    return past.week_over_week(now, _event_history(spark, sf_dir), AS_OF_EVENTS, DRIVER)
+    return past.week_over_week(_weeks(spark, sf_dir), AS_OF_EVENTS, DRIVER)
 
 
 # ---- scans and filters -------------------------------------------------------
@@ -275,7 +257,7 @@ def contacts_per_case_distribution(spark, sf_dir):
 
 @query
 def school_split(spark, sf_dir):
-    return case_ops.school_split(roles.cases(spark, sf_dir), roles.contacts(spark, sf_dir), DRIVER)
+    return files.school_split(roles.case_counts(spark, sf_dir), DRIVER)
 
 
 @query
@@ -287,7 +269,7 @@ def heavy_reporters(spark, sf_dir):
 
 @query
 def became_cases(spark, sf_dir):
-    return case_ops.became_cases(_contact_cube(spark, sf_dir), _indicators(spark, sf_dir), DRIVER)
+    return case_ops.became_cases(_contact_cube(spark, sf_dir, "sve", "outcome"), _indicators(spark, sf_dir), DRIVER)
 
 
 @query
@@ -304,7 +286,7 @@ def setting_totals(spark, sf_dir):
 
 @query
 def setting_by_territory(spark, sf_dir):
-    return settings.setting_by_territory(_setting_base(spark, sf_dir), DRIVER)
+    return settings.setting_by_territory(_setting_base(spark, sf_dir, "sve"), DRIVER)
 
 
 @query
@@ -314,32 +296,32 @@ def setting_by_age_band(spark, sf_dir):
 
 @query
 def setting_by_territory_age(spark, sf_dir):
-    return settings.setting_by_territory_age(_setting_base(spark, sf_dir), DRIVER)
+    return settings.setting_by_territory_age(_setting_base(spark, sf_dir, "sve"), DRIVER)
 
 
 @query
 def setting_by_outcome(spark, sf_dir):
-    return settings.setting_by_outcome(_setting_base(spark, sf_dir), DRIVER)
+    return settings.setting_by_outcome(_setting_base(spark, sf_dir, "outcome"), DRIVER)
 
 
 @query
 def outcome_by_territory(spark, sf_dir):
-    return outcomes.outcome_by_territory(_contact_cube(spark, sf_dir), DRIVER)
+    return outcomes.outcome_by_territory(_contact_cube(spark, sf_dir, "sve", "outcome"), DRIVER)
 
 
 @query
 def outcome_totals(spark, sf_dir):
-    return outcomes.outcome_totals(_contact_cube(spark, sf_dir))
+    return outcomes.outcome_totals(_contact_cube(spark, sf_dir, "outcome"))
 
 
 @query
 def outcome_breakdown_blocks(spark, sf_dir):
-    return outcomes.outcome_breakdown(_contact_cube(spark, sf_dir), DRIVER)
+    return outcomes.outcome_breakdown(_contact_cube(spark, sf_dir, "setting", "outcome"), DRIVER)
 
 
 @query
 def school_no_answer(spark, sf_dir):
-    return outcomes.school_no_answer(_contact_cube(spark, sf_dir), DRIVER)
+    return outcomes.school_no_answer(_contact_cube(spark, sf_dir, "sve", "setting", "outcome"), DRIVER)
 
 
 # ---- follow-ups --------------------------------------------------------------
@@ -364,12 +346,12 @@ def followup_reasons(spark, sf_dir):
 
 @query
 def symptom_evolution(spark, sf_dir):
-    return _symptoms(spark, sf_dir)
+    return follow.symptom_evolution(None, _followups(spark, sf_dir), vocab=DRIVER)
 
 
 @query
 def asymptomatic_evolution(spark, sf_dir):
-    return _symptoms(spark, sf_dir, DRIVER.no)
+    return follow.symptom_evolution(None, _followups(spark, sf_dir), DRIVER.no, vocab=DRIVER)
 
 
 @query
@@ -399,62 +381,48 @@ def informed_unpivot(spark, sf_dir):
 def history_upsert(spark, sf_dir):
     """Store last week, then this week twice; the second run adds nothing."""
     path = f"{shared_folder(spark).rstrip('/')}/contagrid-history-{uuid.uuid4().hex}"
-    people = readers.select_snapshots(roles.event_cases(spark, sf_dir, (-1,)), AS_OF_EVENTS, (-1,))
-    now = past.history_row(case_ops.case_contact_indicators(people, DRIVER), AS_OF_EVENTS)
-    sinks.update_history(path, _event_history(spark, sf_dir))
-    sinks.update_history(path, now)
-    return sinks.update_history(path, now)
+    sinks.update_history(path, _weeks(spark, sf_dir, (-2,)))
+    sinks.update_history(path, _weeks(spark, sf_dir, (-1,)))
+    return sinks.update_history(path, _weeks(spark, sf_dir, (-1,)))
 
 
 @query
 def province_rollup(spark, sf_dir):
-    table_ = summaries.province_summary(_Summary(spark, sf_dir).measures(), roles.converter(spark, sf_dir), DRIVER)
+    table_ = summaries.province_summary(shared.territory_measures(_facts(spark, sf_dir)), roles.converter(spark, sf_dir), DRIVER)
     return table_.withColumn("contacts", F.round("contacts", 2))
 
 
 @query
 def national_summary(spark, sf_dir):
-    return summaries.national_summary(_Summary(spark, sf_dir).measures(), DRIVER)
+    return summaries.national_summary(shared.territory_measures(_facts(spark, sf_dir)), DRIVER)
 
 
 @query
 def national_summary_es(spark, sf_dir):
-    national = summaries.national_summary(_Summary(spark, sf_dir).measures(), DRIVER)
+    national = summaries.national_summary(shared.territory_measures(_facts(spark, sf_dir)), DRIVER)
     return summaries.national_summary_es(national, DRIVER)
 
 
 @query
 def single_measures(spark, sf_dir):
-    shared = _Summary(spark, sf_dir)
-    symptomatic = case_ops.single_measure(shared.symptoms, "total", "symptomatic")
-    confirmed = case_ops.single_measure(shared.became, "yes_n", "confirmed")
-    return reshape.align_measures(
-        {"symptomatic": (symptomatic, "symptomatic"), "confirmed": (confirmed, "confirmed")}, ["sve", "is_total"]
-    )
+    return shared.single_measures(_facts(spark, sf_dir), ["symptomatic", "confirmed"], DRIVER)
 
 
 @query
 def infographic(spark, sf_dir):
-    return _Summary(spark, sf_dir).infographic()
+    return summaries.infographic(shared.summary_facts(_facts(spark, sf_dir), DRIVER))
 
 
 @query
 def infographic_transpose(spark, sf_dir):
-    """Its columns are the territories in the data, so these are read first."""
-    table_ = _Summary(spark, sf_dir).infographic()
+    """Its columns are the territories in the data, so the table is written once, to read its names and then its rows."""
+    table_ = Stage(spark)(summaries.infographic(shared.summary_facts(_facts(spark, sf_dir), DRIVER)), "infographic")
     return summaries.infographic_transposed(table_, summaries.territory_columns(table_)).drop("label")
 
 
 @query
 def weekly_summary(spark, sf_dir):
-    shared = _Summary(spark, sf_dir)
-    lines = summaries.weekly_summary(
-        shared.infographic(),
-        shared.indicators,
-        outcomes.outcome_breakdown(shared.contacts, DRIVER),
-        outcomes.school_no_answer(shared.contacts, DRIVER),
-        AS_OF_EVENTS,
-    )
+    lines = summaries.weekly_summary(shared.summary_facts(_facts(spark, sf_dir), DRIVER), AS_OF_EVENTS)
     return lines.withColumn("value", F.round("value", 2))
 
 
@@ -466,7 +434,7 @@ def running_share(spark, sf_dir):
 
 @query
 def reverse_running_share(spark, sf_dir):
-    out = outcomes.chart_outcomes(outcomes.outcome_breakdown(_contact_cube(spark, sf_dir), DRIVER))
+    out = outcomes.chart_outcomes(outcomes.outcome_breakdown(_contact_cube(spark, sf_dir, "setting", "outcome"), DRIVER))
     return out.withColumns({c: F.round(c, 2) for c in ("running_pct", "label_position")})
 
 
@@ -557,8 +525,8 @@ def scalar_numbers(spark, sf_dir):
 @query
 def age_years(spark, sf_dir):
     born = contact_birth_date(F.col("birth_date"), AS_OF_ORDERS)
-    age = dates.age_years(born, AS_OF_ORDERS)
-    rows = roles.contacts(spark, sf_dir, placed=False).select(age.cast("bigint").alias("age"), dates.age_band(age).alias("age_band"))
+    rows = roles.contacts(spark, sf_dir, placed=False).select(dates.age_years(born, AS_OF_ORDERS).alias("age"))
+    rows = rows.select(F.col("age").cast("bigint").alias("age"), dates.age_band(F.col("age")).alias("age_band"))
     return rows.groupBy("age", "age_band").agg(F.count("*").alias("n"))
 
 
@@ -581,7 +549,7 @@ def level_order_sort(spark, sf_dir):
 
 @query
 def measure_order_sort(spark, sf_dir):
-    rows = outcomes.outcome_totals(_contact_cube(spark, sf_dir))
+    rows = outcomes.outcome_totals(_contact_cube(spark, sf_dir, "outcome"))
     return _positions(rows, F.col("n_contacts").desc(), F.col("outcome").asc_nulls_last())
 
 

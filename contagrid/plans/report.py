@@ -17,7 +17,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contagrid.fixed_values import DOMAIN, FOLLOWUP_WEEKS, Vocabulary
-from contagrid.operators import cases, followup as follow, history as past, outcomes, settings, summaries
+from contagrid.operators import cases, files, followup as follow, history as past, outcomes, settings, shared, summaries
 from contagrid.operators.cubes import case_cube, contact_cube
 from contagrid.operators.filters import with_placeholder
 from contagrid.operators.lookups import duplicate_keys
@@ -80,7 +80,7 @@ def report_tables(
     by_case, by_contact, followups = stage.together(
         case_cube=case_cube(study_patients),
         contact_cube=contact_cube(study_contacts, as_of),
-        followup_cube=follow.followup_cube(contacts, as_of, weeks=FOLLOWUP_WEEKS, vocab=vocab),
+        followup_cube=follow.followup_cube(contacts, as_of, weeks=FOLLOWUP_WEEKS, vocab=vocab, first_week=-1),
     )
 
     t: dict[str, DataFrame] = {}
@@ -89,10 +89,13 @@ def report_tables(
     t["origin_split"] = cases.origin_split(by_case, vocab)
     t["contacts_per_case"] = cases.contacts_per_case(by_case)
     t["heavy_reporters"] = cases.heavy_reporters(study_patients, study_contacts, as_of, vocab=vocab)
-    t["school_split"] = cases.school_split(study_patients, study_contacts, vocab, cube=by_contact)
+    t["school_split"] = files.school_split(files.case_counts(study_patients, study_contacts, vocab), vocab)
     t["became_cases"] = became = cases.became_cases(by_contact, indicators, vocab)
 
-    weeks = past.week_over_week(indicators, inputs.history, as_of, vocab)
+    current = past.history_row(indicators, as_of)
+    year, week = past.study_week(as_of)
+    older = inputs.history.where(f"NOT (iso_year = {year} AND iso_week = {week})")
+    weeks = past.week_over_week(older.unionByName(current), as_of, vocab)
     t["week_over_week"] = weeks.drop("not_informed_pct", "previous_not_informed_pct")
 
     base = settings.setting_base(by_contact, vocab)
@@ -103,16 +106,18 @@ def report_tables(
     t["setting_by_outcome"] = settings.setting_by_outcome(base, vocab)
 
     t["outcome_breakdown"] = breakdown = outcomes.outcome_breakdown(by_contact, vocab)
-    t["school_no_answer"] = silent = outcomes.school_no_answer(by_contact, vocab)
+    t["school_no_answer"] = outcomes.school_no_answer(by_contact, vocab)
     t["outcome_by_territory"] = outcomes.outcome_by_territory(by_contact, vocab)
     t["outcome_totals"] = outcomes.outcome_totals(by_contact)
 
-    t["followups"] = status = follow.followup_table(followups, vocab=vocab)
+    t["followups"] = follow.followup_table(followups, vocab=vocab)
     t["isolation_reasons"] = follow.isolation_reasons(followups)
-    t["symptomatic"] = symptoms = follow.symptom_evolution(by_contact, followups, vocab.yes, vocab=vocab)
-    t["asymptomatic"] = follow.symptom_evolution(by_contact, followups, vocab.no, vocab=vocab)
+    t["symptomatic"] = symptoms = follow.symptom_evolution(None, followups, vocab.yes, vocab=vocab)
+    t["asymptomatic"] = follow.symptom_evolution(None, followups, vocab.no, vocab=vocab)
 
-    measures = summaries.territory_measures(indicators, symptoms, became)
+    cubes = [shared.tall("case", by_case), shared.tall("contact", by_contact), shared.tall("slot", followups)]
+    facts = stage(shared.territory_facts(cubes, vocab), "facts")
+    measures = shared.territory_measures(facts)
     national = summaries.national_summary(measures, vocab)
     t["province_summary"] = summaries.province_summary(measures, inputs.converter, vocab)
     t["national_summary"] = national
@@ -120,9 +125,10 @@ def report_tables(
     t["symptomatic_total"] = cases.single_measure(symptoms, "total", "symptomatic")
     t["became_cases_total"] = cases.single_measure(became, "yes_n", "confirmed")
 
-    graphic = stage(summaries.infographic(indicators, by_contact, status, symptoms, became, vocab), "infographic")
+    summary = shared.summary_facts(facts, vocab)
+    graphic = stage(summaries.infographic(summary), "infographic")
     t["infographic"] = summaries.infographic_transposed(graphic, summaries.territory_columns(graphic))
-    t["weekly_summary"] = summaries.weekly_summary(graphic, indicators, breakdown, silent, as_of)
+    t["weekly_summary"] = summaries.weekly_summary(summary, as_of)
 
     t["chart_week_over_week"] = past.chart_week_over_week(weeks, as_of)
     t["chart_setting_totals"] = settings.chart_setting_totals(base)
@@ -137,7 +143,7 @@ def report_tables(
     t["unreadable_dates"] = unreadable_dates(inputs.patients, birth, "patients").union(
         unreadable_dates(inputs.contacts, birth | slots, "contacts")
     )
-    t["history"] = past.history_row(indicators, as_of)
+    t["history"] = current
     return t
 
 

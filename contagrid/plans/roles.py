@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contagrid.fixed_values import DOMAIN, OUTCOMES, SCHOOL_SETTING, SETTINGS, UNKNOWN_SETTING
 from contagrid.functions.dates import snapshot_monday
+from contagrid.operators.files import CASE, CONTACT
 from contagrid.operators.lookups import lookup
 
 AS_OF_ORDERS = date(2003, 6, 15)
@@ -122,6 +123,45 @@ def contacts(spark: SparkSession, sf_dir: str, placed: bool = True) -> DataFrame
     return with_nation(placed, spark, sf_dir, "__nation").drop("__nation")
 
 
+def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of customers as cases and their orders as contacts; ``orders`` is scanned once for both."""
+    orders = table(spark, sf_dir, "orders").selectExpr(*CONTACT_COLUMNS, "o_orderpriority = '1-URGENT' AS urgent")
+    counts = orders.groupBy("case_cip", "setting", "outcome", "urgent").agg(F.count("*").alias("n"))
+    per_case = counts.groupBy("case_cip").agg(
+        F.sum(F.when(F.col("urgent"), F.col("n"))).alias("n_contacts"), F.collect_list(F.struct("setting", "outcome", "n")).alias("listed")
+    )
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cip"), "c_nationkey")
+    both = customer.join(per_case, F.col("cip") == F.col("case_cip"), "full")
+    both = with_nation(both, spark, sf_dir, "c_nationkey")
+    n_contacts = F.coalesce(F.col("n_contacts"), F.lit(0)).cast("double").alias("n_contacts")
+    case = F.struct("sve", n_contacts, F.lit(1).alias("n")).cast(CASE)
+    contact = lambda c: F.struct(F.col("sve"), c["setting"], c["outcome"], c["n"]).cast(CONTACT)
+    return both.select(
+        F.coalesce("cip", "case_cip").alias("cip"),
+        F.when(F.col("cip").isNotNull(), F.array(case)).otherwise(F.array().cast(f"array<{CASE}>")).alias("cases"),
+        F.coalesce(F.transform("listed", contact), F.array().cast(f"array<{CONTACT}>")).alias("contacts"),
+    )
+
+
+def case_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per customer: its row, and its orders in and out of school; ``orders`` is scanned once."""
+    orders = table(spark, sf_dir, "orders").selectExpr(*CONTACT_COLUMNS, "o_orderpriority = '1-URGENT' AS urgent")
+    school = F.col("setting").eqNullSafe(F.lit(SCHOOL_SETTING))
+    counts = orders.groupBy("case_cip").agg(
+        F.count_if("urgent").alias("n_contacts"), F.count_if(school).alias("school_contacts"), F.count_if(~school).alias("other_contacts")
+    )
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cip"), "c_nationkey")
+    both = with_nation(customer.join(counts, F.col("cip") == F.col("case_cip"), "full"), spark, sf_dir, "c_nationkey")
+    is_case = F.col("cip").isNotNull()
+    return both.select(
+        F.coalesce("cip", "case_cip").alias("cip"),
+        "sve",
+        is_case.cast("long").alias("cases"),
+        (is_case & (F.coalesce("n_contacts", F.lit(0)) > 0)).cast("long").alias("reporting"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("school_contacts", "other_contacts")],
+    )
+
+
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").withColumn("__nation", F.expr("int(p_partkey % 25)"))
     return with_nation(part, spark, sf_dir, "__nation").selectExpr(

@@ -17,6 +17,8 @@ SETTINGS = {
     # split a hot key's partitions even when that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # the place in the Python code of every column operation costs more than building the plan
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -8,7 +8,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from contagrid.operators import cases, history, outcomes, settings, summaries
+from contagrid.operators import cases, files, history, outcomes, settings, shared, summaries
 from contagrid.operators.cubes import case_cube, contact_cube
 from contagrid.sources import readers, sinks
 from helpers import AS_OF, CASES, CONTACTS, CONVERTER, frame, table
@@ -79,19 +79,17 @@ def test_contacts_per_case_is_numeric_and_most_frequent_first(patients):
 
 def test_school_split(spark, patients, contacts):
     columns = ("cases_with_school", "cases_without_school", "school_contacts", "other_contacts", "school_ratio", "other_ratio")
-    got = table(cases.school_split(patients, contacts), ["sve", "is_total"], *columns)
+    got = table(files.school_split(files.case_counts(patients, contacts)), ["sve", "is_total"], *columns)
     assert got[("A", False)] == (1, 2, 1, 2, 1.0, 1.0)
     assert got[("B", False)] == (0, 0, 0, 3, 0.0, 0.0)
     assert got[("Totals", True)] == (2, 3, 2, 7, 1.0, 2.3)
-    cube = contact_cube(contacts, AS_OF)
-    assert table(cases.school_split(patients, contacts, cube=cube), ["sve", "is_total"], *columns) == got
     assert {r.cip for r in cases.cases_without_school(patients, contacts).collect()} == {"2", "3", "8"}
 
 
 def test_school_split_decides_by_case_id(spark, contacts):
     # one id twice: it reports in one row, so both rows count as reporting
     twice = frame(spark, [("5", "B", 3.0, None), ("5", "D", 0.0, None)], CASES)
-    got = table(cases.school_split(twice, contacts), "sve", "cases_without_school")
+    got = table(files.school_split(files.case_counts(twice, contacts)), "sve", "cases_without_school")
     assert got["B"] == 1 and got["D"] == 1 and got["Totals"] == 2
 
 
@@ -188,18 +186,18 @@ def test_province_summary(spark, measures):
     assert got == {"Tarragona": (40, 1), "Girona": (60, 3), "Totals": (100, 4)}
 
 
-def test_weekly_summary_text(spark, contacts, patients, indicators):
-    graphic = summaries.infographic(
-        indicators,
-        contacts,
-        frame(spark, [("A", False, "Realitzat", 1, 0, 2)], "sve string, is_total boolean, status string, day7 bigint, day10 bigint, day14 bigint"),
-        frame(spark, [("A", False, 3), ("Totals", True, 3)], "sve string, is_total boolean, total bigint"),
-        cases.became_cases(contacts, indicators),
-    )
+SLOT_CUBE = "sve string, day int, status string, symptoms string, n bigint, n_first bigint"
+SLOTS_OF_A = [("A", 7, "Realitzat", None, 1, 1), ("A", 14, "Realitzat", "Sí", 3, 2), ("A", 0, None, "No", 5, 5)]
+
+
+def test_weekly_summary_text(spark, contacts, patients):
+    cubes = [shared.tall("case", case_cube(patients)), shared.tall("contact", contact_cube(contacts, AS_OF)), shared.tall("slot", frame(spark, SLOTS_OF_A, SLOT_CUBE))]
+    summary = shared.summary_facts(shared.territory_facts(cubes))
+    graphic = summaries.infographic(summary)
     got = table(graphic, ["sve", "is_total"], "verified", "accepted", "accepted_pct", "in_followup", "symptomatic_pct", "confirmed_pct")
     assert got[("A", False)] == (1, 1, 100.0, 4, 75.0, 25.0)
     assert got[("Totals", True)] == (3, 1, 33.3, 4, 75.0, 25.0)
-    lines = summaries.weekly_summary(graphic, indicators, outcomes.outcome_breakdown(contacts), outcomes.school_no_answer(contacts), AS_OF)
+    lines = summaries.weekly_summary(summary, AS_OF)
     text = table(lines, "ord", "value_text")
     assert len(text) == 26
     assert (text[2], text[4], text[9], text[10]) == ("8", "62.5%", "2 (2-4)", "(1-5)")
@@ -209,12 +207,27 @@ def test_weekly_summary_text(spark, contacts, patients, indicators):
     assert wide.count() == 13 and table(wide, "measure", "A", "Totals")["cases"] == (4.0, 8.0)
 
 
+def test_weekly_summary_of_nothing_still_has_its_lines(spark):
+    nothing = shared.tall("case", frame(spark, [], "sve string, n_contacts double, n bigint"))
+    lines = summaries.weekly_summary(shared.summary_facts(shared.territory_facts([nothing])), AS_OF)
+    assert lines.count() == 26 and lines.where("value IS NOT NULL").count() == 0
+
+
+def test_measures_list_only_territories_that_have_some(spark, contacts, patients):
+    extra = frame(spark, [("8", "D", "social", "migrat SVE", "No", None)], CONTACTS)
+    facts = shared.territory_facts([shared.tall("case", case_cube(patients)), shared.tall("contact", contact_cube(contacts.unionByName(extra), AS_OF))])
+    got = table(shared.territory_measures(facts), "sve", "cases", "contacts", "symptomatic", "confirmed")
+    assert got == {"A": (4, 7.0, 0, 1), "B": (2, 0.0, 0, 0), "C": (1, 5.0, 0, 0), None: (1, 2.0, 0, 0)}
+    assert "D" not in table(summaries.infographic(shared.summary_facts(facts)), "sve", "cases")
+    assert table(shared.single_measures(facts, ["confirmed"]), "sve", "confirmed") == {"A": 1, "Totals": 1}
+
+
 HISTORY = "sve string, ci bigint, cni bigint, iso_year int, iso_week int"
 
 
 def test_week_over_week(spark, indicators):
     past = frame(spark, [("A", 1, 3, 2020, 50), ("Gone", 1, 1, 2020, 50), ("A", 9, 9, 2020, 49), ("A", 9, 9, 2019, 50)], HISTORY)
-    got = history.week_over_week(indicators, past, AS_OF)
+    got = history.week_over_week(past.unionByName(history.history_row(indicators, AS_OF)), AS_OF)
     rows = table(got, ["sve", "is_total"], "informed", "not_informed", "informed_pct", "previous_informed_pct", "change_points")
     assert rows[("A", False)] == (3, 1, 75.0, 25.0, 50.0)
     assert rows[("B", False)] == (0, 2, 0.0, None, None)

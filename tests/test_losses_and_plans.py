@@ -80,16 +80,6 @@ def test_weeks_are_pushed_to_the_scan_of_events(spark, name):
     assert scans and all(re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts[^\]]*LessThan\(ts", s) for s in scans)
 
 
-def test_heavy_reporters_count_only_heavy_cases_contacts(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        text = plan(queries()["heavy_reporters"](spark, SF_DIR))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    semi = text.index("LeftSemi")
-    assert text.count("LeftSemi") == 1 and "pivot" not in text and text.rindex("count(", 0, semi) >= 0
-
-
 def test_stage_leaves_nothing(spark, tmp_path):
     import pathlib
 
