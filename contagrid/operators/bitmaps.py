@@ -8,6 +8,8 @@ before its shuffle; the exact join that follows sees little more than the rows i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Bits of a bucket, which is what one bitmap of Spark's bitmap functions holds (4 KB).
@@ -30,11 +32,33 @@ def id_filter(ids: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
     return rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
 
 
+def distinct_rows(df: DataFrame, digest: Callable[..., Column] = F.xxhash64) -> DataFrame:
+    """The rows of ``df`` once each, like ``distinct``, without shuffling rows that have no copy.
+
+    What is shuffled of every row is a digest. Digests that occur more than once become a filter;
+    rows it doesn't hold are alone and stay where they are, and only the others
+    are compared whole. Equal rows have equal digests, so a weak digest only
+    makes more rows be compared. ``df`` is read three times; this suits wide rows with few copies.
+    """
+    keyed = df.withColumn("__digest", digest(*[F.col(f"`{c}`") for c in df.columns]))
+    again = keyed.groupBy("__digest").agg(F.count("*").alias("__n")).where("__n > 1")
+    flagged = _flagged(keyed, "__digest", id_filter(again, "__digest"), BUCKETS)
+    plain = [F.col(f"`{c}`") for c in df.columns]
+    alone = flagged.where("NOT __may_be").select(*plain)
+    return alone.unionByName(flagged.where("__may_be").select(*plain).distinct())
+
+
 def may_be_in(df: DataFrame, key: str, filter_: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Rows of ``df`` whose key may be among the filter's ids; none of those that are is lost.
 
     The filter is broadcast: its size is bounded by its number of buckets.
     """
+    placed = _flagged(df.where(F.col(key).isNotNull()), key, filter_, buckets, "inner")
+    return placed.where("__may_be").select(*df.columns)
+
+
+def _flagged(df: DataFrame, key: str, filter_: DataFrame, buckets: int, how: str = "left") -> DataFrame:
+    """``df`` with ``__may_be``: whether the filter holds the key."""
     bucket, bits = _place(F.col(key), buckets)
 
     def is_set(bit: Column) -> Column:
@@ -42,5 +66,5 @@ def may_be_in(df: DataFrame, key: str, filter_: DataFrame, buckets: int = BUCKET
         return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (bit % 8).cast("int")) == 1
 
     small = F.broadcast(filter_.select(F.col("bucket").alias("__bucket"), F.col("bitmap").alias("__bitmap")))
-    placed = df.where(F.col(key).isNotNull()).join(small, bucket == F.col("__bucket"))
-    return placed.where(is_set(bits[0]) & is_set(bits[1])).select(*df.columns)
+    held = F.coalesce(is_set(bits[0]) & is_set(bits[1]), F.lit(False))
+    return df.join(small, bucket == F.col("__bucket"), how).withColumn("__may_be", held)

@@ -12,9 +12,15 @@ for the join itself.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+
+def _has_all(columns: Iterable[str]) -> Column:
+    return reduce(and_, [F.col(c).isNotNull() for c in columns])
 
 
 def join_on_hashed_key(
@@ -35,7 +41,9 @@ def join_on_hashed_key(
     condition = [F.col(l) == F.col(keys[r]) for l, r in on.items()]
     added = list(keys.values())
     if split_hot_keys:
-        left = left.withColumn("__left_hash", F.xxhash64(*on))
+        # rows without a key match nothing, and are dealt to all tasks rather than to one
+        hashed = F.when(_has_all(on), F.xxhash64(*on)).otherwise(F.xxhash64(*left.columns))
+        left = left.withColumn("__left_hash", hashed)
         selected.append(F.xxhash64(*on.values()).alias("__hash"))
         condition.append(F.col("__left_hash") == F.col("__hash"))
         added += ["__left_hash", "__hash"]
@@ -71,6 +79,7 @@ def lookup(
     order: Sequence[str] = ("source_row",),
     unique: bool = False,
     split_hot_keys: bool = False,
+    bypass_missing: bool = False,
 ) -> DataFrame:
     """Left join to the first matching row of ``dim``.
 
@@ -78,12 +87,19 @@ def lookup(
     columns to the new names. Missing keys match nothing. ``unique`` says that
     ``dim`` has one row per key already. Ask for ``split_hot_keys`` where the
     dimension can outgrow a broadcast: the rows of a hot key are then read by
-    several tasks.
+    several tasks. With ``bypass_missing`` rows without a key go round the join and
+    are united with its result: they are not shuffled, but ``df`` is read once more, so this suits
+    scans and written tables.
     """
     if not unique:
         keys = list(on.values())
         dim = first_match(dim.select(*dict.fromkeys([*keys, *take, *order])), keys, order)
-    return join_on_hashed_key(df, dim, on, "left", take, split_hot_keys)
+    if not bypass_missing:
+        return join_on_hashed_key(df, dim, on, "left", take, split_hot_keys)
+    joined = join_on_hashed_key(df.where(_has_all(on)), dim, on, "left", take, split_hot_keys)
+    kinds = dict(joined.dtypes)
+    missing = [F.lit(None).cast(kinds[new]).alias(new) for new in take.values()]
+    return joined.unionByName(df.where(~_has_all(on)).select("*", *missing))
 
 
 def duplicate_keys(df: DataFrame, key: str, value: str, within: Sequence[str] = ()) -> DataFrame:

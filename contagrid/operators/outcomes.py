@@ -64,4 +64,4 @@ def outcome_totals(contacts: DataFrame) -> DataFrame:
 def chart_outcomes(breakdown: DataFrame) -> DataFrame:
     """Outcome shares with the label position of a ring stacked from the end."""
     items = breakdown.where("kind = 'item'").select("ord", "label", "n", "pct")
-    return middle_from_end(running_total(items, "pct", "ord", "running_pct"), "pct", "running_pct")
+    return middle_from_end(running_total(items, "pct", ["ord", "label"], "running_pct"), "pct", "running_pct")

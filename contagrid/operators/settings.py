@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from contagrid.fixed_values import AGE_BANDS, DOMAIN, Vocabulary
+from contagrid.functions.numbers import percent
 from contagrid.operators.aggregates import count_rows, crosstab, level_columns, row_total, with_totals
 from contagrid.operators.ordering import level_position
-from contagrid.operators.windows import middle_of_segment, running_total, share_of_total, share_within
+from contagrid.operators.windows import middle_of_segment, running_total, share_within, with_overall
 
 
 def setting_base(cube: DataFrame, vocab: Vocabulary = DOMAIN) -> DataFrame:
@@ -57,5 +58,6 @@ def chart_setting_by_age(base: DataFrame) -> DataFrame:
 
 def chart_setting_totals(base: DataFrame) -> DataFrame:
     """Share of each setting with running total and label position."""
-    shares = share_of_total(setting_totals(base), "n_contacts")
-    return middle_of_segment(running_total(shares, "pct", "setting", "running_pct"), "pct", "running_pct")
+    totals = with_overall(setting_totals(base), "__all", F.sum("n_contacts"))
+    shares = totals.withColumn("pct", percent(F.col("n_contacts"), F.col("__all"))).drop("__all")
+    return middle_of_segment(running_total(shares, "pct", ["setting"], "running_pct"), "pct", "running_pct")

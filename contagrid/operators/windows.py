@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contagrid.functions.numbers import percent
@@ -33,10 +35,21 @@ def share_within(df: DataFrame, group: str, measure: str = "n", name: str = "sha
     )
 
 
-def running_total(df: DataFrame, measure: str, order: str, name: str = "running") -> DataFrame:
-    """Running total in ``order``; for label-sized tables (one row per category)."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.sum(measure).over(w))
+def running_total(df: DataFrame, measure: str, order: Sequence[str], name: str = "running") -> DataFrame:
+    """Running total in ``order``, which must tell all rows apart.
+
+    For tables with a row per category: they become one row on the way, in
+    order. ``distribution.running_totals`` does the same for tables of any size.
+    """
+    key = F.struct(*order).alias("key")
+    rows = df.groupBy().agg(F.array_sort(F.collect_list(F.struct(key, F.struct("*").alias("row")))).alias("__rows"))
+    zero = F.lit(0).cast(dict(df.dtypes)[measure])
+
+    def up_to(entry: Column, i: Column) -> Column:
+        part = F.slice("__rows", F.lit(1), i + 1)
+        return F.struct(entry["row"].alias("row"), F.aggregate(part, zero, lambda total, e: total + F.coalesce(e["row"][measure], zero)).alias(name))
+
+    return rows.select(F.inline(F.transform("__rows", up_to))).select("row.*", name)
 
 
 def middle_of_segment(df: DataFrame, measure: str, running: str, name: str = "label_position") -> DataFrame:
@@ -45,5 +58,5 @@ def middle_of_segment(df: DataFrame, measure: str, running: str, name: str = "la
 
 def middle_from_end(df: DataFrame, measure: str, running: str, name: str = "label_position") -> DataFrame:
     """Middle of each segment when segments are stacked from the last one."""
-    total = F.sum(measure).over(Window.partitionBy())
-    return df.withColumn(name, total - F.col(running) + F.col(measure) / 2)
+    table = with_overall(df, "__all", F.sum(measure))
+    return table.withColumn(name, F.col("__all") - F.col(running) + F.col(measure) / 2).drop("__all")

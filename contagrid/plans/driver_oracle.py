@@ -397,6 +397,20 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT sve, 'NI_SE2', previous_not_informed_pct FROM change WHERE NOT is_total"""),
     "history_upsert": cte("weeks", select="""SELECT sve, ci, total - ci AS cni, CAST(2024 AS INT) AS iso_year,
         CAST(week(snapshot_week) AS INT) AS iso_week FROM weeks WHERE snapshot_week IN (DATE '2024-01-08', DATE '2024-01-15')"""),
+    "weekly_cubes": cte("ind", select="""SELECT * REPLACE (round(q25_contacts, 2) AS q25_contacts,
+        round(median_contacts, 2) AS median_contacts, round(q75_contacts, 2) AS q75_contacts, round(iqr_contacts, 2) AS iqr_contacts) FROM ind""").replace(
+        f"cases AS ({SHARED['cases'][1]})",
+        """cases AS (SELECT event_id AS cip, n_name AS sve, CASE WHEN event_type = 'error' THEN 0 ELSE floor(value) END AS n_contacts
+           FROM events LEFT JOIN nation ON user_id % 25 = n_nationkey
+           WHERE CAST(date_trunc('week', ts) AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-15')"""),
+    "order_quartiles": """SELECT grouping(nation) = 1 AS is_total, nation, count(*) AS n, round(quantile_cont(o_totalprice, 0.25), 4) AS q25,
+        round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(quantile_cont(o_totalprice, 0.75), 4) AS q75
+        FROM (SELECT CAST(c_nationkey AS BIGINT) AS nation, o_totalprice FROM orders LEFT JOIN customer ON o_custkey = c_custkey) GROUP BY ROLLUP (nation)""",
+    "running_cases": """SELECT event_id, event_type, CAST(sum(CAST(floor(value) > 0 AS BIGINT)) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running
+        FROM events""",
+    "digest_distinct": "SELECT DISTINCT event_id, ts, user_id, event_type, value, props FROM events",
+    "missing_key_lookup": cte("persons", "gazetteer", select="""SELECT cip, municipality, g.sve AS first_sve FROM persons
+        LEFT JOIN (SELECT place_name, arg_min(sve, source_row) AS sve FROM gazetteer GROUP BY 1) g ON municipality = place_name"""),
     "province_rollup": cte("measures", "nations", select=f"""SELECT {rolled('province')}, CAST(sum(cases) AS BIGINT) AS cases,
         round(sum(contacts), 2) AS contacts, CAST(sum(symptomatic) AS BIGINT) AS symptomatic, CAST(sum(confirmed) AS BIGINT) AS confirmed
         FROM (SELECT m.*, r_name AS province FROM measures m LEFT JOIN nations ON sve = n_name) t GROUP BY ROLLUP (t.province)"""),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -13,6 +12,7 @@ from contagrid.functions import dates, numbers, text
 from contagrid.operators import (
     aggregates,
     cases as case_ops,
+    distribution,
     files,
     filters,
     followup as follow,
@@ -27,11 +27,13 @@ from contagrid.operators import (
     summaries,
     territory,
 )
+from contagrid.operators.bitmaps import distinct_rows
 from contagrid.operators.cubes import case_cube, contact_birth_date, contact_cube
 from contagrid.plans import roles
 from contagrid.plans.roles import AS_OF_EVENTS, AS_OF_ORDERS, DRIVER, table
-from contagrid.session import Stage, shared_folder
+from contagrid.session import Stage, temporary_folder
 from contagrid.sources import readers, sinks
+from contagrid.sources.weekly import WeeklyCubes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -380,12 +382,62 @@ def informed_unpivot(spark, sf_dir):
 @query
 def history_upsert(spark, sf_dir):
     """Store last week, then this week twice; the second run adds nothing."""
-    path = f"{shared_folder(spark).rstrip('/')}/contagrid-history-{uuid.uuid4().hex}"
+    path = temporary_folder(spark, "contagrid-history")
     sinks.update_history(path, _weeks(spark, sf_dir, (-2,)))
     sinks.update_history(path, _weeks(spark, sf_dir, (-1,)))
     return sinks.update_history(path, _weeks(spark, sf_dir, (-1,)))
 
 
+@query
+def weekly_cubes(spark, sf_dir):
+    """Three weeks' cubes; one week came without its Sunday and was corrected later. Indicators of the merged cube."""
+    stored = WeeklyCubes(spark, temporary_folder(spark, "contagrid-cubes"))
+    weeks = {offset: dates.snapshot_monday(AS_OF_EVENTS, offset) for offset in (-1, -2, -3)}
+    cube = lambda people: people.groupBy("sve", "n_contacts").agg(F.count("*").alias("n"))
+    for offset, week in weeks.items():
+        people = readers.select_snapshots(roles.event_cases(spark, sf_dir, (offset,), last_day=offset != -2), AS_OF_EVENTS, (offset,))
+        stored.store(week, {"cases": cube(people)})
+    corrected = readers.select_snapshots(roles.event_cases(spark, sf_dir, (-2,)), AS_OF_EVENTS, (-2,))
+    stored.store(weeks[-2], {"cases": cube(corrected)})
+    table_ = case_ops.case_contact_indicators(stored.merged("cases", list(weeks.values())), DRIVER)
+    return table_.withColumns({c: F.round(c, 2) for c in ("q25_contacts", "median_contacts", "q75_contacts", "iqr_contacts")})
+
+
+@query
+def order_quartiles(spark, sf_dir):
+    """Quartiles of a column whose values are nearly all different, by territory and over all, each found by rank."""
+    keep = Stage(spark)
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
+    nations = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    placed = lookups.lookup(orders, nations, {"o_custkey": "c_custkey"}, {"c_nationkey": "nation"}, unique=True)
+    both = [F.struct(F.lit(total).alias("is_total"), key.alias("nation"), "o_totalprice") for total, key in ((False, F.col("nation")), (True, F.lit(None).cast("int")))]
+    placed = placed.select(F.inline(F.array(*both)))
+    found = distribution.quantiles(placed, "o_totalprice", ["is_total", "nation"], (0.25, 0.5, 0.75), keep)
+    quartile = lambda i, name: F.round(F.get("quantiles", F.lit(i)), 4).alias(name)
+    return found.select("is_total", F.col("nation").cast("bigint").alias("nation"), "n", quartile(0, "q25"), quartile(1, "median"), quartile(2, "q75"))
+
+
+@query
+def running_cases(spark, sf_dir):
+    """Events in order of time with the running number of those that report contacts, by kind."""
+    people = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts"), (F.floor("value") > 0).cast("bigint").alias("reports"))
+    return distribution.running_totals(people, "reports", ["ts", "event_id"], ["event_type"], Stage(spark)).select("event_id", "event_type", "running")
+
+
+@query
+def digest_distinct(spark, sf_dir):
+    """Events, some of them delivered twice, made distinct by digest."""
+    rows = table(spark, sf_dir, "events")
+    return distinct_rows(rows.unionByName(rows.where("event_id % 10 = 0")))
+
+
+@query
+def missing_key_lookup(spark, sf_dir):
+    """People, a part of them without a place, who go round the lookup."""
+    people = roles.persons(spark, sf_dir).select("cip", "municipality")
+    return lookups.lookup(people, roles.gazetteer(spark, sf_dir), {"municipality": "place_name"}, {"sve": "first_sve"}, split_hot_keys=True, bypass_missing=True)
+
+
 @query
 def province_rollup(spark, sf_dir):
     table_ = summaries.province_summary(shared.territory_measures(_facts(spark, sf_dir)), roles.converter(spark, sf_dir), DRIVER)

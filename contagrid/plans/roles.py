@@ -222,9 +222,10 @@ def event_contacts(spark: SparkSession, sf_dir: str, offsets: Sequence[int] = (-
     return with_nation(frame, spark, sf_dir, "__nation").drop("__nation")
 
 
-def event_cases(spark: SparkSession, sf_dir: str, offsets: Sequence[int] = (-1, -2, -3)) -> DataFrame:
-    """Events of some weeks as cases of their week; an error event reports no contacts."""
-    frame = events_of_weeks(spark, sf_dir, offsets).selectExpr(
+def event_cases(spark: SparkSession, sf_dir: str, offsets: Sequence[int] = (-1, -2, -3), last_day: bool = True) -> DataFrame:
+    """Events of some weeks as cases of their week; an error event reports no contacts. Sundays only with ``last_day``."""
+    events = events_of_weeks(spark, sf_dir, offsets)
+    frame = (events if last_day else events.where("weekday(ts) < 6")).selectExpr(
         "event_id AS cip",
         "int(user_id % 25) AS __nation",
         "date(date_trunc('week', ts)) AS snapshot_week",

@@ -37,6 +37,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
 class Stage:
     """Writes intermediate tables once, so several results share one scan.
 
