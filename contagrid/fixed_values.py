@@ -206,6 +206,16 @@ COLUMN_LABELS = {
         "second_pct": "%Origen_COVID19",
         "total": "TOTAL",
     },
+    "outcome_totals": {"outcome": "verificació", "n_contacts": "N_contactes"},
+    "outcome_by_territory": {"sve": "SVE"},
+    "outcome_breakdown": {"label": "verificació", "n": "N", "pct": "Percentatge"},
+    "school_no_answer": {"sve": "SVE", "n": "N", "pct": "Percentatge"},
+    "setting_totals": {"setting": "àmbit contacte", "n_contacts": "N_contactes"},
+    "setting_by_territory": {"sve": "SVE"},
+    "setting_by_age": {"age_band": "Rang_edat"},
+    "setting_by_territory_age": {"sve": "SVE", "age_band": "Rang_edat", "total": "Totals"},
+    "setting_by_outcome": {"setting": "àmbit contacte"},
+    "infographic": {"label": "Indicadors"},
     "week_over_week": {
         "sve": "SVE",
         "informed": "I",
@@ -230,6 +240,11 @@ COLUMN_LABELS = {
         "other_ratio": "CE/CI àmbit no escolar",
     },
     "heavy_reporters": {
+        "cip": "CIP",
+        "gender": "gènere",
+        "age": "Edat",
+        "place_name": "nom_unitat_de_poblacio",
+        "sve": "SVE",
         "n_contacts_reported": "N_contactes_segons_pestanya_pacients",
         "n_contacts_listed": "N_contactes_segons_pestanya_contactes",
     },
@@ -277,6 +292,14 @@ COLUMN_LABELS = {
 }
 
 
+#: Tables whose columns are settings or outcomes, under those words; what is in none of them stands under the last.
+SETTING_TABLES = ("setting_by_territory", "setting_by_age", "setting_by_territory_age", "heavy_reporters")
+OUTCOME_TABLES = ("outcome_by_territory", "setting_by_outcome")
+OTHER_LEVELS_LABEL = "<NA>"
+#: Columns that only the operators need.
+UNSHOWN_COLUMNS = ("is_total", "ord", "kind", "block", "measure", "q25_contacts", "q75_contacts")
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """The words a data set uses for the concepts the operators count."""

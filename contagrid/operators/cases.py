@@ -12,6 +12,7 @@ from contagrid.functions.dates import DAY_MONTH_YEAR, YEAR_MONTH_DAY, age_years,
 from contagrid.functions.numbers import percent, ratio
 from contagrid.operators.aggregates import count_rows, crosstab, level_columns, row_total, with_totals
 from contagrid.operators.bitmaps import id_filter, may_be_in
+from contagrid.operators.distribution import Keep, quantiles
 from contagrid.operators.lookups import non_members
 from contagrid.operators.windows import share_of_total
 
@@ -21,32 +22,38 @@ INDICATOR_COLUMNS = (
 )
 
 
-def case_contact_indicators(patients: DataFrame, vocab: Vocabulary = DOMAIN) -> DataFrame:
+def case_contact_indicators(patients: DataFrame, vocab: Vocabulary = DOMAIN, keep: Keep | None = None) -> DataFrame:
     """Cases, reporting cases and the distribution of contacts per reporting case.
 
     ``patients`` are rows or a case cube. The first aggregation makes a
     histogram per territory, combined on the map side; means, exact quartiles
     and the totals row are then computed from the histogram, so no statistic
-    ever sees the people of a territory in one place.
+    ever sees the people of a territory in one place. With ``keep`` the quartiles are found by rank over
+    range partitions, so that not even the different numbers of contacts stand in one place.
     """
     v = F.col("n_contacts")
     histogram = patients.groupBy("sve", "n_contacts").agg(count_rows(patients).alias("n"))
     reports = v > 0
     value, weight = F.when(reports, v), F.when(reports, F.col("n"))
-    quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.coalesce(weight, F.lit(0)))
-    stats = with_totals(
-        histogram,
-        "sve",
-        {
-            "cases": F.sum("n"),
-            "reporting_cases": F.sum(weight),
-            "total_contacts": F.sum(value * weight),
-            "quartiles": quartiles,
-            "min_contacts": F.min(value),
-            "max_contacts": F.max(value),
-        },
-        vocab.total,
-    )
+    shares = (0.25, 0.5, 0.75)
+    measures = {
+        "cases": F.sum("n"),
+        "reporting_cases": F.sum(weight),
+        "total_contacts": F.sum(value * weight),
+        "min_contacts": F.min(value),
+        "max_contacts": F.max(value),
+    }
+    if keep is None:
+        measures["quartiles"] = F.percentile(value, F.array(*map(F.lit, shares)), F.coalesce(weight, F.lit(0)))
+        stats = with_totals(histogram, "sve", measures, vocab.total)
+    else:
+        histogram = keep(histogram, "histogram")
+        stats = with_totals(histogram, "sve", measures, vocab.total)
+        both = [F.struct(F.lit(t).alias("__total"), key.cast("string").alias("__sve"), "n_contacts", "n") for t, key in ((False, F.col("sve")), (True, F.lit(None)))]
+        found = quantiles(histogram.where(reports).select(F.inline(F.array(*both))), "n_contacts", ["__total", "__sve"], shares, keep, "n")
+        key = F.when(~F.col("is_total"), F.col("sve"))
+        same = (F.col("is_total") == F.col("__total")) & key.eqNullSafe(F.col("__sve"))
+        stats = stats.join(found.select("__total", "__sve", "quantiles"), same, "left").withColumnRenamed("quantiles", "quartiles")
     q = lambda i: F.element_at("quartiles", i)
     per_case = ratio(F.col("total_contacts"), F.col("reporting_cases"))
     return (

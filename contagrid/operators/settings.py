@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from contagrid.fixed_values import AGE_BANDS, DOMAIN, Vocabulary
 from contagrid.functions.numbers import percent
+from contagrid.functions.text import sentence_case
 from contagrid.operators.aggregates import count_rows, crosstab, level_columns, row_total, with_totals
 from contagrid.operators.ordering import level_position
 from contagrid.operators.windows import middle_of_segment, running_total, share_within, with_overall
@@ -56,6 +57,11 @@ def chart_setting_by_age(base: DataFrame) -> DataFrame:
     return share_within(counts, "age_band", "n_contacts")
 
 
+def chart_labels(chart: DataFrame, vocab: Vocabulary = DOMAIN) -> DataFrame:
+    """A chart's settings as its legend has them: in sentence case, those outside the report's order left out."""
+    return chart.where(F.col("setting").isin(*vocab.settings)).withColumn("setting", sentence_case(F.col("setting")))
+
+
 def chart_setting_totals(base: DataFrame) -> DataFrame:
     """Share of each setting with running total and label position."""
     totals = with_overall(setting_totals(base), "__all", F.sum("n_contacts"))

@@ -39,6 +39,10 @@ def ratio(a, b, digits=1):
     return f"round(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), {digits})"
 
 
+def number_text(value: str) -> str:
+    return rf"regexp_replace(CAST(CAST({value} AS DECIMAL(38, 3)) AS VARCHAR), '\.?0+$', '')"
+
+
 def counts(column, levels, names, other="unknown"):
     out = [f"CAST(count(*) FILTER (WHERE {column} = '{v}') AS BIGINT) AS {n}" for v, n in zip(levels, names)]
     out.append(f"CAST(count(*) FILTER (WHERE {column} IS NULL OR {column} NOT IN ({', '.join(repr(v) for v in levels)})) AS BIGINT) AS {other}")
@@ -414,6 +418,16 @@ ORACLE: dict[str, str] = {
     "province_rollup": cte("measures", "nations", select=f"""SELECT {rolled('province')}, CAST(sum(cases) AS BIGINT) AS cases,
         round(sum(contacts), 2) AS contacts, CAST(sum(symptomatic) AS BIGINT) AS symptomatic, CAST(sum(confirmed) AS BIGINT) AS confirmed
         FROM (SELECT m.*, r_name AS province FROM measures m LEFT JOIN nations ON sve = n_name) t GROUP BY ROLLUP (t.province)"""),
+    "published_report": cte("measures", "nations", select=f"""SELECT CASE WHEN grouping(t.province) = 1 THEN 'Totals' ELSE t.province END AS "Provincia",
+        CAST(sum(cases) AS BIGINT) AS "Casos notificats", round(sum(contacts), 2) AS "Total de CE",
+        CAST(sum(symptomatic) AS BIGINT) AS "CE que desenvolupen símptomes", CAST(sum(confirmed) AS BIGINT) AS "CE que es confirmen com a Casos"
+        FROM (SELECT m.*, r_name AS province FROM measures m LEFT JOIN nations ON sve = n_name) t GROUP BY ROLLUP (t.province)"""),
+    "indicator_sheet": cte("ind", select=rf"""SELECT sve AS "SVE", cases AS "1.1-casos_totals", reporting_cases AS "1.2-N_casos_reporten_contactes",
+        {number_text('reporting_pct')} || '%' AS "1.3-%casos amb contactes", total_contacts AS "2.1-N total de CE", mean_contacts AS "2.2-Mitjana",
+        median_contacts AS "2.2Mediana", {number_text('iqr_contacts')} || ' (' || {number_text('q25_contacts')} || '-' || {number_text('q75_contacts')} || ')' AS "2.2-IQR",
+        min_contacts AS "2.2-Min", max_contacts AS "2.2-max" FROM ind"""),
+    "chart_legend": cte("base", select="""SELECT age_band, upper(setting[1]) || setting[2:] AS setting, count(*) AS n_contacts,
+        round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY age_band) AS DOUBLE), 6) AS share FROM base GROUP BY age_band, base.setting"""),
     "national_summary": cte("national", select=f"SELECT *, {pct('cases', 'max(cases) OVER ()')} AS cases_pct FROM national"),
     "national_summary_es": cte("national", select="""SELECT CASE WHEN is_total THEN 'Total' ELSE sve END AS "Subdivisión territorial epidemiológica",
         cases AS "Número total de casos notificados", contacts AS "Número total de contactos estrechos",
@@ -476,10 +490,6 @@ ORACLE["infographic_transpose"] = cte("graphic", select="\nUNION ALL ".join(
 ))
 
 
-def number_text(value: str) -> str:
-    return rf"regexp_replace(CAST(CAST({value} AS DECIMAL(38, 3)) AS VARCHAR), '\.?0+$', '')"
-
-
 def weekly_line(ord_: int, label: str, measure: str | None, style: str | None) -> str:
     label = label.replace("'", "''")
     if measure is None:

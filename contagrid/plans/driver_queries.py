@@ -33,6 +33,7 @@ from contagrid.plans import roles
 from contagrid.plans.roles import AS_OF_EVENTS, AS_OF_ORDERS, DRIVER, table
 from contagrid.session import Stage, temporary_folder
 from contagrid.sources import readers, sinks
+from contagrid.sources.schemas import CONVERTER_COLUMNS
 from contagrid.sources.weekly import WeeklyCubes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -478,6 +479,38 @@ def weekly_summary(spark, sf_dir):
     return lines.withColumn("value", F.round("value", 2))
 
 
+@query
+def published_report(spark, sf_dir):
+    """The province summary as the report publishes it, with a converter read from a reference table, read back.
+
+    A second run of the week that fails on the way leaves the published tables as they were.
+    """
+    folder = temporary_folder(spark, "contagrid-report")
+    raw = roles.converter(spark, sf_dir).withColumnsRenamed({new: old for old, new in CONVERTER_COLUMNS.items()})
+    raw.write.parquet(f"{folder}/converter")
+    measures = shared.territory_measures(_facts(spark, sf_dir))
+    summary = summaries.province_summary(measures, readers.read_converter(spark, f"{folder}/converter"), DRIVER)
+    sinks.write_tables({"province_summary": sinks.labelled("province_summary", summary, AS_OF_EVENTS)}, folder, AS_OF_EVENTS)
+    broken = table(spark, sf_dir, "nation").select(F.raise_error(F.lit("this run fails")).alias("x"))
+    try:
+        sinks.write_tables({"province_summary": table(spark, sf_dir, "nation"), "infographic": broken}, folder, AS_OF_EVENTS)
+    except Exception as error:
+        if "this run fails" not in str(error):
+            raise
+    return sinks.read_table(spark, folder, "province_summary", AS_OF_EVENTS).withColumn("Total de CE", F.round("Total de CE", 2))
+
+
+@query
+def indicator_sheet(spark, sf_dir):
+    """The indicators with the headers and texts readers see."""
+    return sinks.labelled("case_contact_indicators", _indicators(spark, sf_dir).drop("contacts_per_case"), AS_OF_EVENTS)
+
+
+@query
+def chart_legend(spark, sf_dir):
+    return settings.chart_labels(settings.chart_setting_by_age(_setting_base(spark, sf_dir)), DRIVER).withColumn("share", F.round("share", 6))
+
+
 @query
 def running_share(spark, sf_dir):
     out = settings.chart_setting_totals(_setting_base(spark, sf_dir))

@@ -84,7 +84,7 @@ def report_tables(
     )
 
     t: dict[str, DataFrame] = {}
-    indicators = stage(cases.case_contact_indicators(by_case, vocab), "indicators")
+    indicators = stage(cases.case_contact_indicators(by_case, vocab, stage), "indicators")
     t["case_contact_indicators"] = indicators.drop("contacts_per_case")
     t["origin_split"] = cases.origin_split(by_case, vocab)
     t["contacts_per_case"] = cases.contacts_per_case(by_case)
@@ -131,8 +131,8 @@ def report_tables(
     t["weekly_summary"] = summaries.weekly_summary(summary, as_of)
 
     t["chart_week_over_week"] = past.chart_week_over_week(weeks, as_of)
-    t["chart_setting_totals"] = settings.chart_setting_totals(base)
-    t["chart_setting_by_age"] = settings.chart_setting_by_age(base)
+    t["chart_setting_totals"] = settings.chart_labels(settings.chart_setting_totals(base), vocab)
+    t["chart_setting_by_age"] = settings.chart_labels(settings.chart_setting_by_age(base), vocab)
     t["chart_outcomes"] = outcomes.chart_outcomes(breakdown)
 
     # contacts of the older snapshots take their territory from those weeks' cases
@@ -186,7 +186,7 @@ def run_report(
         written = sinks.write_tables(in_report_order(tables, vocab), out, as_of)
         if export:
             stored = {name: spark.read.schema(df.schema).parquet(written[name]) for name, df in tables.items()}
-            copies = {name: sinks.labelled(name, df, as_of) for name, df in in_report_order(stored, vocab).items()}
+            copies = {name: sinks.labelled(name, df, as_of, vocab) for name, df in in_report_order(stored, vocab).items()}
             sinks.write_tables(copies, export, as_of, "csv")
         sinks.update_history(paths["history"], current)
     finally:

@@ -6,16 +6,19 @@ import random
 import re
 from collections import Counter
 from datetime import date, timedelta
+from pathlib import Path
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
 
 from contagrid.fixed_values import FOLLOWUP_WEEKS, OUTCOMES, SETTINGS, SHEET_NAMES
+from contagrid.operators import cases
 from contagrid.operators.followup import followup_cube
 from contagrid.operators.territory import resolve_contact_territory
 from contagrid.plans import report
-from contagrid.session import shared_folder
-from contagrid.sources import readers
+from contagrid.session import Stage, shared_folder
+from contagrid.sources import readers, sinks
 from contagrid.sources.schemas import CONTACT_COLUMNS, CONVERTER_COLUMNS, GAZETTEER_COLUMNS, PATIENT_COLUMNS
 from helpers import AS_OF, plan, table
 
@@ -179,7 +182,7 @@ def test_second_run_replaces_tables_and_keeps_history(spark, paths, written, tmp
     assert {tuple(r) for r in readers.read_history(spark, paths["history"]).collect()} == before
     for name in ("weekly_summary", "symptomatic", "school_split"):
         assert sorted(map(str, spark.read.parquet(again[name]).collect())) == sorted(map(str, written[name].collect()))
-    exported = spark.read.option("header", True).csv(f"{tmp_path}/csv/week_over_week/iso_year=2020/iso_week=51")
+    exported = sinks.read_table(spark, str(tmp_path / "csv"), "week_over_week", AS_OF, "csv")
     assert exported.columns == ["SVE", "I", "NI", "Total", "%_I_SE51", "%_I_SE50", "Variació %"]
     assert exported.where("SVE = 'Totals'").first()["%_I_SE51"].endswith("%")
 
@@ -244,3 +247,57 @@ def test_reference_tables_need_an_order(spark, paths, tmp_path):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_sheets_are_named_as_in_the_report(written):
+    folders = {Path(df.inputFiles()[0].removeprefix("file://")).parent.name for df in (written["infographic"], written["followups"], written["contacts_per_case"])}
+    assert {unquote(f) for f in folders} == {SHEET_NAMES[n] for n in ("infographic", "followups", "contacts_per_case")}
+
+
+def test_headers_and_texts_of_the_sheets(spark, paths, written, tmp_path):
+    sheets = {name: sinks.labelled(name, df, AS_OF) for name, df in written.items()}
+    assert sheets["case_contact_indicators"].columns == [
+        "SVE", "1.1-casos_totals", "1.2-N_casos_reporten_contactes", "1.3-%casos amb contactes", "2.1-N total de CE", "2.2-Mitjana", "2.2Mediana", "2.2-IQR", "2.2-Min", "2.2-max",
+    ]
+    totals = sheets["case_contact_indicators"].where("SVE = 'Totals'").first()
+    plain = written["case_contact_indicators"].where("is_total").first()
+    number = lambda x: f"{x:.3f}".rstrip("0").rstrip(".")
+    assert totals["2.2-IQR"] == f"{number(plain.iqr_contacts)} ({number(plain.q25_contacts)}-{number(plain.q75_contacts)})"
+    assert sheets["outcome_by_territory"].columns == ["SVE", *OUTCOMES, "<NA>"]
+    assert sheets["setting_by_territory"].columns == ["SVE", *SETTINGS, "<NA>"]
+    assert sheets["setting_by_territory_age"].columns == ["SVE", "Rang_edat", *SETTINGS, "<NA>", "Totals"]
+    assert sheets["outcome_breakdown"].columns == ["verificació", "N", "Percentatge"]
+    labels = {r["verificació"] for r in sheets["outcome_breakdown"].collect()}
+    assert {"3.1a", "3.1b", "Totals", "Cip vàlid"} <= labels
+    assert sheets["infographic"].columns[0] == "Indicadors" and "Totals" in sheets["infographic"].columns
+    assert set(sheets["heavy_reporters"].columns) >= {"CIP", "gènere", "Edat", "social", "N_contactes_segons_pestanya_pacients"}
+
+
+def test_charts_have_their_legends(written):
+    legend = {r.setting for name in ("chart_setting_totals", "chart_setting_by_age") for r in written[name].collect()}
+    assert legend <= {x.capitalize() for x in SETTINGS} and "Centre sociosanitari" in legend
+
+
+def test_a_failed_run_leaves_the_old_week(spark, tmp_path):
+    out = str(tmp_path)
+    good = spark.createDataFrame([("A", 1)], "sve string, n int")
+    sinks.write_tables({"school_no_answer": good, "followups": good}, out, AS_OF)
+    bad = good.select(F.raise_error(F.lit("lost")).alias("x"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_tables({"school_no_answer": good.union(good), "followups": bad}, out, AS_OF)
+    assert sinks.read_table(spark, out, "school_no_answer", AS_OF).count() == 1
+    sinks.write_tables({"school_no_answer": good.union(good)}, out, AS_OF)
+    assert sinks.read_table(spark, out, "school_no_answer", AS_OF).count() == 2
+    with pytest.raises(FileNotFoundError):
+        sinks.read_table(spark, out, "school_no_answer", AS_OF + timedelta(weeks=1))
+
+
+def test_report_quartiles_by_rank_equal_percentiles(spark):
+    rng = random.Random(8)
+    people = spark.createDataFrame([(str(i), rng.choice(["A", "B", None, "C"]), float(rng.choice([0, 1, 2, 3, 9])) if i % 7 else None) for i in range(500)] + [("x", "D", 0.0)], "cip string, sve string, n_contacts double")
+    stage = Stage(spark)
+    try:
+        rows = lambda df: sorted(str(r) for r in df.collect())
+        assert rows(cases.case_contact_indicators(people, keep=stage)) == rows(cases.case_contact_indicators(people))
+    finally:
+        stage.remove()
