@@ -58,25 +58,20 @@ def with_placeholder(df: DataFrame, label: str) -> DataFrame:
     """For the sink: a one-row placeholder when, and only when, ``df`` is empty.
 
     Text columns take ``label`` and numeric columns 0. Meant for small result
-    tables; operators themselves return empty results as they are.
+    tables, which become one row on the way and are computed once;
+    operators themselves return empty results as they are.
     """
-    fields = df.schema.fields
     row = [
         (F.lit(label) if f.dataType.typeName() == "string" else F.lit(0)).try_cast(f.dataType).alias(f.name)
-        for f in fields
+        for f in df.schema.fields
     ]
-    spark = df.sparkSession
-    some = df.limit(1).select(F.lit(1).alias("__found"))
-    placeholder = (
-        spark.range(1).select(*row, F.lit(1).alias("__found")).join(some, "__found", "left_anti").drop("__found")
-    )
-    return df.unionByName(placeholder.select(*df.columns))
+    rows = F.collect_list(F.struct("*")).alias("__rows")
+    placeholder = F.array(F.struct(*row))
+    return df.groupBy().agg(rows).select(F.inline(F.when(F.size("__rows") > 0, F.col("__rows")).otherwise(placeholder)))
 
 
 def drop_placeholder(df: DataFrame, label: str, key: str = "sve") -> DataFrame:
-    """Drop placeholder rows when real rows exist; else keep one of each."""
-    is_real = ~F.col(key).eqNullSafe(F.lit(label))
-    real = df.where(is_real)
-    some = real.limit(1).select(F.lit(label).alias(key))
-    only_placeholders = df.where(~is_real).distinct().join(some, key, "left_anti")
-    return real.unionByName(only_placeholders.select(*df.columns))
+    """Drop placeholder rows when real rows exist; else keep one of each. For small result tables, like ``with_placeholder``."""
+    rows = df.groupBy().agg(F.collect_list(F.struct("*")).alias("__rows"))
+    real = F.filter("__rows", lambda r: ~r[key].eqNullSafe(F.lit(label)))
+    return rows.select(F.inline(F.when(F.size(real) > 0, real).otherwise(F.array_distinct("__rows"))))

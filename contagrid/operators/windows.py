@@ -35,13 +35,13 @@ def share_within(df: DataFrame, group: str, measure: str = "n", name: str = "sha
     )
 
 
-def running_total(df: DataFrame, measure: str, order: Sequence[str], name: str = "running") -> DataFrame:
+def running_total(df: DataFrame, measure: str, order: str | Sequence[str], name: str = "running") -> DataFrame:
     """Running total in ``order``, which must tell all rows apart.
 
     For tables with a row per category: they become one row on the way, in
     order. ``distribution.running_totals`` does the same for tables of any size.
     """
-    key = F.struct(*order).alias("key")
+    key = F.struct(*([order] if isinstance(order, str) else order)).alias("key")
     rows = df.groupBy().agg(F.array_sort(F.collect_list(F.struct(key, F.struct("*").alias("row")))).alias("__rows"))
     zero = F.lit(0).cast(dict(df.dtypes)[measure])
 

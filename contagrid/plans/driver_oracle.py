@@ -322,6 +322,13 @@ ORACLE: dict[str, str] = {
         AND cip NOT IN (SELECT case_cip FROM contacts WHERE setting = 'escolar')"""),
     "followup_placeholder": """SELECT 'Sense seguiments' AS sve, 'Sense seguiments' AS status, CAST(count(*) AS BIGINT) AS followup_day99
         FROM events WHERE ts < TIMESTAMP '1900-01-01'""",
+    "followup_without_placeholder": cte("slots", select="""SELECT sve, status, count(DISTINCT event_id) AS followup_day7 FROM slots
+        WHERE day_offset = 7 AND snapshot_week = DATE '2024-01-08' GROUP BY 1, 2"""),
+    "drifting_text_weeks": cte("event_rows", select="""SELECT snapshot_week, count(*) FILTER (event_id % 50 <> 0) AS n_rows,
+        count(*) FILTER (event_id % 50 <> 0 AND snapshot_week <> DATE '2024-01-08') AS n_users,
+        count(*) FILTER (event_id % 50 <> 0 AND snapshot_week = DATE '2024-01-15') AS n_stamps,
+        count(DISTINCT event_id) FILTER (event_id % 50 <> 0) AS n_events, count(*) FILTER (event_id % 50 = 0) AS n_malformed
+        FROM event_rows WHERE snapshot_week BETWEEN DATE '2024-01-01' AND DATE '2024-01-15' GROUP BY 1"""),
     "first_match_lookup": cte("persons", "gazetteer", select="""SELECT cip, municipality, g.sve AS first_sve FROM persons
         LEFT JOIN (SELECT place_name, arg_min(sve, source_row) AS sve FROM gazetteer GROUP BY 1) g ON municipality = place_name"""),
     "coalesced_territory": cte("contacts", "places", select="""SELECT contact_id, coalesce(settlement_sve, c.sve) AS sve FROM contacts c

@@ -156,6 +156,34 @@ def followup_placeholder(spark, sf_dir):
     return filters.drop_placeholder(filters.with_placeholder(empty, DRIVER.placeholder), DRIVER.placeholder)
 
 
+@query
+def followup_without_placeholder(spark, sf_dir):
+    """Follow-ups of day 7, stored beside the placeholder of an earlier, empty run: only the real rows stay."""
+    weeks = roles.event_contacts(spark, sf_dir, (-2,))
+    real = follow.followup(readers.select_snapshots(weeks, AS_OF_EVENTS, (-2,)), 7, AS_OF_EVENTS, week=-2, vocab=DRIVER)["status"]
+    empty = filters.with_placeholder(real.where("false"), DRIVER.placeholder)
+    return filters.drop_placeholder(filters.with_placeholder(real, DRIVER.placeholder).unionByName(empty), DRIVER.placeholder)
+
+
+@query
+def drifting_text_weeks(spark, sf_dir):
+    """Weeks of events as delimited text whose columns change, rows that don't fit their header set aside and counted."""
+    folder = temporary_folder(spark, "contagrid-weeks")
+    events = roles.events_of_weeks(spark, sf_dir, (-1, -2, -3)).select("event_id", "user_id", "event_type", F.col("ts").cast("string").alias("stamp"), F.to_date(F.date_trunc("week", "ts")).alias("snapshot_week"))
+    # a comma too many in some rows
+    broken = events.withColumn("event_type", F.when(F.col("event_id") % 50 == 0, F.concat("event_type", F.lit(",x"))).otherwise(F.col("event_type")))
+    columns = {-1: ["event_type", "event_id", "user_id", "stamp"], -2: ["event_id", "event_type"], -3: ["event_id", "user_id", "event_type"]}
+    for offset, names in columns.items():
+        week = dates.snapshot_monday(AS_OF_EVENTS, offset)
+        rows = broken.where(F.col("snapshot_week") == F.lit(week)).select(*names)
+        rows.write.option("header", True).option("quote", "").csv(f"{folder}/snapshot_week={week}")
+    good, bad = readers.scan_weeks(spark, folder, [dates.snapshot_monday(AS_OF_EVENTS, o) for o in columns])
+    kept = good.groupBy("snapshot_week").agg(
+        F.count("*").alias("n_rows"), F.count("user_id").alias("n_users"), F.count("stamp").alias("n_stamps"), F.countDistinct("event_id").alias("n_events")
+    )
+    return kept.join(readers.malformed_counts(bad), "snapshot_week", "left").na.fill(0, ["n_malformed"])
+
+
 # ---- lookups and joins -------------------------------------------------------
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,6 +16,8 @@ from contagrid.operators.filters import require_columns
 from contagrid.sources import schemas
 
 SNAPSHOT = "snapshot_week"
+#: Where a row that doesn't fit its header is kept as written.
+MALFORMED = "__malformed"
 
 
 def scan_text(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -25,6 +29,56 @@ def scan_text(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
     return df.select(*[F.col(f"`{c}`") if c == SNAPSHOT else F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 
 
+def _headers(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """The files of a folder of delimited text by their header line, which is all that is read of them."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[str, list[str]] = {}
+    if not files.exists(place):
+        return found
+    for status in files.listStatus(place):
+        name = status.getPath().getName()
+        if not status.isFile() or name.startswith(("_", ".")):
+            continue
+        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(files.open(status.getPath()), "UTF-8"))
+        line = reader.readLine()
+        reader.close()
+        if line:
+            found.setdefault(line, []).append(status.getPath().toString())
+    return found
+
+
+def scan_weeks(spark: SparkSession, path: str, weeks: Sequence[date]) -> tuple[DataFrame, DataFrame]:
+    """Weekly folders of delimited text: the rows, every column as text, and those that don't fit their header.
+
+    Each file is read by the columns its own header names, so columns may
+    appear, vanish and change places between weeks; a column that a file doesn't have is missing in its rows.
+    No job looks for a schema. Fields don't contain line breaks. Rows with more or fewer fields than their header are not
+    guessed at: the second table holds them as written, with their week.
+    """
+    parts, kept = [], [SNAPSHOT, MALFORMED]
+    for week in weeks:
+        for header, files in _headers(spark, f"{path.rstrip('/')}/{SNAPSHOT}={week.isoformat()}").items():
+            schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in (*next(csv.reader([header])), MALFORMED))
+            # lines are parsed one by one: the file reader judges a row by the columns a query uses
+            lines = spark.read.text(files).where((F.col("value") != header) & (F.col("value") != ""))
+            fields = F.from_csv("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED})
+            parts.append(lines.select(fields.alias("__row")).select("__row.*", F.lit(week).alias(SNAPSHOT)))
+    if not parts:
+        nothing = spark.createDataFrame([], f"{SNAPSHOT} date, {MALFORMED} string")
+        return nothing.drop(MALFORMED), nothing
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    good = rows.where(F.col(MALFORMED).isNull()).drop(MALFORMED)
+    bad = reduce(DataFrame.unionByName, [p.where(F.col(MALFORMED).isNotNull()).select(*kept) for p in parts])
+    return good, bad
+
+
+def malformed_counts(bad: DataFrame) -> DataFrame:
+    """How many rows of each week were set aside."""
+    return bad.groupBy(SNAPSHOT).agg(F.count("*").alias("n_malformed"))
+
+
 def rename_columns(df: DataFrame, names: Mapping[str, str], optional: Sequence[str] = ()) -> DataFrame:
     """Internal names for the used columns; absent optional ones become missing."""
     require_columns(df, *[c for c in names if c not in optional])
@@ -43,6 +97,9 @@ def select_snapshots(df: DataFrame, as_of: date, offsets: Sequence[int]) -> Data
 def _facts(spark, path, as_of, offsets, fmt) -> DataFrame:
     # whole raw rows are compared, so this precedes the column selection; the
     # snapshot filter is below the distinct and prunes the scan
+    if fmt == "csv":
+        good, _ = scan_weeks(spark, path, [snapshot_monday(as_of, o) for o in offsets])
+        return good.distinct()
     return select_snapshots(scan_text(spark, path, fmt), as_of, offsets).distinct()
 
 

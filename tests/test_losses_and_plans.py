@@ -115,3 +115,39 @@ def test_difference_from_a_filter_is_the_generic_difference(spark):
 def test_row_difference_scans_the_contacts_once(spark):
     text = plan(queries()["row_difference"](spark, SF_DIR))
     assert text.count("FileScan") == 1 and "Join" not in text
+
+
+def write_lines(folder, name, *lines):
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / name).write_text("\n".join(lines) + "\n", encoding="utf-8")
+
+
+def test_weeks_of_text_with_changing_columns(spark, tmp_path):
+    from contagrid.sources import readers
+
+    first, second, third = (date(2020, 12, 7), date(2020, 12, 14), date(2020, 12, 21))
+    write_lines(tmp_path / f"snapshot_week={first}", "a.csv", "CIP,municipi", "1,Valls", '2,"Reus, ciutat"', "3", "", "4,Valls,x")
+    write_lines(tmp_path / f"snapshot_week={first}", "b.csv", "municipi,CIP", "Tortosa,5")
+    write_lines(tmp_path / f"snapshot_week={second}", "a.csv", "CIP,nova `x`,municipi", "6,n,Valls", "7,,")
+    write_lines(tmp_path / f"snapshot_week={second}", "_SUCCESS", "CIP")
+    good, bad = readers.scan_weeks(spark, str(tmp_path), [first, second, third])
+    assert table(good, "CIP", "municipi", "nova `x`", "snapshot_week") == {
+        "1": ("Valls", None, first), "2": ("Reus, ciutat", None, first), "5": ("Tortosa", None, first), "6": ("Valls", "n", second), "7": (None, None, second),
+    }
+    assert sorted((r["snapshot_week"], r[readers.MALFORMED]) for r in bad.collect()) == [(first, "3"), (first, "4,Valls,x")]
+    assert table(readers.malformed_counts(bad), "snapshot_week", "n_malformed") == {first: 2}
+    assert good.count() == 5 and bad.count() == 2
+    none, nothing = readers.scan_weeks(spark, str(tmp_path), [third])
+    assert none.count() == nothing.count() == 0
+
+
+def test_placeholders_are_computed_once(spark):
+    from contagrid.operators import filters
+
+    text = plan(queries()["followup_placeholder"](spark, SF_DIR))
+    assert len(re.findall(r"FileScan parquet [^\n]*events", text)) == 1 and "Join" not in text.replace("BroadcastHashJoin", "", 1)
+    df = frame(spark, [("A", 1), ("Sense seguiments", 0), ("Sense seguiments", 0)], "sve string, n int")
+    assert table(filters.drop_placeholder(df, "Sense seguiments"), "sve", "n") == {"A": 1}
+    assert table(filters.drop_placeholder(df.where("n = 0"), "Sense seguiments"), "sve", "n") == {"Sense seguiments": 0}
+    assert filters.drop_placeholder(df.limit(0), "x").count() == 0
+    assert table(filters.with_placeholder(df.limit(0), "none"), "sve", "n") == {"none": 0}
