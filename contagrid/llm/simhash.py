@@ -151,20 +151,34 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -
     Rows are linked when their fingerprints differ in at most ``radius`` bits;
     component_id is the smallest doc_id that links reach, itself included. Null
     and empty texts have fingerprint zero and are linked like any other. Copies
-    share a fingerprint and are compared once. Rows that repeat a doc_id count as
-    one document with as many fingerprints; a row without doc_id links nothing
-    but has its group's component_id. Other columns are ignored.
+    share a fingerprint and are compared once. Rows that repeat a doc_id are
+    one document, whose fingerprints are linked to one another; rows without doc_id
+    are linked like any other, and have a null component_id if no id is reached. Other columns are ignored.
     """
     prints = written(fingerprints(docs, shingle), "simhash-fingerprints")
-    nodes = prints.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
+    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     nodes = written(nodes, "simhash-nodes")
-    # A repeated doc_id can be the smallest of several fingerprints: they are one node then.
-    found = components(links(nodes.select("node", "fingerprint"), radius))
-    label = F.coalesce("component", "node")
-    named = nodes.join(found, "node", "left").where("n > 1 OR component IS NOT NULL").select("fingerprint", label.alias("component_id"))
-    joined = hot_split_join(prints, named, ["fingerprint"], "left")
+    found = links(nodes.select(F.col("fingerprint").alias("node"), "fingerprint"), radius).union(_links_of_ids(prints))
+    found = components(found).select(F.col("node").alias("fingerprint"), "component")
+    placed = written(nodes.join(found, "fingerprint", "left"), "simhash-placed")
+    # a component may hold very many fingerprints
+    joined_up = placed.where("component IS NOT NULL")
+    labels = joined_up.groupBy("component").agg(F.min("least").alias("component_id"))
+    labelled = hot_split_join(joined_up, labels, ["component"], "left").select("fingerprint", "component_id")
+    copies = placed.where("component IS NULL AND n > 1").select("fingerprint", F.col("least").alias("component_id"))
+    # a lone fingerprint's document is its own component
+    joined = hot_split_join(prints, labelled.union(copies).withColumn("known", F.lit(True)), ["fingerprint"], "left")
     return joined.select(
         "doc_id",
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def _links_of_ids(prints: DataFrame) -> DataFrame:
+    """a, b: each other fingerprint of a repeated id, linked to the id's smallest."""
+    known = prints.where("doc_id IS NOT NULL")
+    repeated = known.groupBy("doc_id").agg(F.min("fingerprint").alias("b"), F.max("fingerprint").alias("highest"))
+    repeated = repeated.where("b < highest").drop("highest")
+    others = hot_split_join(known, repeated, ["doc_id"], "inner").where("fingerprint <> b")
+    return others.select(F.col("fingerprint").alias("a"), "b").distinct()

@@ -100,6 +100,49 @@ def test_near_groups(spark):
     assert sorted((r[0], r[1], r[2]) for r in got) == sorted((i, f"{f:016x}", groups[i]) for i, f in prints)
 
 
+def brute_groups(rows):
+    """(doc_id, fingerprint, component_id) of rows (doc_id, text): rows are linked by near fingerprints and by equal ids."""
+    prints = [brute_simhash(t) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4 or (rows[i][0] is not None and rows[i][0] == rows[j][0]):
+                group[root(i)] = root(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[root(i)] = min(filter(lambda x: x is not None, (least.get(root(i)), doc_id)), default=None)
+    return sorted((str(d), f"{f:016x}", str(least[root(i)])) for i, ((d, _), f) in enumerate(zip(rows, prints)))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_groups_of_repeated_and_missing_ids(spark, seed):
+    rng = random.Random(seed)
+    base = [sentence(rng, 30) for _ in range(12)]
+    near = [t.replace(t.split()[3], "other", 1) for t in base]
+    rows = [(rng.choice([rng.randint(0, 30), rng.randint(0, 30), None]), rng.choice(base + near)) for _ in range(60)]
+    rows += [(5, base[0]), (5, base[1]), (3, base[1]), (90, "lone text of this row"), (None, "another lone text here"), (91, "a b c d e"), (None, "a b c d e")]
+    got = simhash.near_groups(documents(spark, [(i, t, "en", "s", None) for i, t in rows])).collect()
+    assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in got) == brute_groups(rows)
+
+
+def test_an_id_with_two_texts_joins_their_groups(spark):
+    a, b = "the first text of it is this one", "something else altogether stands in here"
+    got = simhash.near_groups(documents(spark, [(5, a, "en", "s", None), (5, b, "en", "s", None), (3, b, "en", "s", None), (9, "x y z w v", "en", "s", None), (None, "x y z w v", "en", "s", None)]))
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in got.collect()) == [("3", 3), ("5", 3), ("5", 3), ("9", 9), ("None", 9)]
+
+
+def test_a_hot_id_with_many_texts_is_one_component(spark):
+    rows = [(7, f"text number {i} of the hot id {i * i}", "en", "s", None) for i in range(300)] + [(i, f"other {i} {i * 7} text {i * 3}", "en", "s", None) for i in range(100, 130)]
+    got = simhash.near_groups(documents(spark, rows)).collect()
+    assert {r["component_id"] for r in got if r["doc_id"] == 7} == {7}
+
+
 def test_near_groups_of_awkward_rows(spark):
     got = simhash.near_groups(documents(spark)).collect()
     expected = {i: brute_simhash(t) for i, t, *_ in awkward()}
