@@ -112,6 +112,20 @@ def landing(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, held_bac
     return p
 
 
+def _dealt(sizes: DataFrame, chunk: int = BLOCK) -> DataFrame:
+    """``sizes`` with a ``deal`` of its own for each of the rows that are alike, so that no block has them all.
+
+    Rows that are alike are counted and numbered anew, in chunks that tasks share: which of them has
+    which number can't be told, and reruns agree.
+    """
+    counted = written(sizes.groupBy(*sizes.columns).agg(F.count("*").alias("n")), "mix-sizes")
+    chunks = counted.where("n > 1").select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {chunk}"))).alias("chunk"))
+    first = F.col("chunk") * chunk
+    numbers = F.sequence(first, F.least(first + chunk, F.col("n")) - 1)
+    alike = chunks.repartition("deal", "chunk").select(*sizes.columns, F.explode(numbers).alias("number"))
+    return counted.where("n = 1").select(*sizes.columns).unionByName(alike.withColumn("deal", F.xxhash64("deal", "number")).drop("number"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row for each row of ``docs`` (doc_id, text, source).
 
@@ -128,7 +142,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, b
         F.regexp_count(text_of(), F.lit(SPACED_WORD)).cast("long").alias("size"),
         F.xxhash64("doc_id", text_of()).alias("deal"),
     )
-    sizes = written(sizes, "mix-sizes")
+    sizes = _dealt(sizes)
     sources = source_targets(sizes, weights, cap)
 
     # The key is never null, and equal for equal sources only.

@@ -9,6 +9,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from contagrid.llm import licenses, mixing, pii, warc
 from contagrid.llm.license_rules import BASE, LICENSES, rules
@@ -281,6 +282,20 @@ def test_mix_meets_targets(spark, block):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_rows_that_are_alike_are_dealt_to_many_blocks(spark):
+    """A third of the rows alike, without ids: no block has more than about its share, and reruns agree."""
+    rows = [(None, "same words here", "en", "a", None)] * 4000 + [(i, f"word {i} of it", "en", "a", None) for i in range(8000)]
+    sizes = documents(spark, rows).select("doc_id", "source", F.lit(3).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("deal"))
+    dealt = mixing._dealt(sizes, chunk=100)
+    blocks = dealt.groupBy(F.expr("pmod(deal, 24)").alias("block")).count().collect()
+    assert sum(r["count"] for r in blocks) == 12000 and max(r["count"] for r in blocks) < 700
+    again = mixing._dealt(sizes.repartition(9), chunk=100)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, again.collect()))
+    got = mixing.mix(documents(spark, rows), block=512)
+    taken = got.agg(F.sum("taken"), F.max("target"), F.count("*")).first()
+    assert taken[2] == 12000 and abs(taken[0] - taken[1]) <= 0.02 * taken[1]
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(5)
     p, sizes = rng.random(500), rng.integers(1, 3000, 500).astype(float)
