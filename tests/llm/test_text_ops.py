@@ -168,13 +168,73 @@ def test_different_entities_have_different_surrogates(kind, make):
 def test_whole_names_are_replaced(text, names):
     found = pii.Detector().find(text)
     assert [text[a:b] for a, b, *_ in found] == names
-    for _, _, kind, canon in found:
-        words, new = canon.split(":")[1].split(" "), pii.surrogate(kind, canon, KEY).split(":")[1].split(" ")
+    for _, _, kind, canon, gender, _ in found:
+        words, new = canon.split(" "), pii.surrogate(kind, canon, KEY, 0, gender).split(" ")
         assert len(words) == len(new) and all((w == n) == (w in pii.PARTICLES) for w, n in zip(words, new) if len(w) > 2)
     new = pii.permuted("Żak Łoś ğİı", KEY, "surname")
     assert not set("ŻŁśğ") & set(new) and [c.isupper() for c in new] == [c.isupper() for c in "Żak Łoś ğİı"]
 
 
+@pytest.mark.parametrize("first", [t for ts in pii.TITLES.values() for t in ts.split()])
+def test_titles_in_a_row_are_no_names(first):
+    for second in (t for ts in pii.TITLES.values() for t in ts.split()):
+        for dots in ("", "."):
+            text = f"{first}{dots} {second}{dots} Anna Berg"
+            found = pii.Detector().find(text)
+            assert [text[e.start : e.end] for e in found] == ["Anna Berg"], text
+            genders = [pii._TITLE[t] for t in (first, second)]
+            assert found[0].gender == next((g for g in genders if g != "x"), "x")
+
+
+@pytest.mark.parametrize("text, found", [
+    ("Dr. Anna Schmidt wrote it. Anna Schmidt lives here, Schmidt said. Schmidt's house, the schmidt, Schmidtson.", ["Anna Schmidt", "Anna Schmidt", "Schmidt", "Schmidt"]),
+    ("Berg came first. Frau Anna von Berg and von nobody; von Berg left Anna", ["Berg", "Anna von Berg", "Berg", "Anna"]),
+    ("г-н Иван Петров и доктор Анна Белова, Петров", ["Иван Петров", "Анна Белова", "Петров"]), ("Mr Paul Meier, Mrs Paul Stone; Paul Stone, Paul Meier", ["Paul Meier", "Paul Stone", "Paul Stone", "Paul Meier"]),
+    ("password: correcthorsebattery", ["correcthorsebattery"]), ("the secret: patience", []), ("secret = 'patience'", ["patience"]), ("call 555-123-4567 or 555.123.4567", ["555-123-4567", "555.123.4567"]),
+    ("from 0049 30 1234567 on", ["0049 30 1234567"]), ("at 12:34:56 and 2001:db8:0:0:0:ff00:42:8329 or fe80::1ff:fe23:4567:890a", ["2001:db8:0:0:0:ff00:42:8329", "fe80::1ff:fe23:4567:890a"]), ("a::b::c 1:2:3", []),
+])
+def test_what_is_found(text, found):
+    assert [text[e.start : e.end] for e in pii.Detector().find(text)] == found
+
+
+def test_no_planted_entity_stays_and_each_keeps_one_surrogate(spark):
+    """Texts of literals and planted entities: literals stay, an entity is the same surrogate everywhere and no two share one."""
+    rng = random.Random(12)
+    people = {f"{g} {s}": rng.choice("mfx") for g, s in zip(["Paul", "Anna", "Ivo", "Marie", "Lotte", "Hugo"], ["Meier", "Quandt", "Zorn", "Petit", "Adler", "Kranz"])}
+    titles = {"m": ["Herr", "Mr.", "Herr Dr."], "f": ["Frau", "Mme", "Frau Prof."], "x": ["Dr.", "Prof."]}
+    others = ["ann.lee@post.example.org", "+49 30 1234567", "555-123-4567", "8.8.4.4", "2001:db8:0:0:0:ff00:42:8329", "4111 1111 1111 1111", "078-05-1120"]
+    rows, plans = [], []
+    for _ in range(60):
+        pieces, here = [], rng.sample(sorted(people), 2)
+        for k in range(rng.randint(2, 8)):
+            pieces.append(("", rng.choice(["here it says that ", "and then, ", "once more: "])))
+            if rng.random() < 0.4:
+                pieces.append(("other", rng.choice(others)))
+            else:
+                person = rng.choice(here)
+                gender = people[person] if rng.random() < 0.7 else "x"
+                pieces += [("", rng.choice(titles[gender]) + " "), ("person", person), ("", "; "), ("surname", person)]
+            pieces.append(("", " . "))
+        plans.append(pieces)
+        rows.append("".join(p.split(" ")[1] if kind == "surname" else p for kind, p in pieces))
+    got = [r["text"] for r in pii.pseudonymise(simple(spark, rows), KEY).orderBy("doc_id").collect()]
+    seen = {}
+    for pieces, text in zip(plans, got):
+        m = re.fullmatch("".join("(.+?)" if kind else re.escape(p) for kind, p in pieces), text)
+        assert m, text
+        for (kind, p), new in zip([x for x in pieces if x[0]], m.groups()):
+            seen.setdefault(p, set()).add(new.split(" ")[-1] if kind == "surname" else new)
+            if kind == "person":
+                seen.setdefault("sur" + p, set()).add(new.split(" ")[1])
+        words = set(re.findall(r"\w+", text))
+        assert not words & {w for p in people for w in p.split(" ")} and not any(o in text for o in others)
+    for person in people:
+        whole = {s for s in seen[person] if " " in s}
+        assert len(whole) == 1 and seen[person] - whole <= seen["sur" + person] and len(seen["sur" + person]) == 1
+    surrogates = [s for p, new in seen.items() if not p.startswith("sur") for s in new if p not in people or " " in s]
+    assert len(surrogates) == len(set(surrogates)) == len(people) + len(others)
+
+
 def test_meeting_surrogates_are_drawn_again(spark):
     """Two-digit local parts fill their space, so surrogates must meet entities, and given names meet each other."""
     names = [f"Mr. {a}{b}rn Stone" for a in "ABCDEFGHKLMNPRST" for b in "aeiou"]
