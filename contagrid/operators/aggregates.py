@@ -51,7 +51,6 @@ def with_totals(
         (F.grouping(key) == 1).alias("is_total"),
         *[m.alias(name) for name, m in measures.items()],
     )
-    # rollup over no rows still yields a grand total; an empty table has none
     rolled = rolled.withColumn(key, F.when(F.col("is_total"), F.lit(label)).otherwise(F.col(key).cast("string")))
     return rolled.select(key, "is_total", *measures)
 

@@ -6,25 +6,17 @@ Written independently of the operators: joins, filters and grouping sets only.
 
 from __future__ import annotations
 
+from contagrid import fixed_values
 from contagrid.fixed_values import WEEKLY_LINES
-
-SETTINGS = ["social", "medi transport", "laboral", "domicili", "centre sociosanitari", "centre sanitari", "altres"]
-ALL_SETTINGS = [*SETTINGS, "escolar", "desconegut"]
-OUTCOMES = [
-    "CIP vàlid", "error dades", "rebutja", "no contesta", "CIP no vàlid", "és cas", "contacte altre cas",
-    "migrat SVE", "no és contacte", "contacte no vàlid",
-]
-SETTING_COLUMNS = ["social", "medi_transport", "laboral", "domicili", "centre_sociosanitari", "centre_sanitari", "altres"]
-OUTCOME_COLUMNS = [
-    "cip_valid", "error_dades", "rebutja", "no_contesta", "cip_no_valid", "es_cas", "contacte_altre_cas", "migrat_sve",
-    "no_es_contacte", "contacte_no_valid",
-]
-LABELS = [
-    ("Cip vàlid", "a"), ("Error dades", "a"), ("Rebutja", "a"), ("No contesta", "a"), ("Cip no vàlid", "a"),
-    ("És cas", "b"), ("Contacte altre cas", "b"), ("Migrat SVE", "b"), ("No és contacte", "b"),
-    ('No contesta ("escolar")', "b"),
-]
-BANDS = ["< 12 anys", "12-19 anys", "20-39 anys", "40-59 anys", "60-79 anys", "> 79 anys"]
+from contagrid.functions.text import slug
+
+SETTINGS = list(fixed_values.SETTINGS)
+ALL_SETTINGS = [*SETTINGS, fixed_values.SCHOOL_SETTING, fixed_values.UNKNOWN_SETTING]
+OUTCOMES = list(fixed_values.OUTCOMES)
+SETTING_COLUMNS = [slug(x) for x in SETTINGS]
+OUTCOME_COLUMNS = [slug(x) for x in OUTCOMES]
+LABELS = list(fixed_values.OUTCOME_LABELS)
+BANDS = [label for label, _, _ in fixed_values.AGE_BANDS]
 
 
 def items(values):
