@@ -10,9 +10,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from contagrid.llm import simhash
+from contagrid.llm import decontaminate, simhash
+from contagrid.llm.common import written
 from contagrid.llm.components import components
-from contagrid.llm.decontaminate import contained_items, signature_share
+from contagrid.llm.decontaminate import contained_items
 from contagrid.llm.exact_dedup import chunks, exact_groups
 from samples import awkward, documents, sentence, simple
 
@@ -221,9 +222,58 @@ def test_contained_items_of_awkward_rows(spark):
     assert contained_items(documents(spark), items.limit(0)).count() == 0
 
 
-def test_signature_share_grows_as_items_shrink():
-    assert signature_share(8) > signature_share(20) > signature_share(200) > 0
-    assert (1 - signature_share(20)) ** 16 <= 1.01e-6
+def test_signature_share_grows_as_items_shrink(spark):
+    shares = [r[0] for r in spark.createDataFrame([(7,), (16,), (160,)], "needed int").select(decontaminate.signature_share(F.col("needed"))).collect()]
+    assert shares[0] > shares[1] > shares[2] > 0 and (1 - shares[1]) ** 16 <= 1.01e-6
+
+
+def test_partitions_of_sizes(spark):
+    rows = spark.range(5000).select("id", decontaminate.partition_size(F.col("id")).alias("p")).collect()
+    assert all(r["id"] <= r["p"] <= max(r["id"] * 9 / 8, 0) for r in rows)
+
+
+@pytest.mark.parametrize("miss, most, least", [(2e-3, 0.2, 0.99), (1e-6, 0.42, 1.0)])
+def test_signatures_are_short_and_miss_little(spark, miss, most, least):
+    """Items of 40 words, of which documents hold just the wanted part."""
+    rng = random.Random(11)
+    items = [(k, sentence(rng, 40)) for k in range(150)]
+    docs = []
+    for k, text in items:
+        words = text.split()[: 40 - 7]  # 29 of 36 shingles
+        docs.append((k, f"{sentence(rng, 300)} {' '.join(words)} {sentence(rng, 300)}", "en", "s", None))
+    df, probed = documents(spark, docs), spark.createDataFrame(items, ITEMS)
+    assert len(brute_contained(docs, items)) == len(items)
+    assert contained_items(df, probed, miss=miss).count() >= least * len(items)
+    cut = df.select("doc_id", F.col("doc_id").alias("row"), decontaminate.words(F.col("text")).alias("words"))
+    sized = decontaminate.signatures(cut, decontaminate.signature_share(F.lit(29), miss)).groupBy("row").agg(F.count("*").alias("k"), F.max("partition").alias("n"))
+    assert all(r["k"] <= most * r["n"] + 1 for r in sized.collect())
+
+
+def test_a_phrase_that_all_share_makes_no_candidates(spark, monkeypatch):
+    rng = random.Random(12)
+    phrase = "which of the following is true"
+    items = [(k, f"{phrase} {sentence(rng, 20)}") for k in range(200)]
+    docs = [(k, f"{sentence(rng, 30)} {phrase} {sentence(rng, 30)}", "en", "s", None) for k in range(200)]
+    docs.append((900, f"{sentence(rng, 50)} {items[5][1]}", "en", "s", None))
+    sizes = {}
+
+    def counted(df, name):
+        table = written(df, name)
+        sizes[name] = table.count()
+        return table
+
+    monkeypatch.setattr(decontaminate, "written", counted)
+    got = contained_items(documents(spark, docs), spark.createDataFrame(items, ITEMS)).collect()
+    assert [(r["doc_id"], r["item_id"], r["containment"]) for r in got] == [(900, 5, 1.0)]
+    assert sizes["decontaminate-candidates"] == 1
+
+
+def test_a_leaking_text_that_repeats_very_often(spark):
+    rng = random.Random(13)
+    item = sentence(rng, 30)
+    rows = [(None, f"{sentence(rng, 5)} {item}", "en", "s", None)] * 3000 + [(i, sentence(rng, 12), "en", "s", None) for i in range(3000)]
+    got = contained_items(documents(spark, rows), spark.createDataFrame([(1, item), (None, item)], ITEMS)).collect()
+    assert [(r["doc_id"], r["item_id"], r["shared"]) for r in got] == [(None, 1, 26)]
 
 
 @pytest.mark.parametrize("name", ["op5_decontaminate", "op9_exact_dedup"])
