@@ -126,7 +126,7 @@ def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page's second, not-modified capture with the stored response it stands for."""
+    """Each revisit of six visits of every page, with the stored response it stands for."""
     from contagrid.llm.warc import crawl, resolve_revisits
 
     found = resolve_revisits(crawl(table(spark, sf_dir, "pages")))
@@ -148,21 +148,30 @@ WITH bare AS (
 ), pages_keyed AS (
     SELECT page_id, html, host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key
     FROM parts
-), latest AS (
-    SELECT url_key, max(page_id) AS page_id FROM pages_keyed GROUP BY url_key
-), stored AS (
-    SELECT l.url_key, p.page_id, p.html FROM latest l JOIN pages_keyed p USING (page_id)
+), visits AS (
+    SELECT page_id, url_key, html, k, page_id * 6 + k AS record_id, page_id * 60 + k * 3600 AS second,
+           CASE k WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN (page_id % 3 = 0)::INT WHEN 3 THEN (page_id % 3 = 0 AND page_id % 2 = 1)::INT ELSE (page_id % 3 <= 1)::INT END AS version
+    FROM pages_keyed, range(6) AS numbers(k)
+), captures AS (
+    SELECT *, sha256(html || CASE version WHEN 1 THEN chr(10) ELSE '' END) AS body, 'version ' || version AS modified, second * 4294967296 + record_id AS place
+    FROM visits
+), responses AS (
+    SELECT url_key, place, record_id, body, modified, CAST(strlen(html) + version AS VARCHAR) AS content_length
+    FROM captures WHERE k % 2 = 0 AND (page_id + k) % 5 <> 0
 ), matched AS (
-    SELECT p.page_id, p.url_key, s.page_id AS stored_id, s.html AS stored_html, p.html = s.html AS same
-    FROM pages_keyed p JOIN stored s ON p.url_key = s.url_key
+    SELECT v.record_id, v.url_key, 'visit ' || v.k AS date, r.record_id AS response_id, r.body, r.content_length,
+           CASE (v.page_id + v.k) % 4 WHEN 0 THEN v.body = r.body WHEN 1 THEN v.body[1:16] = r.body[1:16] WHEN 2 THEN v.modified = r.modified END AS same
+    FROM (SELECT * FROM captures WHERE k % 2 = 1) v ASOF LEFT JOIN responses r ON v.url_key = r.url_key AND v.place > r.place
+), judged AS (
+    SELECT *, CASE WHEN response_id IS NULL THEN 'missing' WHEN same IS NULL THEN 'unchecked' WHEN same THEN 'resolved' ELSE 'changed' END AS outcome
+    FROM matched
 )
-SELECT page_id * 2 + 1 AS record_id, url_key,
-       CASE WHEN same THEN 'resolved' ELSE 'changed' END AS outcome,
-       CASE WHEN same THEN stored_id * 2 END AS response_id,
-       CASE WHEN same THEN sha256(stored_html) END AS digest,
-       CASE WHEN same THEN CAST(strlen(stored_html) AS VARCHAR) END AS content_length,
-       CASE WHEN same THEN 'second' END AS date
-FROM matched
+SELECT record_id, url_key, outcome,
+       CASE WHEN outcome IN ('resolved', 'unchecked') THEN response_id END AS response_id,
+       CASE WHEN outcome IN ('resolved', 'unchecked') THEN body END AS digest,
+       CASE WHEN outcome IN ('resolved', 'unchecked') THEN content_length END AS content_length,
+       CASE WHEN outcome IN ('resolved', 'unchecked') THEN date END AS date
+FROM judged
 """
 
 

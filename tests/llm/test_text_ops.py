@@ -308,6 +308,30 @@ def test_revisits_against_brute_force(spark):
     assert warc.crawl(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_crawl_has_every_outcome(spark):
+    """Pages that share a canonical URL are captured in turns: brute force over the crawl's own records."""
+    urls = ["http://a.org/x", "https://www.a.org/x/", "http://b.org/?b=2&a=1", "http://b.org?a=1&b=2", "http://c.org/1", "http://c.org/2"]
+    pages = [(i, urls[i % 6] if i % 4 else f"http://d.org/{i}", f"<p>{i % 5}</p>" if i % 7 else None) for i in range(120)] + [(None, urls[0], "x"), (500, None, "y")]
+    records = warc.crawl(spark.createDataFrame(pages, "page_id long, url string, html string")).persist()
+    rows = [tuple(r) for r in records.select("record_id", "url", "captured_at", "kind", "status", "digest", "headers").collect()]
+    keys = {r["url"]: r["k"] for r in records.select("url", warc.canonical_url(records["url"]).alias("k")).distinct().collect()}
+    pack = lambda h: None if h is None else tuple(sorted(h.items()))
+    got = [(r["record_id"], r["outcome"], r["response_id"], r["digest"], pack(r["headers"])) for r in warc.resolve_revisits(records).collect()]
+    assert sorted(got, key=str) == brute_revisits(rows, keys)
+    assert {g[1] for g in got} == {"resolved", "changed", "unchecked", "missing"}
+    assert {r[4] for r in rows} == {200, 304, 503}
+
+
+def test_a_url_with_most_captures_at_one_time(spark):
+    """It stands in several ranges, each of its share, and revisits find the response across them."""
+    at = datetime(2024, 1, 1)
+    rows = [(0, "http://a.org", at, "response", 200, "d", {"date": "0"})] + [(i, "http://a.org", at, "revisit", 304, "d", None) for i in range(1, 4000)]
+    rows += [(i, f"http://b.org/{i}", at, "revisit", 304, None, None) for i in range(4000, 5000)]
+    got = warc.resolve_revisits(spark.createDataFrame(rows, RECORDS).repartition(6)).collect()
+    assert {(r["outcome"], r["response_id"]) for r in got if r["record_id"] < 4000} == {("resolved", 0)} and len(got) == 4999
+    assert {r["outcome"] for r in got if r["record_id"] >= 4000} == {"missing"}
+
+
 def brute_targets(sizes):
     order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     weight = {s: 1 + i % 3 for i, s in enumerate(order)}
