@@ -32,9 +32,24 @@ def build_session(name: str = "contagrid", master: str | None = None, **settings
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where it names none, one in the warehouse, on every master alike."""
+    """The cluster's checkpoint folder; where it names none, one in the warehouse.
+
+    A warehouse on a local disk is not shared, so on any master but a local one that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not is_shared(spark.sparkContext.master, warehouse, spark.conf.get("spark.hadoop.fs.defaultFS", "file:///")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; the warehouse {warehouse} is on a local disk")
+    return f"{warehouse}/_work"
+
+
+def is_shared(master: str, folder: str, default_files: str) -> bool:
+    """Whether the driver and all executors on ``master`` see one ``folder``; a path without a scheme is in the default file system."""
+    if master == "local" or master.startswith("local["):
+        return True
+    return not (folder if ":/" in folder else default_files).startswith("file:")
 
 
 def temporary_folder(spark: SparkSession, name: str) -> str:

@@ -13,7 +13,7 @@ from contagrid.operators import reshape, summaries
 from contagrid.operators.lookups import duplicate_keys
 from contagrid.operators.quality import unreadable_dates
 from contagrid.operators.territory import unresolved
-from contagrid.session import Stage
+from contagrid.session import Stage, is_shared
 from contagrid.sources import sinks
 from helpers import frame, plan, table
 
@@ -151,3 +151,18 @@ def test_placeholders_are_computed_once(spark):
     assert table(filters.drop_placeholder(df.where("n = 0"), "Sense seguiments"), "sve", "n") == {"Sense seguiments": 0}
     assert filters.drop_placeholder(df.limit(0), "x").count() == 0
     assert table(filters.with_placeholder(df.limit(0), "none"), "sve", "n") == {"none": 0}
+
+
+@pytest.mark.parametrize(
+    "master, folder, default_files, shared",
+    [
+        ("local", "/w", "file:///", True),
+        ("local[8]", "file:/w", "file:///", True),
+        ("local-cluster[3,2,1024]", "file:/w", "hdfs://n", False),
+        ("yarn", "/w", "file:///", False),
+        ("yarn", "/w", "hdfs://n", True),
+        ("spark://m:7077", "s3a://b/w", "file:///", True),
+    ],
+)
+def test_a_local_warehouse_is_no_shared_folder_on_a_cluster(master, folder, default_files, shared):
+    assert is_shared(master, folder, default_files) is shared
