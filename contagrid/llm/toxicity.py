@@ -28,6 +28,7 @@ BUCKETS, WIDTH, SEGMENT = 1 << 16, 4, 24
 SHORTEST, LONGEST = 3, 5
 LONG_WORD, PIECE = 64, 24  # bytes: a run longer than the first is read in overlapping pieces of the second
 SAMPLE_DOCS = 1500  # labelled documents of each class that the model is fitted on, about
+SAMPLE_BYTES = 1 << 17  # longest text that the model is fitted on: the sample has 400 MB at most
 ROUNDS, LAST_ROUNDS = 60, 15
 RARE = 5.0  # a bucket in fewer segments than this, its words' other n-grams counted, is not trained
 
@@ -209,9 +210,13 @@ def log_odds(text: str | None, model: Model, known: dict[bytes, float]) -> float
     return _most(words, [known[w] for w in words])[0] / SEGMENT + model.bias
 
 
-def sampled(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+def sampled(
+    docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES
+) -> tuple[list[str | None], np.ndarray, np.ndarray]:
     """Texts, labels and weights of about ``sample_docs`` labelled documents of each class, chosen by the hash of their id.
 
+    Of rows that repeat an id one is taken, by the hash of its text; texts of more than ``sample_bytes`` are not fitted on.
+
     A weight is how many labelled documents one of the sample stands for. A
     document with several labels is toxic if one says so; missing labels don't count.
     """
@@ -220,7 +225,9 @@ def sampled(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS)
     share = F.when(F.col("toxic") == 1, sample_docs / max(1, n.get(1, 0))).otherwise(sample_docs / max(1, n.get(0, 0)))
     place = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     chosen = written(known.where(place < share), "toxicity-sample")
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic").toPandas()
+    short = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= sample_bytes)
+    one = F.min(F.struct(F.xxhash64("text").alias("place"), "text")).alias("one")
+    rows = short.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(one).select("doc_id", "one.text", "toxic").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     toxic = (rows["toxic"] == 1).to_numpy(int)
     stands = {c: n.get(c, 0) / max(1, (toxic == c).sum()) for c in (0, 1)}

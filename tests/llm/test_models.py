@@ -151,6 +151,17 @@ def test_toxicity_of_awkward_rows(spark):
     assert len(toxicity.scored(documents(spark), labels.limit(0)).collect()) == len(awkward())
 
 
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    """An id that repeats in a third of the rows gives one text, and very long texts none."""
+    rows = [(1, f"text {i % 7}", "en", "s", None) for i in range(3000)] + [(i, f"words of {i}", "en", "s", None) for i in range(2, 300)] + [(300, "x " * 2000, "en", "s", None), (301, None, "en", "s", None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 302)], "doc_id long, toxic int")
+    texts, toxic, weights = toxicity.sampled(documents(spark, rows), labels, sample_bytes=1000)
+    assert len(texts) == len(toxic) == 300 and sum(t is None for t in texts) == 1
+    assert sum((t or "").startswith("text ") for t in texts) == 1 and max(len(t or "") for t in texts) < 1000
+    again, *_ = toxicity.sampled(documents(spark, rows).repartition(5), labels, sample_bytes=1000)
+    assert again == texts
+
+
 def test_folds_of_labels_are_kept_out(spark):
     """Changing the labels of fold 0 changes no score."""
     seen = toxic_rows(100, 5, INSULTS)
